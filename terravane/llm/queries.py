@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import _spark, bpe, minhash, sharding
+from terravane.llm import _spark, bpe, decontam, langid, minhash, quality, sharding
 
 
 def tokenizer_path() -> str:
@@ -33,6 +33,18 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_spark.table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op4_minhash)}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_spark.table(spark, sf_dir, "documents"), _spark.table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_spark.table(spark, sf_dir, "documents"), _spark.table(spark, sf_dir, "labels"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(_spark.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op4_minhash, op5_decontamination, op8_quality, op10_langid)}
 
 ORACLE_SQL: dict[str, str] = {}
