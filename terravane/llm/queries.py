@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import _spark, bpe, decontam, langid, minhash, quality, sharding
+from terravane.llm import _spark, bpe, decontam, html, langid, minhash, quality, rules, sharding, warc
 
 
 def tokenizer_path() -> str:
@@ -37,6 +37,19 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_spark.table(spark, sf_dir, "documents"), _spark.table(spark, sf_dir, "benchmark"))
 
 
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(_spark.table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(_spark.table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(_spark.table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_spark.table(spark, sf_dir, "documents"), _spark.table(spark, sf_dir, "labels"))
 
@@ -45,6 +58,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(_spark.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op4_minhash, op5_decontamination, op8_quality, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op4_minhash, op5_decontamination, op6_rules, op7_warc, op8_quality, op9_html, op10_langid)}
 
 ORACLE_SQL: dict[str, str] = {}
