@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.llm import _spark, _text
@@ -193,3 +193,21 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     placed = sketches.select("doc_id", "n_shingles", "fp1", "fp2").join(rooted, ["fp1", "fp2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one row of each group: that of its smallest id.
+
+    Rows without an id stay.  Of rows that repeat an id that stays, the one with
+    the smallest text stays.
+    """
+    found = near_duplicates(docs, width, percent, id_col, text_col)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    if repeated:
+        keyed = left.filter(F.col(id_col).isNotNull())
+        first = Window.partitionBy(id_col).orderBy(text_col)
+        keyed = keyed.withColumn("__place", F.row_number().over(first)).filter("__place = 1").drop("__place")
+        left = left.filter(F.col(id_col).isNull()).unionByName(keyed)
+    return left

@@ -8,7 +8,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import _spark, bpe, decontam, html, langid, minhash, quality, rules, sharding, warc
+from terravane.llm import _spark, bpe, decontam, html, langid, lm, minhash, quality, rules, sharding, warc
+from terravane.llm.oracles import ORACLE_SQL
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def tokenizer_path() -> str:
@@ -29,6 +33,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_spark.table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_spark.table(spark, sf_dir, "documents"), width=2)
 
@@ -58,6 +66,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(_spark.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op4_minhash, op5_decontamination, op6_rules, op7_warc, op8_quality, op9_html, op10_langid)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_lm, op4_minhash, op5_decontamination, op6_rules, op7_warc, op8_quality, op9_html, op10_langid)}
