@@ -6,11 +6,13 @@ permutation pi, shifted circularly by k.  Bands of the signature propose
 candidates, which are confirmed with the exact Jaccard similarity of full
 shingle sets; confirmed links are closed to components.
 
-Copies (equal shingle sets) are one class from the start.  Candidates of a
-bucket are first compared with leaders of the bucket, so a bucket costs rows in
-proportion to its members; members that are then still in another component than
-some other member of their bucket are compared with all of those, so no
-candidate link between components is left out.
+Copies (equal shingle sets) are one class from the start.  Members of a bucket
+are first compared with leaders of the bucket, so a bucket costs rows in
+proportion to its members.  Pairs of a bucket that are then still in different
+components are compared too, so no candidate link between components is left
+out.  A pair goes to confirmation unless the sizes of the sets rule the
+similarity out, or more than ``MOST_BITS`` of 240 signature bits differ (at the
+similarity 0.8 that is 6.5 standard deviations from the mean).
 
 Documents without words, or with a null text, have an empty set and are linked
 with nothing.  A null id is linked with nothing either; its component is null
@@ -23,12 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.llm import _spark, _text
 
 BANDS, ROWS = 40, 6
+#: signature bits kept for comparison, in four words of 60
+WORDS, MOST_BITS = 4, 54
 _BLOCK = 1 << 15
 
 
@@ -76,7 +80,7 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(df: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``fp1``, ``fp2`` (name of the set) and ``bands``."""
+    """``doc_id``, ``n_shingles``, ``fp1``, ``fp2`` (name of the set), ``bits`` and ``bands``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,20 +90,23 @@ def sketch(df: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> D
                 some = np.flatnonzero(sizes)
                 sums = np.zeros((2, len(sizes)), np.uint64)
                 key = np.zeros((len(sizes), bands), np.uint64)
+                bits = np.zeros((len(sizes), WORDS), np.uint64)
                 if len(some):
                     at = first[:-1][some]
                     sums[0, some] = np.add.reduceat(_text.mix(values), at)
                     sums[1, some] = np.add.reduceat(_text.mix(values ^ np.uint64(0x1234567)), at)
                     sign = signatures(sigma(values), np.concatenate([at, first[-1:]]), bands * rows).astype(np.uint64)
+                    for k in range(WORDS * 60):
+                        bits[some, k // 60] |= (sign[k % len(sign)] & np.uint64(1)) << np.uint64(k % 60)
                     for b in range(bands):
                         h = np.full(len(some), np.uint64(b + 1))
                         for k in range(rows):
                             h = _text.mix(h * np.uint64(0x9E3779B97F4A7C15) + sign[b * rows + k])
                         key[some, b] = h
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * bands), pa.array(key.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists], ["doc_id", "n_shingles", "fp1", "fp2", "bands"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.reshape(-1).view(np.int64))) for m in (bits, key)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *lists], ["doc_id", "n_shingles", "fp1", "fp2", "bits", "bands"])
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+    return df.mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, bits array<long>, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -150,45 +157,58 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = tuple(fresh)
 
 
-def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leader_rounds: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row.
 
-    ``width``: words in a shingle; ``percent``: least similarity of a link.
+    ``width``: words in a shingle; ``percent``: least similarity of a link, 80 or more.
     """
+    if percent < 80:
+        raise ValueError("bands and bits are laid out for similarities of 0.8 and more")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = _spark.materialise(sketch(docs, width))
     named = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = _spark.materialise(named.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = named.join(classes, ["fp1", "fp2", "n_shingles"]).filter("doc_id = rep").select("rep", "bands")
-    members = reps.select("rep", F.explode("bands").alias("key")).distinct()
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = _spark.materialise(members.join(buckets, "key"))
+    reps = named.join(classes, ["fp1", "fp2", "n_shingles"]).filter("doc_id = rep")
+    keyed = reps.select("rep", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    members = keyed.join(buckets, "key")
+    words = [F.col("bits")[k].alias(f"w{k}") for k in range(WORDS)]
+    bits = sketches.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), *words)
+    members = _spark.materialise(members.join(bits, "rep").dropDuplicates(["key", "rep"]))
     texts = _spark.materialise(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
-    links = labels = tried = None
-    for turn in range(leader_rounds + 1):
-        if labels is None:
-            placed = members.withColumn("root", F.col("rep"))
-        else:
-            placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        if turn < leader_rounds:
-            rank = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-            leaders = placed.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "rep", "root")).alias("lead")).select("key", F.col("lead.rep").alias("lead"), F.col("lead.root").alias("lead_root"))
-            found = placed.join(leaders, "key").filter("root <> lead_root").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
-        else:
-            mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-            placed = placed.join(mixed, "key")
-            other = placed.selectExpr("key", "rep as rep2", "root as root2")
-            found = placed.join(other, "key").filter("rep < rep2 and root <> root2").selectExpr("rep as a", "rep2 as b")
-        found = found.distinct()
-        if tried is not None:
-            found = found.join(tried, ["a", "b"], "left_anti")
-        found = _spark.materialise(found)
-        fresh = _spark.materialise(confirmed(found, texts, width, percent))
-        tried = found if tried is None else tried.union(found)
-        links = fresh if links is None else links.union(fresh)
-        if turn == 0 or fresh.take(1):
-            labels = connected_components(links)
+    def likely(a: str, b: str) -> Column:
+        """Whether sizes and signature bits of two members allow a link."""
+        small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+        differ = sum(F.bit_count(F.col(f"{a}.w{k}").bitwiseXOR(F.col(f"{b}.w{k}"))) for k in range(WORDS))
+        return (100 * small >= percent * large) & (differ <= MOST_BITS)
+
+    # leaders of a bucket: its smallest id, and one that is smallest by a hash
+    one = F.struct("rep", "size", *[f"w{k}" for k in range(WORDS)])
+    lead = members.groupBy("key").agg(F.min("rep").alias("first"), F.min(F.struct(F.xxhash64("rep", F.col("key") % 2).alias("rank"), "rep")).alias("second"))
+    lead = lead.select("key", F.explode(F.array("first", "second.rep")).alias("rep")).distinct()
+    lead = lead.join(members, ["key", "rep"]).select("key", one.alias("b"))
+    found = members.select("key", one.alias("a")).join(lead, "key").filter((F.col("a.rep") != F.col("b.rep")) & likely("a", "b"))
+    first = _spark.materialise(found.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct())
+    labels = connected_components(confirmed(first, texts, width, percent))
+
+    # pairs of a bucket that are in different components
+    placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", "size", *[f"w{k}" for k in range(WORDS)], F.coalesce("root", "rep").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    placed = _spark.materialise(placed.join(mixed, "key"))
+    left, right = placed.alias("a"), placed.alias("b")
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root"))
+    found = left.join(right, apart & likely("a", "b")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    fresh = _spark.materialise(confirmed(found, texts, width, percent))
+    if fresh.limit(1).count():
+        # new links join components that are known already
+        of = labels.withColumnRenamed("node", "a").withColumnRenamed("root", "ra")
+        roots = fresh.join(of, "a", "left").select(F.coalesce("ra", "a").alias("a"), "b")
+        of = labels.withColumnRenamed("node", "b").withColumnRenamed("root", "rb")
+        roots = roots.join(of, "b", "left").select("a", F.coalesce("rb", "b").alias("b"))
+        merged = connected_components(roots).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        labels = labels.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        labels = labels.union(merged.select(F.col("root").alias("node"), F.col("top").alias("root"))).dropDuplicates(["node"])
     rooted = classes.join(labels, classes["rep"] == labels["node"], "left").select("fp1", "fp2", "n_shingles", F.coalesce("root", "rep").alias("root"))
     placed = sketches.select("doc_id", "n_shingles", "fp1", "fp2").join(rooted, ["fp1", "fp2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
