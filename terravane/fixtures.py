@@ -75,7 +75,7 @@ RELATIONS: dict[str, Callable[[Dialect], str]] = {
     "grid": lambda d: f"SELECT CAST({d.div('i', '32')} AS INT) AS y, CAST(i % 32 AS INT) AS x FROM (SELECT {d.series(768)} AS i) g",
     "mask_px": lambda d: "SELECT m.view, m.mask_id, m.predicted_iou, g.y, g.x FROM {masks} m JOIN {grid} g ON g.x >= m.x0 AND g.x < m.x0 + m.mw AND g.y >= m.y0 AND g.y < m.y0 + m.mh",
     "torus_grid": lambda d: f"SELECT {d.div('k', '20')} AS i, k % 20 AS j FROM (SELECT CAST(n AS BIGINT) AS k FROM (SELECT {d.series(400)} AS n) s) g",
-    "torus_vertices": lambda d: "SELECT i * 20 + j AS vid, round((2 + cos(2 * pi() * j / 20)) * cos(2 * pi() * i / 20), 9) AS x, round((2 + cos(2 * pi() * j / 20)) * sin(2 * pi() * i / 20), 9) AS y, round(sin(2 * pi() * j / 20), 9) AS z FROM {torus_grid}",
+    "torus_vertices": lambda d: "SELECT i * 20 + j AS vid, round((2 + cos(2 * pi() * j / 20)) * cos(2 * pi() * i / 20), 9) + CAST(0 AS DOUBLE) AS x, round((2 + cos(2 * pi() * j / 20)) * sin(2 * pi() * i / 20), 9) + CAST(0 AS DOUBLE) AS y, round(sin(2 * pi() * j / 20), 9) + CAST(0 AS DOUBLE) AS z FROM {torus_grid}",
     "torus_faces": lambda d: "SELECT * FROM (SELECT 2 * (20 * i + j) AS fid, 20 * i + j AS a, 20 * ((i + 1) % 20) + j AS b, 20 * ((i + 1) % 20) + (j + 1) % 20 AS c FROM {torus_grid} UNION ALL SELECT 2 * (20 * i + j) + 1, 20 * i + j, 20 * ((i + 1) % 20) + (j + 1) % 20, 20 * i + (j + 1) % 20 FROM {torus_grid}) t WHERE fid >= 5",
     # primitives of a scene: log scales, quaternion, logit of opacity, colour coefficients
     "splats": lambda d: "SELECT vec_id AS gid, " + ", ".join(f"CAST({d.at('embedding', i)} AS DOUBLE) AS {c}" for i, c in enumerate(["x", "y", "z", "sx", "sy", "sz", "qw", "qx", "qy", "qz", "opacity", "cr", "cg", "cb"])) + ", label FROM {embeddings}",
