@@ -7,12 +7,12 @@ candidates, which are confirmed with the exact Jaccard similarity of full
 shingle sets; confirmed links are closed to components.
 
 Copies (equal shingle sets) are one class from the start.  Members of a bucket
-are first compared with leaders of the bucket, so a bucket costs rows in
-proportion to its members.  Pairs of a bucket that are then still in different
-components are compared too, so no candidate link between components is left
+are compared with leaders of the bucket, so a bucket costs rows in proportion
+to its members.  Pairs of a bucket that are after two such rounds still in
+different components are compared too, so no candidate link between components is left
 out.  A pair goes to confirmation unless the sizes of the sets rule the
 similarity out, or more than ``MOST_BITS`` of 240 signature bits differ (at the
-similarity 0.8 that is 6.5 standard deviations from the mean).
+similarity 0.8 that is 5 standard deviations from the mean).
 
 Documents without words, or with a null text, have an empty set and are linked
 with nothing.  A null id is linked with nothing either; its component is null
@@ -32,7 +32,7 @@ from terravane.llm import _spark, _text
 
 BANDS, ROWS = 40, 6
 #: signature bits kept for comparison, in four words of 60
-WORDS, MOST_BITS = 4, 54
+WORDS, MOST_BITS = 4, 48
 _BLOCK = 1 << 15
 
 
@@ -157,6 +157,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = tuple(fresh)
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of ``labels`` (node, root) after more links (a, b)."""
+    of = labels.selectExpr("node AS a", "root AS ra")
+    roots = links.join(of, "a", "left").select(F.coalesce("ra", "a").alias("a"), "b")
+    of = labels.selectExpr("node AS b", "root AS rb")
+    roots = roots.join(of, "b", "left").select("a", F.coalesce("rb", "b").alias("b"))
+    tops = connected_components(roots).selectExpr("node AS root", "root AS top")
+    moved = labels.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # a root that has moved, or a node that had no link yet, is a node now
+    return moved.union(tops.selectExpr("root AS node", "top AS root"))
+
+
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row.
 
@@ -192,23 +204,31 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     first = _spark.materialise(found.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct())
     labels = connected_components(confirmed(first, texts, width, percent))
 
-    # pairs of a bucket that are in different components
-    placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", "size", *[f"w{k}" for k in range(WORDS)], F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    placed = _spark.materialise(placed.join(mixed, "key"))
-    left, right = placed.alias("a"), placed.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root"))
-    found = left.join(right, apart & likely("a", "b")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    fresh = _spark.materialise(confirmed(found, texts, width, percent))
-    if fresh.limit(1).count():
-        # new links join components that are known already
-        of = labels.withColumnRenamed("node", "a").withColumnRenamed("root", "ra")
-        roots = fresh.join(of, "a", "left").select(F.coalesce("ra", "a").alias("a"), "b")
-        of = labels.withColumnRenamed("node", "b").withColumnRenamed("root", "rb")
-        roots = roots.join(of, "b", "left").select("a", F.coalesce("rb", "b").alias("b"))
-        merged = connected_components(roots).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        labels = labels.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        labels = labels.union(merged.select(F.col("root").alias("node"), F.col("top").alias("root"))).dropDuplicates(["node"])
+    # twice more for buckets that still hold several components: members against
+    # a leader by hash, then every pair that is left, each in one bucket only
+    tried = first
+    for every_pair in (False, True):
+        columns = ["size", *[f"w{k}" for k in range(WORDS)]]
+        placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", *columns, F.coalesce("root", "rep").alias("root"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        placed = placed.join(mixed, "key")
+        if every_pair:
+            placed = placed.join(reps.select("rep", "bands"), "rep")
+        placed = _spark.materialise(placed)
+        other = placed
+        if not every_pair:
+            lead = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("rank"), "rep")).alias("lead")).select("key", F.col("lead.rep").alias("rep"))
+            other = placed.join(lead, ["key", "rep"], "left_semi")
+        apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & likely("a", "b")
+        if every_pair:
+            here = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")
+            apart = apart & (F.col("a.rep") < F.col("b.rep")) & here
+        found = placed.alias("a").join(other.alias("b"), apart).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
+        found = _spark.materialise(found.join(tried, ["a", "b"], "left_anti"))
+        fresh = _spark.materialise(confirmed(found, texts, width, percent))
+        tried = tried.union(found)
+        if fresh.limit(1).count():
+            labels = _spark.materialise(_merged(labels, fresh))
     rooted = classes.join(labels, classes["rep"] == labels["node"], "left").select("fp1", "fp2", "n_shingles", F.coalesce("root", "rep").alias("root"))
     placed = sketches.select("doc_id", "n_shingles", "fp1", "fp2").join(rooted, ["fp1", "fp2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
