@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from terravane.llm import _spark, _text
 
 OUTPUTS, WIDTH, CONTEXT, MIX = 2048, 24, 2, (0.65, 0.35)
-TABLE, ROUNDS, NOISE, BATCH, REPEAT = 1 << 21, 2, 64, 4096, 8
+TABLE, ROUNDS, NOISE, BATCH, REPEAT = 1 << 19, 2, 64, 4096, 8
 END = np.uint64(0x45_4E_44)
 TAIL, START = 0, OUTPUTS
 SMOOTH = 0.1
