@@ -12,7 +12,9 @@ to its members.  Pairs of a bucket that are after two such rounds still in
 different components are compared too, so no candidate link between components is left
 out.  A pair goes to confirmation unless the sizes of the sets rule the
 similarity out, or more than ``MOST_BITS`` of 240 signature bits differ (at the
-similarity 0.8 that is 5 standard deviations from the mean).
+similarity 0.8 that is 5 standard deviations from the mean).  The pairs that are
+left after two rounds are moreover compared by the smallest places of their sets:
+all of them, if the sets are small.
 
 Documents without words, or with a null text, have an empty set and are linked
 with nothing.  A null id is linked with nothing either; its component is null
@@ -33,6 +35,8 @@ from terravane.llm import _spark, _text
 BANDS, ROWS = 40, 6
 #: signature bits kept for comparison, in four words of 60
 WORDS, MOST_BITS = 4, 48
+#: smallest places of a set that are compared where many pairs of a bucket remain
+LOWEST = 256
 _BLOCK = 1 << 15
 
 
@@ -109,6 +113,36 @@ def sketch(df: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> D
     return df.mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, bits array<long>, bands array<long>")
 
 
+def lowest(texts: DataFrame, width: int) -> DataFrame:
+    """``rep`` and ``low``: the ``LOWEST`` smallest places of each set, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text.slices(batch, "text"):
+                values, first = shingle_sets(part.column(1), width)
+                places = sigma(values)
+                low = [np.unique(places[first[t] : first[t + 1]])[:LOWEST].astype(np.int64) for t in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(low, pa.list_(pa.int64()))], ["rep", "low"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, low array<long>")
+
+
+def _close(percent: int) -> Column:
+    """Similarity of the ``low`` of two members: that of the sets if both are small, else an estimate.
+
+    An estimate rests on the places up to the smaller of the two largest ones, at
+    least ``LOWEST`` of the union; its limit lies 5 standard deviations below.
+    """
+    a, b = F.col("a.low"), F.col("b.low")
+    part = {c: F.size(x) >= LOWEST for c, x in (("a", a), ("b", b))}
+    ends = [F.when(part[c], F.element_at(x, -1)).otherwise(F.lit(1 << 32)) for c, x in (("a", a), ("b", b))]
+    edge = F.least(*ends)
+    both = F.size(F.array_intersect(a, b))
+    n = sum(F.size(F.filter(x, lambda v: v <= edge)) for x in (a, b))
+    limit = F.when(part["a"] | part["b"], F.lit(percent - 13)).otherwise(F.lit(percent))
+    return 100 * both >= limit * (n - both)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets have 100 * common >= percent * union."""
 
@@ -213,7 +247,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
         placed = placed.join(mixed, "key")
         if every_pair:
-            placed = placed.join(reps.select("rep", "bands"), "rep")
+            few = texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            placed = placed.join(reps.select("rep", "bands"), "rep").join(lowest(few, width), "rep")
         placed = _spark.materialise(placed)
         other = placed
         if not every_pair:
@@ -222,7 +257,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & likely("a", "b")
         if every_pair:
             here = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")
-            apart = apart & (F.col("a.rep") < F.col("b.rep")) & here
+            apart = apart & (F.col("a.rep") < F.col("b.rep")) & here & _close(percent)
         found = placed.alias("a").join(other.alias("b"), apart).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
         found = _spark.materialise(found.join(tried, ["a", "b"], "left_anti"))
         fresh = _spark.materialise(confirmed(found, texts, width, percent))
