@@ -277,12 +277,13 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
     the smallest text stays.
     """
     found = near_duplicates(docs, width, percent, id_col, text_col)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone, place = _spark.unused(docs, "__gone"), _spark.unused(docs, "__place")
+    dropped = found.filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.join(dropped, F.col(id_col).cast("long") == F.col(gone), "left_anti")
     repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if repeated:
         keyed = left.filter(F.col(id_col).isNotNull())
         first = Window.partitionBy(id_col).orderBy(text_col)
-        keyed = keyed.withColumn("__place", F.row_number().over(first)).filter("__place = 1").drop("__place")
+        keyed = keyed.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(place)
         left = left.filter(F.col(id_col).isNull()).unionByName(keyed)
     return left
