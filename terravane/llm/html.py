@@ -45,7 +45,9 @@ _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|
 _NAME = re.compile(r"[a-z0-9]+")
 
 #: weights where no labelled page is seen
-DEFAULT = {"word": 1.0, "link": -0.5, "never": -2.0, "tag": -2.0}
+DEFAULT = {"word": 1.0, "link": 0.2, "never": -0.2, "tag": -0.4}
+#: a region rarely goes on over the bounds of an element that names its content
+BOUND = {"article": -25.0, "main": -25.0}
 
 
 def _refused(tag: str, attributes: str, in_content: bool) -> bool:
@@ -104,7 +106,7 @@ def events(page: str) -> list[tuple[str, str, bool, bool]]:
             out.append((tag, "", links > 0, True))
             continue
         bad = _refused(tag, m[3], content > 0)
-        out.append((tag, "", links > 0, refused > 0 or bad))
+        out.append((tag, "", links > 0, bool(refused > 0 or bad)))
         if tag in VOID or m[0].endswith("/>"):
             continue
         if tag in ("p", "li", "td", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
@@ -126,6 +128,8 @@ def label_counts(page: str) -> Counter:
         return seen
     for k, (tag, text, link, bad) in enumerate(found):
         side = "in" if marks[0] < k < ends[0] else "out"
+        if tag and (bad or tag.lstrip("/") in BOUND):
+            continue
         if tag:
             name = tag.lstrip("/")
             seen[(name if name in BLOCK | VOID | RAW | {"a", "b", "i", "em", "strong", "span"} else "other", side)] += 1
@@ -140,10 +144,10 @@ def weights(seen: dict[tuple[str, str], int]) -> dict[str, float]:
     if not names:
         return {}
     odds = {n: float(np.log((seen.get((n, "in"), 0) + 1) / (seen.get((n, "out"), 0) + 1))) for n in names}
-    out = {n: min(-0.25, odds[n] * 2) for n in names if not n.startswith("#")}
-    out["#word"] = max(0.5, min(2.0, odds.get("#word", 1.0)))
-    out["#link"] = max(-2.0, min(1.0, odds.get("#link", -0.5)))
-    out["#never"] = min(-1.0, odds.get("#never", -2.0))
+    out = {n: max(-3.0, min(-0.25, odds[n])) for n in names if not n.startswith("#")}
+    out["#word"] = max(0.5, min(2.0, odds.get("#word", DEFAULT["word"])))
+    out["#link"] = max(-0.5, min(1.0, odds.get("#link", DEFAULT["link"])))
+    out["#never"] = max(-0.5, min(-0.1, odds.get("#never", DEFAULT["never"])))
     return out
 
 
@@ -168,7 +172,8 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
     scores = []
     for tag, text, in_link, bad in found:
         if tag:
-            scores.append(weight.get(tag.lstrip("/"), DEFAULT["tag"]))
+            name = tag.lstrip("/")
+            scores.append(0.0 if bad else BOUND.get(name) or weight.get(name, DEFAULT["tag"]))
         else:
             n = len(text.split())
             scores.append(n * (never if bad else link if in_link else word))
