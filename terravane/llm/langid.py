@@ -117,10 +117,10 @@ class Parser:
         symbol = self.index[data]
         alive = np.searchsorted(-length, -np.arange(STRETCH))  # stretches longer than each step
         for k, root in enumerate(self.roots):
-            state = np.full(len(begin), root, np.int64)
+            # state 0 has no way on: the next symbol starts a phrase there
+            state = np.zeros(len(begin), np.int64)
             count = np.zeros(len(begin), np.int64)
             restart = self.table[root * self.width : (root + 1) * self.width].astype(np.int64)
-            restart[restart == 0] = root
             for step, live in enumerate(alive.tolist()):
                 if not live:
                     break
@@ -129,7 +129,7 @@ class Parser:
                 dead = state_now == 0
                 count[:live] += dead
                 state[:live] = np.where(dead, restart[c], state_now)
-            np.add.at(out[k], text, count + 1)
+            np.add.at(out[k], text, count)
         return out
 
 
