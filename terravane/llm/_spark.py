@@ -41,10 +41,16 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 _shipped: set[str] = set()
+#: bytes of one Arrow batch; bounds the memory of tasks and workers
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package's code to the executors, once for each application."""
+    """Give the package's code to the executors, once for each application.
+
+    Also bounds the session's Arrow batches by bytes: texts have very unequal sizes.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
