@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,30 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: vectors added up by one task
+FAN_IN = 64
+
+
+def add_up(df: DataFrame, n_parts: int) -> DataFrame:
+    """(i, v): element-wise sums of the arrays of each ``i``; ``df`` has (i, part, v).
+
+    At most ``FAN_IN`` arrays meet in a task; more parts are added in levels.
+    """
+
+    def add(group: pa.Table) -> pa.Table:
+        total = None
+        for v in group.column("v"):
+            v = v.values.to_numpy()
+            total = v if total is None else total + v
+        return pa.table({"i": group.column("i")[:1], "part": group.column("part")[:1], "v": pa.array([total], pa.list_(pa.float64()))})
+
+    while True:
+        n_parts = -(-n_parts // FAN_IN)
+        df = df.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("i", "part").applyInArrow(add, "i long, part long, v array<double>")
+        if n_parts <= 1:
+            return df.select("i", "v")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

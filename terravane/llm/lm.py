@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,19 +202,11 @@ def train_model(train: DataFrame, vocabulary) -> dict[str, np.ndarray]:
                 flush()
             if seen:
                 rows = [np.append(own[k].reshape(-1) * seen, seen) for k in names]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows, pa.list_(pa.float64()))], ["i", "v"])
-
-        def add(group: pa.Table) -> pa.Table:
-            total = None
-            for v in group.column("v"):
-                v = v.values.to_numpy()
-                total = v if total is None else total + v
-            return pa.table({"i": group.column("i")[:1], "v": pa.array([total], pa.list_(pa.float64()))})
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), TaskContext.get().partitionId())), pa.array(rows, pa.list_(pa.float64()))], ["i", "part", "v"])
 
         chosen = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(ROUNDS)) == turn).select("text")
-        # sums of one model for each group of partitions, then of those
-        parts = chosen.mapInArrow(run, "i long, v array<double>")
-        sums = parts.groupBy("i").applyInArrow(add, "i long, v array<double>").collect()
+        parts = chosen.mapInArrow(run, "i long, part long, v array<double>")
+        sums = _spark.add_up(parts, chosen.rdd.getNumPartitions()).collect()  # one model
         for r in sums:
             v = np.array(r["v"])
             model[names[r["i"]]] = (v[:-1] / v[-1]).reshape(model[names[r["i"]]].shape)

@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,13 +99,10 @@ def summed(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], rows: in
                 m = part(batch.slice(at, 4096))
                 total = m if total is None else total + m
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(list(total), pa.list_(pa.float64()))], ["i", "v"])
+            n = len(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, TaskContext.get().partitionId())), pa.array(list(total), pa.list_(pa.float64()))], ["i", "part", "v"])
 
-    def add(group: pa.Table) -> pa.Table:
-        v = np.stack(group.column("v").to_numpy())
-        return pa.table({"i": group.column("i")[:1], "v": pa.array([v.sum(0)], pa.list_(pa.float64()))})
-
-    found = df.mapInArrow(run, "i long, v array<double>").groupBy("i").applyInArrow(add, "i long, v array<double>").collect()
+    found = _spark.add_up(df.mapInArrow(run, "i long, part long, v array<double>"), df.rdd.getNumPartitions()).collect()  # ``rows`` rows
     found = {r["i"]: r["v"] for r in found}
     return np.array([found[i] for i in range(rows)]) if found else np.zeros((rows, 0))
 
