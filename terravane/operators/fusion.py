@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import geometry as g
@@ -145,12 +145,12 @@ def gaussians_points(splats: DataFrame, min_opacity: float, colour: tuple[float,
 def depth_normal_points(px: DataFrame, per_frame: int, edge_threshold: float, crop: tuple | None = None, neighbours: int = 20) -> DataFrame:
     """(id, x, y, z, nx, ny, nz): sampled pixels off the edges of depth, in the world, without outliers.
 
-    ``px``: depth pixels with their camera's columns.
+    ``px``: depth pixels with their camera's columns; ``per_frame`` 0 takes all of them.
     """
     smooth = images.laplacian(px).filter(F.col("laplacian") < F.lit(float(edge_threshold))).drop("laplacian")
     key = ((F.col("view") * 100_000 + F.col("y")) * 100_000 + F.col("x")).cast("long")
     keyed = smooth.filter("depth > 0").withColumn("id", key)
-    chosen = ranks.front_most(keyed.withColumn("__h", F.xxhash64("id")), 1.0, ("view",), "__h", "id") if per_frame <= 0 else _per_frame(keyed, per_frame)
+    chosen = _per_frame(keyed, per_frame) if per_frame > 0 else keyed
     p = g.backproject(F.col("x") + 0.5, F.col("y") + 0.5, F.col("depth"))
     world = chosen.select("id", "view", F.col("y").alias("py"), F.col("x").alias("px"), *[v.alias(f"w{c}") for v, c in zip(p, "xyz", strict=True)])
     normals = images.depth_normals(px).withColumnsRenamed({"y": "py", "x": "px"})
@@ -161,8 +161,6 @@ def depth_normal_points(px: DataFrame, per_frame: int, edge_threshold: float, cr
 
 
 def _per_frame(df: DataFrame, k: int) -> DataFrame:
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("view").orderBy(F.xxhash64("id"), "id"))
     return df.withColumn("__r", rank).filter(F.col("__r") <= k).drop("__r")
 

@@ -227,3 +227,10 @@ def similarity_colors(r: Relations) -> DataFrame:
     from terravane.operators import score
 
     return rounded(score.similarity_colors(r("pts").select("id", F.col("x").alias("similarity"))).drop("similarity"), "red")
+
+
+@query(f"SELECT cam, {_sel(fx='fx', fy='fy', cx='w/2::DOUBLE', cy='h/2::DOUBLE')} FROM {{cameras}}")
+def intrinsics(r: Relations) -> DataFrame:
+    fx = g.fov_to_focal(g.focal_to_fov(F.col("fx"), F.col("w")), F.col("w"))
+    fy = g.fov_to_focal(g.focal_to_fov(F.col("fy"), F.col("h")), F.col("h"))
+    return r("cameras").select("cam", r9(fx).alias("fx"), r9(fy).alias("fy"), r9(F.col("w") / 2.0).alias("cx"), r9(F.col("h") / 2.0).alias("cy"))

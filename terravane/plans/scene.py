@@ -238,6 +238,12 @@ def cluster_sizes(r: Relations) -> DataFrame:
     return graph.largest(component_sizes(r))
 
 
+@query(f"{_cc('SELECT id AS n FROM {pts} WHERE label < 5', _NEAR)} SELECT node AS id FROM roots WHERE root = (SELECT root FROM roots GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)")
+def top_cluster(r: Relations) -> DataFrame:
+    members = connected_components(r).select(F.col("node").alias("id"), F.col("root").alias("component"))
+    return members.join(graph.largest(graph.component_sizes(members)).select("component"), "component", "left_semi").select("id")
+
+
 def two_meshes(r: Relations) -> tuple[DataFrame, DataFrame]:
     """The torus, a small copy of some of its faces inside of its box, and one outside."""
     f, v = r("torus_faces").select("a", "b", "c"), r("torus_vertices")

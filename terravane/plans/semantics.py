@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.operators import fusion, images, score, spatial
-from terravane.plans.geometry import depth_with_camera
+from terravane.plans.geometry import _BACK, depth_with_camera
 from terravane.plans.registry import Relations, query, rounded
+from terravane.plans.scene import _INV, _LAP
 
 # --- scoring: label means as queries; label 0 positive, 1 to 3 negative
 
@@ -197,8 +198,18 @@ def gaussians_poisson(r: Relations) -> DataFrame:
     return fusion.gaussians_points(r("splats"), -0.1, crop=((0.0, 0.0, 0.0), None, (0.4, 0.4, 0.4)), voxel=0.04).select("id")
 
 
-@query()
+_DN = f"""{_INV}, l AS ({_LAP}), w AS ({_BACK}), c AS (SELECT (w.view * 100000 + w.y) * 100000 + w.x AS id, wx AS x, wy AS y, wz AS z FROM w JOIN l USING (view, y, x) WHERE lap < 0.0201::DOUBLE AND depth > 0 AND w.view <= 2), o AS ({_OUTLIER})
+SELECT id FROM o, (SELECT avg(mean) + 2 * stddev_samp(mean) AS lim FROM o) WHERE mean > 0 AND mean < lim"""
+
+
+@query(_DN)
 def depth_normal_poisson(r: Relations) -> DataFrame:
+    px = depth_with_camera(r).filter("view <= 2").drop("u", "v", "n")
+    return fusion.depth_normal_points(px, 0, 0.0201).select("id")
+
+
+@query()
+def depth_normal_samples(r: Relations) -> DataFrame:
     px = depth_with_camera(r).drop("u", "v", "n")
     out = fusion.depth_normal_points(px, fusion.samples_per_frame(1400, 7), 0.0201)
     return rounded(out, "x", "y", "z", "nx", "ny", "nz")
