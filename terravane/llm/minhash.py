@@ -7,18 +7,19 @@ candidates, which are confirmed with the exact Jaccard similarity of full
 shingle sets; confirmed links are closed to components.
 
 Copies (equal shingle sets) are one class from the start.  Members of a bucket
-are compared with leaders of the bucket, so a bucket costs rows in proportion
-to its members.  Pairs of a bucket that are after two such rounds still in
-different components are compared too, so no candidate link between components is left
+are compared with two leaders of the bucket, so a bucket costs rows in proportion
+to its members.  Pairs of a bucket that are then still in different components
+are compared too, so no candidate link between components is left
 out.  A pair goes to confirmation unless the sizes of the sets rule the
 similarity out, or more than ``MOST_BITS`` of 240 signature bits differ (at the
 similarity 0.8 that is 5 standard deviations from the mean).  The pairs that are
-left after two rounds are moreover compared by the smallest places of their sets:
-all of them, if the sets are small.
+left after the leaders are moreover compared by the smallest places of their
+sets: all of them, if the sets are small.
 
 Documents without words, or with a null text, have an empty set and are linked
 with nothing.  A null id is linked with nothing either; its component is null
-and it is kept.  Repeated rows give repeated results.
+and it is kept.  Repeated rows give repeated results; rows that share an id but not
+a text are one node, whose links are confirmed with one of the texts.
 """
 
 from __future__ import annotations
@@ -128,19 +129,15 @@ def lowest(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _close(percent: int) -> Column:
-    """Similarity of the ``low`` of two members: that of the sets if both are small, else an estimate.
+    """Whether the ``low`` of two members allow a link.
 
-    An estimate rests on the places up to the smaller of the two largest ones, at
-    least ``LOWEST`` of the union; its limit lies 5 standard deviations below.
+    Small sets are compared in full.  Of larger ones, ``LOWEST`` places of the
+    larger set stand for all; the limit is then that of a similarity lower by 16.
     """
-    a, b = F.col("a.low"), F.col("b.low")
-    part = {c: F.size(x) >= LOWEST for c, x in (("a", a), ("b", b))}
-    ends = [F.when(part[c], F.element_at(x, -1)).otherwise(F.lit(1 << 32)) for c, x in (("a", a), ("b", b))]
-    edge = F.least(*ends)
-    both = F.size(F.array_intersect(a, b))
-    n = sum(F.size(F.filter(x, lambda v: v <= edge)) for x in (a, b))
-    limit = F.when(part["a"] | part["b"], F.lit(percent - 13)).otherwise(F.lit(percent))
-    return 100 * both >= limit * (n - both)
+    large = F.greatest("a.size", "b.size")
+    limit = F.when(large > LOWEST, F.lit(percent - 16)).otherwise(F.lit(percent))
+    common = F.size(F.array_intersect("a.low", "b.low"))
+    return common * (100 + limit) * large >= limit * (F.col("a.size") + F.col("b.size")) * F.least(large, F.lit(LOWEST))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -213,14 +210,13 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = _spark.materialise(sketch(docs, width))
     named = sketches.filter("n_shingles > 0 and doc_id is not null")
-    classes = _spark.materialise(named.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = named.join(classes, ["fp1", "fp2", "n_shingles"]).filter("doc_id = rep")
+    chosen = named.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", "bits", "bands")).alias("m"))
+    words = [F.col("m.bits")[k].alias(f"w{k}") for k in range(WORDS)]
+    reps = _spark.materialise(chosen.select("fp1", "fp2", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("n_shingles").alias("size"), *words, F.col("m.bands").alias("bands")))
+    columns = ["size", *[f"w{k}" for k in range(WORDS)]]
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = keyed.join(buckets, "key")
-    words = [F.col("bits")[k].alias(f"w{k}") for k in range(WORDS)]
-    bits = sketches.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), *words)
-    members = _spark.materialise(members.join(bits, "rep").dropDuplicates(["key", "rep"]))
+    members = _spark.materialise(keyed.join(buckets, "key").join(reps.select("rep", *columns), "rep"))
     texts = _spark.materialise(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     def likely(a: str, b: str) -> Column:
@@ -230,41 +226,28 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         return (100 * small >= percent * large) & (differ <= MOST_BITS)
 
     # leaders of a bucket: its smallest id, and one that is smallest by a hash
-    one = F.struct("rep", "size", *[f"w{k}" for k in range(WORDS)])
-    lead = members.groupBy("key").agg(F.min("rep").alias("first"), F.min(F.struct(F.xxhash64("rep", F.col("key") % 2).alias("rank"), "rep")).alias("second"))
-    lead = lead.select("key", F.explode(F.array("first", "second.rep")).alias("rep")).distinct()
-    lead = lead.join(members, ["key", "rep"]).select("key", one.alias("b"))
+    one = F.struct("rep", *columns)
+    lead = members.groupBy("key").agg(F.min(one).alias("first"), F.min(F.struct(F.xxhash64("rep", F.col("key") % 2).alias("rank"), one.alias("one"))).alias("second"))
+    lead = lead.select("key", F.explode(F.array("first", "second.one")).alias("b"))
     found = members.select("key", one.alias("a")).join(lead, "key").filter((F.col("a.rep") != F.col("b.rep")) & likely("a", "b"))
     first = _spark.materialise(found.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct())
     labels = connected_components(confirmed(first, texts, width, percent))
 
-    # twice more for buckets that still hold several components: members against
-    # a leader by hash, then every pair that is left, each in one bucket only
-    tried = first
-    for every_pair in (False, True):
-        columns = ["size", *[f"w{k}" for k in range(WORDS)]]
-        placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", *columns, F.coalesce("root", "rep").alias("root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        placed = placed.join(mixed, "key")
-        if every_pair:
-            few = texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            placed = placed.join(reps.select("rep", "bands"), "rep").join(lowest(few, width), "rep")
-        placed = _spark.materialise(placed)
-        other = placed
-        if not every_pair:
-            lead = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("rank"), "rep")).alias("lead")).select("key", F.col("lead.rep").alias("rep"))
-            other = placed.join(lead, ["key", "rep"], "left_semi")
-        apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & likely("a", "b")
-        if every_pair:
-            here = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")
-            apart = apart & (F.col("a.rep") < F.col("b.rep")) & here & _close(percent)
-        found = placed.alias("a").join(other.alias("b"), apart).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
-        found = _spark.materialise(found.join(tried, ["a", "b"], "left_anti"))
-        fresh = _spark.materialise(confirmed(found, texts, width, percent))
-        tried = tried.union(found)
-        if fresh.limit(1).count():
-            labels = _spark.materialise(_merged(labels, fresh))
-    rooted = classes.join(labels, classes["rep"] == labels["node"], "left").select("fp1", "fp2", "n_shingles", F.coalesce("root", "rep").alias("root"))
+    # every pair of a bucket that is in different components, each in one bucket only
+    placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", *columns, F.coalesce("root", "rep").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    placed = _spark.materialise(placed.join(mixed, "key"))
+    few = texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    placed = _spark.materialise(placed.join(reps.select("rep", "bands").join(lowest(few, width), "rep"), "rep"))
+    # of the buckets that a pair shares, a hash of the pair chooses one
+    mask = F.xxhash64("a.rep", "b.rep")
+    here = F.array_min(F.transform(F.array_intersect("a.bands", "b.bands"), lambda k: k.bitwiseXOR(mask))) == F.col("a.key").bitwiseXOR(mask)
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & likely("a", "b") & here & _close(percent)
+    found = placed.alias("a").join(placed.alias("b"), apart).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    fresh = _spark.materialise(confirmed(found.join(first, ["a", "b"], "left_anti"), texts, width, percent))
+    if fresh.limit(1).count():
+        labels = _spark.materialise(_merged(labels, fresh))
+    rooted = reps.select("fp1", "fp2", "n_shingles", "rep").join(labels, reps["rep"] == labels["node"], "left").select("fp1", "fp2", "n_shingles", F.coalesce("root", "rep").alias("root"))
     placed = sketches.select("doc_id", "n_shingles", "fp1", "fp2").join(rooted, ["fp1", "fp2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
