@@ -14,7 +14,6 @@ column share a bucket); an empty table gives empty shards.
 
 from __future__ import annotations
 
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +58,7 @@ def shard_documents(df: DataFrame, n_shards: int = 24, seed: int = 20240, bucket
     and ``shard``.
     """
     spark = df.sparkSession
-    path = path or f"{_spark.shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    path = path or _spark.fresh_path(spark, "shards")
     records, total = scatter(df, bucket_bytes, seed, id_col, text_col)
     q, r = divmod(total, n_shards)
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -194,6 +193,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     """Write all pages to a fresh archive in the shared folder and read it back."""
     spark = pages.sparkSession
-    path = f"{_spark.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = _spark.fresh_path(spark, "warc")
     write_warc(pages, path, **columns)
     return read_warc(spark, path)
