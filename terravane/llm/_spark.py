@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terravane.storage import fresh_path, materialise, shared_dir
 
-__all__ = ["add_up", "fresh_path", "held_out", "materialise", "shared_dir", "ship", "table", "unused"]
+__all__ = ["add_up", "fresh_path", "held_out", "if_few", "materialise", "shared_dir", "ship", "table", "unused"]
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -46,6 +46,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: ids that are given to every task (16 MB); more of them are joined by a shuffle
+BROADCAST_IDS = 1 << 21
+
+
+def if_few(ids: DataFrame) -> DataFrame:
+    """Stored ``ids`` with a broadcast hint if they are counted to be few.
+
+    Texts that are joined with them then stay where they are.
+    """
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 #: vectors added up by one task
 FAN_IN = 64
 

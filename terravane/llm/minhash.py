@@ -217,7 +217,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = _spark.materialise(keyed.join(buckets, "key").join(reps.select("rep", *columns), "rep"))
-    texts = _spark.materialise(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    wanted = _spark.materialise(members.select(F.col("rep").alias("doc_id")).distinct())
+    texts = _spark.materialise(docs.join(_spark.if_few(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     def likely(a: str, b: str) -> Column:
         """Whether sizes and signature bits of two members allow a link."""
@@ -259,10 +260,10 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
     Rows without an id stay.  Of rows that repeat an id that stays, the one with
     the smallest text stays.
     """
-    found = near_duplicates(docs, width, percent, id_col, text_col)
+    found = _spark.materialise(near_duplicates(docs, width, percent, id_col, text_col))
     gone, place = _spark.unused(docs, "__gone"), _spark.unused(docs, "__place")
-    dropped = found.filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
-    left = docs.join(dropped, F.col(id_col).cast("long") == F.col(gone), "left_anti")
+    dropped = _spark.materialise(found.filter("not kept").select(F.col("doc_id").alias(gone)).distinct())
+    left = docs.join(_spark.if_few(dropped), F.col(id_col).cast("long") == F.col(gone), "left_anti")
     repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if repeated:
         keyed = left.filter(F.col(id_col).isNotNull())
