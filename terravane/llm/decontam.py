@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Every window of ``seed_words`` words of a test item is a possible seed.  One pass
-over the corpus counts the documents that hold each; a seed is rare if at most
-``rare_share`` of the documents hold it, and the rarer half of each item's seeds
-serve in any case, so an item that leaked into very many documents keeps seeds.
-Where a document holds a seed, the words around it are aligned with the item
-(match +2, mismatch -1, gap -1); the score is the best alignment divided by that
-of a perfect copy.  Windows are left out before alignment only if so few of the
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Every window of ``seed_words`` words of a test item is a seed, however common it
+is, so a copy is found by any part of it that is left.  Where a document holds a
+seed, the words around it are aligned with the item (match +2, mismatch -1, gap
+-1); the score is the best alignment divided by that of a perfect copy.  Windows
+that overlap are one window, and what lies before and after an alignment in it is
+searched again.  Windows are left out before alignment only if so few of the
 item's words occur in them that the score could not reach the threshold.
 
 The benchmark is a stated query set: it is broadcast in blocks of at most
@@ -27,7 +26,9 @@ from pyspark.sql import functions as F
 
 from terravane.llm import _text
 
-SEED_WORDS, THRESHOLD, RARE_SHARE, BLOCK_BYTES = 3, 0.55, 0.0005, 8 << 20
+SEED_WORDS, THRESHOLD, BLOCK_BYTES = 3, 0.55, 8 << 20
+#: places of seeds that are held at once
+HITS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -60,25 +61,13 @@ class Items:
         self.seed_at = np.arange(len(seeds)) - np.repeat(first[:-1], np.diff(first))
         self.short = np.diff(self.first) < n
         self.names, self.seed_name = np.unique(seeds, return_inverse=True)
-        self.used = np.ones(len(seeds), bool)
-
-    def choose(self, df: np.ndarray, limit: float) -> None:
-        """Keep rare seeds, and the rarer half of each item's."""
-        freq = df[self.seed_name]
-        order = np.lexsort((self.seed_at, freq, self.seed_item))
-        begin = np.searchsorted(self.seed_item[order], np.arange(len(self.ids)))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - begin[self.seed_item[order]]
-        half = (np.bincount(self.seed_item, minlength=len(self.ids)) + 1) // 2
-        self.used = (freq <= limit) | (rank < half[self.seed_item])
 
     def prepare(self) -> None:
-        order = np.flatnonzero(self.used)
-        order = order[np.argsort(self.seed_name[order], kind="stable")]
+        order = np.argsort(self.seed_name, kind="stable")
         names = self.seed_name[order]
-        self.table = _text.HashTable(self.names[np.unique(names)], np.arange(len(np.unique(names))))
-        self.start = np.searchsorted(names, np.unique(names))
-        self.stop = np.searchsorted(names, np.unique(names), "right")
+        self.table = _text.HashTable(self.names, np.arange(len(self.names)))
+        self.start = np.searchsorted(names, np.arange(len(self.names)))
+        self.stop = np.searchsorted(names, np.arange(len(self.names)), "right")
         self.order = order
 
 
@@ -86,18 +75,48 @@ def _windows(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
     return _text.grams(words, first, n)
 
 
+def _stretches(query: np.ndarray, window: np.ndarray, threshold: float) -> Iterator[tuple[float, int, int]]:
+    """Score, start of the search and end of each alignment in ``window`` that reaches the threshold."""
+    todo = [(0, len(window))]
+    while todo:
+        lo, hi = todo.pop()
+        part = window[lo:hi]
+        if np.isin(query, part).sum() < threshold * len(query):
+            continue
+        best, end = smith_waterman(query, part)
+        score = best / (MATCH * len(query))
+        if score < threshold:
+            continue
+        yield score, lo, lo + end
+        back = smith_waterman(query[::-1], part[:end][::-1])[1]
+        todo += [(lo, lo + end - back), (lo + end, hi)]
+
+
 def _align(items: Items, words: np.ndarray, first: np.ndarray, threshold: float) -> dict[str, list]:
     """All alignments at or above the threshold in a slice of documents."""
     out: dict[str, list] = {"text": [], "item": [], "score": [], "start": [], "end": []}
     gram, gram_first = _windows(words, first, items.n)
     name = items.table.get(gram)
     hit = np.flatnonzero(name >= 0)
-    if not len(hit):
-        return out
-    times = items.stop[name[hit]] - items.start[name[hit]]
-    seed = items.order[np.repeat(items.start[name[hit]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-    hit = np.repeat(hit, times)
-    text = np.searchsorted(gram_first, hit, "right") - 1
+    name = name[hit]
+    held = np.searchsorted(gram_first, hit, "right") - 1
+    total = np.cumsum(items.stop[name] - items.start[name])
+    a = 0
+    while a < len(hit):
+        # whole texts with at most HITS places of seeds, or one text
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, "right")))
+        if b < len(hit):
+            b = int(np.searchsorted(held, held[b]))
+            b = b if b > a else int(np.searchsorted(held, held[a], "right"))
+        _align_hits(items, words, first, gram_first, hit[a:b], name[a:b], held[a:b], threshold, out)
+        a = b
+    return out
+
+
+def _align_hits(items: Items, words: np.ndarray, first: np.ndarray, gram_first: np.ndarray, hit: np.ndarray, name: np.ndarray, text: np.ndarray, threshold: float, out: dict[str, list]) -> None:
+    times = items.stop[name] - items.start[name]
+    seed = items.order[np.repeat(items.start[name], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    hit, text = np.repeat(hit, times), np.repeat(text, times)
     place = hit - gram_first[text]
     item = items.seed_item[seed]
     begin = place - items.seed_at[seed]
@@ -114,18 +133,13 @@ def _align(items: Items, words: np.ndarray, first: np.ndarray, threshold: float)
             stop = begin[j] + size + pad
             j += 1
         lo, hi = max(0, begin[i] - pad), min(len(whole), stop)
-        window = whole[lo:hi]
-        if np.isin(query, window).sum() >= threshold * size:
-            best, end = smith_waterman(query, window)
-            score = best / (MATCH * size)
-            if score >= threshold:
-                out["text"].append(t)
-                out["item"].append(items.ids[m])
-                out["score"].append(score)
-                out["start"].append(lo)
-                out["end"].append(lo + end)
+        for score, start, end in _stretches(query, whole[lo:hi], threshold):
+            out["text"].append(t)
+            out["item"].append(items.ids[m])
+            out["score"].append(score)
+            out["start"].append(lo + start)
+            out["end"].append(lo + end)
         i = j
-    return out
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, seed_words: int) -> Iterator[Items]:
@@ -143,41 +157,14 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield Items(ids, texts, seed_words)
 
 
-def _seeded(docs: DataFrame, items: Items, rare_share: float) -> Items:
-    """Count the documents that hold each seed, and choose the rare ones."""
-    spark = docs.sparkSession
-    names = spark.sparkContext.broadcast(items.names)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n = _text.HashTable(names.value, np.arange(len(names.value))), items_n
-        df, rows = np.zeros(len(names.value), np.int64), 0
-        for batch in batches:
-            for part in _text.slices(batch, "text"):
-                words, first = _text.words(*_text.column_bytes(part.column(part.schema.get_field_index("text"))))
-                gram, gram_first = _windows(words, first, n)
-                name = table.get(gram)
-                hit = np.flatnonzero(name >= 0)
-                text = np.searchsorted(gram_first, hit, "right") - 1
-                df += np.bincount(np.unique(text * len(df) + name[hit]) % len(df), minlength=len(df))
-                rows += part.num_rows
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], rows))], ["seed", "n"])
-
-    items_n = items.n
-    total = {r["seed"]: r["n"] for r in docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()}  # at most one row a seed
-    df = np.array([total.get(i, 0) for i in range(len(items.names))], np.int64)
-    items.choose(df, max(2.0, rare_share * total.get(-1, 0)))
-    return items
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, rare_share: float = RARE_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each aligned stretch: ``doc_id``, ``item_id``, ``score``, ``start_word``, ``end_word``."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = spark.createDataFrame([], schema)
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes, seed_words):
-        block = spark.sparkContext.broadcast(_seeded(docs, items, rare_share))
+        block = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             block.value.prepare()
@@ -191,11 +178,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return found
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, rare_share: float = RARE_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs``, all columns, without the rows in which an item is found."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes, seed_words):
-        block = docs.sparkSession.sparkContext.broadcast(_seeded(texts, items, rare_share))
+        block = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             block.value.prepare()

@@ -342,6 +342,31 @@ def test_an_item_in_every_document_is_found(spark):
     assert decontam.find_leaks(df, bench).count() == 50 and decontam.drop_contaminated(df, bench).count() == 0
 
 
+def test_an_item_that_leaked_often_is_found_by_its_tail(spark):
+    item = [f"item{k}" for k in range(40)]
+    edited = [f"other{k}" if k % 3 == 1 and k <= 19 else w for k, w in enumerate(item)]
+    given = [(i, f"start{i} {' '.join(item)} end{i}") for i in range(6)] + [(6, " ".join(edited))]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    _spark.ship(spark)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.find_leaks(df, bench).collect()}
+    assert set(got) == set(range(7)) and got[6] == plain_alignment(item, edited) / (2 * len(item)) >= decontam.THRESHOLD
+    assert decontam.drop_contaminated(df, bench).count() == 0
+
+
+def test_each_copy_in_a_window_is_a_row(monkeypatch):
+    item = [f"item{k}" for k in range(40)]
+    items = decontam.Items([7], [" ".join(item)], 3)
+    items.prepare()
+    # a stray seed between the copies joins their windows
+    text = " ".join(item + ["a"] * 30 + item[18:21] + ["b"] * 30 + item)
+    given = _text.words(*_text.column_bytes(pa.array([text, "none", text])))
+    for held in (decontam.HITS, 1):
+        monkeypatch.setattr(decontam, "HITS", held)
+        out = decontam._align(items, *given, decontam.THRESHOLD)
+        assert sorted(zip(out["text"], out["end"], out["score"], strict=True)) == [(0, 40, 1.0), (0, 143, 1.0), (2, 40, 1.0), (2, 143, 1.0)]
+
+
 # --- 6
 
 
