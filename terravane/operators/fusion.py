@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import random
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import geometry as g
@@ -58,14 +61,17 @@ def surface_cells(density: DataFrame, iso: float = 0.5) -> DataFrame:
 def plane_hypotheses(points: DataFrame, triples: int, seed: int = 5, key: str = "id") -> DataFrame:
     """(hid, a, b, c, d): unit planes through three points each, chosen by a hash; c >= 0.
 
-    Degenerate triples are left out.
+    Where the points are fewer than three a hypothesis, they are drawn again in
+    another order.  Degenerate triples are left out.
     """
     n = points.count()
     picked = ranks.sample(points, min(n, 3 * triples), key, seed)
     rows = [(r["x"], r["y"], r["z"]) for r in picked.select("x", "y", "z", F.xxhash64(F.lit(seed), F.col(key)).alias("h"), key).orderBy("h", key).collect()]  # three points a hypothesis
-    out = []
-    for hid in range(min(triples, len(rows) // 3)):
-        p, q, s = rows[3 * hid : 3 * hid + 3]
+    out, once, rng = [], len(rows) // 3, random.Random(seed)
+    for hid in range(triples if once else 0):
+        if hid and hid % once == 0:
+            rng.shuffle(rows)
+        p, q, s = rows[3 * (hid % once) : 3 * (hid % once) + 3]
         u, v = [b - a for a, b in zip(p, q, strict=True)], [b - a for a, b in zip(p, s, strict=True)]
         normal = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
         length = sum(x * x for x in normal) ** 0.5
@@ -80,21 +86,24 @@ def plane_hypotheses(points: DataFrame, triples: int, seed: int = 5, key: str =
 def floor_plane(points: DataFrame, hypotheses: DataFrame, threshold: float = 0.02) -> DataFrame:
     """The hypothesis with the most points within the threshold; the first of equals.
 
-    All counts come from one pass over the points, one column for each hypothesis.
+    All counts come from one pass over the points.
     """
     rows = hypotheses.orderBy("hid").collect()  # a parameter of the search, not data
     if not rows:
         return hypotheses.select("*", F.lit(0).cast("long").alias("inliers")).limit(0)
     spark = points.sparkSession
-
-    def near(r) -> Column:
-        return F.abs(F.lit(r["a"]) * F.col("x") + F.lit(r["b"]) * F.col("y") + F.lit(r["c"]) * F.col("z") + F.lit(r["d"])) <= F.lit(float(threshold))
-
-    counts: list[tuple[int, int]] = []
-    for at in range(0, len(rows), 50):
-        part = rows[at : at + 50]
-        got = points.agg(*[F.count_if(near(r)).alias(f"h{r['hid']}") for r in part]).first()
-        counts += [(r["hid"], got[f"h{r['hid']}"]) for r in part]
+    hid, *plane = (np.array([r[k] for r in rows]) for k in ("hid", "a", "b", "c", "d"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (a, b, c, d), n = plane, np.zeros(len(hid), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                x, y, z = (v.to_numpy(zero_copy_only=False)[:, None] for v in batch.slice(at, 1024).columns)
+                n += (np.abs(a * x + b * y + c * z + d) <= threshold).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(hid, pa.int64()), pa.array(n)], ["hid", "n"])
+
+    places = points.select(*[F.col(k).cast("double") for k in "xyz"])
+    counts = [(r["hid"], r["n"]) for r in places.mapInArrow(near, "hid long, n long").groupBy("hid").agg(F.sum("n").alias("n")).collect()] or [(int(hid[0]), 0)]  # one row a hypothesis
     best = max(counts, key=lambda x: (x[1], -x[0]))
     return hypotheses.filter(F.col("hid") == F.lit(best[0])).crossJoin(spark.createDataFrame([(best[1],)], "inliers long"))
 
@@ -105,7 +114,7 @@ def rotation_to_z(a: float, b: float, c: float) -> list[list[float]]:
     return [[1 - a * a * k, -a * b * k, -a], [-a * b * k, 1 - b * b * k, -b], [a, b, c]]
 
 
-def align_floor(points: DataFrame, triples: int = 100, threshold: float = 0.02, key: str = "id") -> tuple[DataFrame, list[list[float]]]:
+def align_floor(points: DataFrame, triples: int = 1000, threshold: float = 0.02, key: str = "id") -> tuple[DataFrame, list[list[float]]]:
     """Points with the floor at z = 0, and the 3x4 transform.
 
     The plane is canonical (c >= 0), so moving by + d puts it at 0.

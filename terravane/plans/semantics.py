@@ -183,7 +183,7 @@ def floor_plane(r: Relations) -> DataFrame:
 
 @query()
 def align_floor(r: Relations) -> DataFrame:
-    return rounded(fusion.align_floor(r("pts").select("id", "x", "y", "z"), 60)[0], "x", "y", "z")
+    return rounded(fusion.align_floor(r("pts").select("id", "x", "y", "z"))[0], "x", "y", "z")
 
 
 # --- strategies

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import geometry as g
 from terravane.operators import assoc, filters, fusion, graph, images, masks, pointcloud, ranks, score, spatial
+from terravane.plans.all_queries import QUERIES
 from terravane.plans.registry import Relations
 from terravane.plans.scene import seen_in_patches
 from terravane.sources import config, io
@@ -248,6 +249,23 @@ def test_floor_ends_at_zero(spark):
     assert np.allclose(r @ r.T, np.eye(3))
 
 
+def test_floor_of_few_points_is_found(spark):
+    # a triple lies wholly on the floor with a chance of 0.003
+    rng = random.Random(11)
+    rows = [(i, x := rng.random(), y := rng.random(), 0.2 * x - 0.1 * y + 0.5 + (0.0 if i % 7 == 0 else 3 * rng.random() + 0.1)) for i in range(350)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    assert fusion.plane_hypotheses(points, 1000).count() == 1000
+    assert fusion.align_floor(points, threshold=0.01)[0].filter("id % 7 = 0 AND abs(z) > 1e-6").count() == 0
+
+
+def test_floor_query_searches_with_the_operator_default(spark, monkeypatch):
+    given = []
+    find = fusion.plane_hypotheses
+    monkeypatch.setattr(fusion, "plane_hypotheses", lambda points, triples, **k: given.append(triples) or find(points, triples, **k))
+    QUERIES["align_floor"](spark, SF)
+    assert given == [1000]
+
+
 def test_grid_cells_of_a_single_sample(spark):
     d = spark.createDataFrame([((5 * 4096 + 5) * 4096 + 5, 1.0)], "id long, density double")
     assert fusion.surface_cells(d, 0.5).count() == 8
