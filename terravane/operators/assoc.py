@@ -51,6 +51,7 @@ def merged_bank(bank: DataFrame | None, seen: DataFrame, labels: DataFrame) -> D
 
 def associate(seen: DataFrame, threshold: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """Labels (view, mask_id, label) of all views in order, and the final bank."""
+    seen = materialise(seen)  # each view reads it
     views = [r["view"] for r in seen.select("view").distinct().orderBy("view").collect()]  # one number for each view
     bank, out, next_label = None, None, 0
     for view in views:

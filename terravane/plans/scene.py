@@ -324,6 +324,6 @@ def update_bank(r: Relations) -> DataFrame:
 @query()
 def associate(r: Relations) -> DataFrame:
     seen = masks.front_of_patches(seen_in_patches(r), 0.5).select("view", "mask_id", "gid")
-    return assoc.associate(seen.filter("view < 4"), 0.1)[0]
+    return assoc.associate(seen, 0.1)[0]
 
 

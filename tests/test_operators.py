@@ -240,6 +240,14 @@ def test_association_equals_a_plain_loop(spark):
     assert got == want
 
 
+def test_registered_associations_label_the_masks_of_all_views(spark):
+    seen = masks.front_of_patches(seen_in_patches(Relations(spark, SF)), 0.5)
+    want = {(r["view"], r["mask_id"]) for r in seen.select("view", "mask_id").distinct().collect()}
+    assert {view for view, _ in want} == set(range(8))
+    loop, stream = ({(r["view"], r["mask_id"]): r["label"] for r in QUERIES[name](spark, SF).collect()} for name in ("associate", "stateful_fold"))
+    assert set(loop) == want and stream == loop
+
+
 def test_floor_ends_at_zero(spark):
     rng = random.Random(9)
     rows = [(i, x := rng.random(), y := rng.random(), 0.2 * x - 0.1 * y + 1.5 + (5 * rng.random() if i % 4 == 0 else 0.0)) for i in range(200)]
