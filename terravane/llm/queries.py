@@ -50,7 +50,7 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.round_trip(_spark.table(spark, sf_dir, "pages"))
+    read = warc.round_trip(_spark.table(spark, sf_dir, "pages"), payloads=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -413,8 +413,49 @@ def test_archive_round_trip(spark):
     assert collections.Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in got) == want
     assert {bytes(r["payload"]) for r in got if r["payload"] is not None} == {(h or "").encode() for _, _, h in given}
     assert warc.round_trip(df.limit(0)).count() == 0
-    with pytest.raises(Exception, match="without an id"):
-        warc.round_trip(df.withColumn("page_id", F.lit(None).cast("long"))).collect()
+
+
+def test_rows_without_an_id_are_archived(spark):
+    body, other = "x" * 200, "y" * 200
+    given = [(None, "u", body), (None, "u", body), (7, "v", body), (9, "v", body), (None, "u", other), (None, "w", "short"), (None, None, None)]
+    _spark.ship(spark)
+    got = warc.round_trip(spark.createDataFrame(given, "page_id long, url string, html string")).collect()
+    assert collections.Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got) == {(None, "revisit", 7, 200): 2, (7, "response", None, 200): 1, (9, "revisit", 7, 200): 1, (None, "response", None, 200): 1, (None, "response", None, 5): 1, (None, "response", None, 0): 1}
+
+
+def test_many_equal_payloads_meet_by_a_shuffle(spark, monkeypatch):
+    given = [(k, f"u{k}", "hot payload " * 20 if k % 2 else f"pair {k // 4} " * 20 if k % 4 else "") for k in range(400)]
+    given += [(k + 1000, "u", f"pair {k % 100} " * 20) for k in range(150)]
+    df = spark.createDataFrame(given, "page_id long, url string, html string")
+    _spark.ship(spark)
+
+    def out():
+        return sorted((r["page_id"], r["record_type"], r["refers_to"] or -1, r["payload_bytes"]) for r in warc.round_trip(df).collect())
+
+    want = out()
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    monkeypatch.setattr(warc, "HOT", 8)
+    assert out() == want and sum(r[1] == "revisit" for r in want) > 250
+
+
+def _read_back(spark, folder, records):
+    import gzip
+
+    folder.mkdir()
+    (folder / "a.gz").write_bytes(gzip.compress(b"".join(records)))
+    return warc.read_warc(spark, str(folder)).collect()
+
+
+def test_segments_missing_doubled_or_swapped_are_refused(spark, tmp_path):
+    payload = bytes(range(33, 120)) * 80
+    parts = list(warc.records_of(1, 0, "u", payload, hashlib.sha256(payload).hexdigest(), None, 1000))
+    _spark.ship(spark)
+    rows = _read_back(spark, tmp_path / "whole", parts[::-1])
+    assert [(r["page_id"], bytes(r["payload"])) for r in rows] == [(1, payload)]
+    swapped = [p.replace(b"Segment-Number: 2\r", b"Segment-Number: X\r").replace(b"Segment-Number: 3\r", b"Segment-Number: 2\r").replace(b"Segment-Number: X\r", b"Segment-Number: 3\r") for p in parts]
+    for name, given in {"first": parts[1:], "last": parts[:-1], "inner": parts[:2] + parts[3:], "doubled": [*parts, parts[2]], "swapped": swapped}.items():
+        with pytest.raises(Exception, match="is not complete|another digest|chunk without|invalid literal|not found"):
+            _read_back(spark, tmp_path / name, given)
 
 
 def test_segments_are_checked(spark, tmp_path):
