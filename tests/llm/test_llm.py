@@ -545,6 +545,60 @@ def test_pages_and_edge_cases(spark):
     assert html.extract_pages(odd.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def learned():
+    import duckdb
+
+    seen = collections.Counter()
+    for (page,) in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall():
+        seen.update(html.label_counts(page or ""))
+    return html.weights(seen)
+
+
+def test_scan_and_learned_weights_decide(learned, monkeypatch):
+    import duckdb
+
+    pages = [p for (p,) in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()]
+    want = [html.extract(p, learned) for p in pages]
+    with monkeypatch.context() as m:  # no list of names is needed where pages are labelled
+        m.setattr(html, "listed", lambda name: False)
+        assert [html.extract(p, learned) for p in pages] == want
+        # a class that no list knows is learned to be no content
+        other = [p.replace('class="ad"', 'class="zq17"') for p in pages]
+        seen = collections.Counter()
+        for p in other:
+            seen.update(html.label_counts(p))
+        assert [html.extract(p, html.weights(seen)) for p in other] == want
+    monkeypatch.setattr(html, "best_region", lambda scores: (0, len(scores)))
+    assert sum(html.extract(p, learned) != w for p, w in zip(pages, want, strict=True)) > len(pages) / 2
+
+
+TEXT = "These are the words of a paragraph that is long enough to be the text of a page."
+
+
+@pytest.mark.parametrize("name", ["side-effects", "search-results", "form-of-government", "alert-levels-explained"])
+def test_compound_names_are_no_hints(learned, name):
+    page = f'<body><p>{TEXT}</p><div class="{name}"><p>Second. {TEXT}</p></div><p>Third. {TEXT}</p></body>'
+    for weight in ({}, learned):
+        assert html.extract(page, weight) == f"{TEXT}\nSecond. {TEXT}\nThird. {TEXT}"
+
+
+def test_pages_without_article_or_main(learned):
+    page = f"""<body><div><a href=/>Home</a> | <a href=/a>About us</a> | <a href=/b>Shop</a> | <a href=/c>Help</a></div>
+    <ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul><div id="wrap"><h2>Title of it</h2><p>{TEXT}<ul><li>{TEXT}<li>{TEXT}</ul>
+    <div class="comment-list"><p>Some reader wrote this</p></div><div class="site-footer">All rights reserved</div></div><span>x</span></body>"""
+    for weight in ({}, learned):
+        assert html.extract(page, weight) == f"Title of it\n{TEXT}\n{TEXT}\n{TEXT}"
+
+
+@pytest.mark.parametrize("tag", ["svg", "select", "object", "math", "canvas", "textarea", "noscript"])
+def test_unclosed_elements_keep_the_rest(learned, tag):
+    page = f"<body><p>{TEXT}</p><div><{tag} id=x></div><p>{TEXT}</p></body>"
+    inner = f"<body><p>{TEXT}</p><{tag}><p>{TEXT}</p></body>"
+    for weight in ({}, learned):
+        assert html.extract(page, weight) == html.extract(inner, weight) == f"{TEXT}\n{TEXT}"
+
+
 # --- 10
 
 
