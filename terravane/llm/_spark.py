@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,22 +63,25 @@ def if_few(ids: DataFrame) -> DataFrame:
 FAN_IN = 64
 
 
-def add_up(df: DataFrame, n_parts: int) -> DataFrame:
+def add_up(df: DataFrame, n_parts: int, kind: str = "double") -> DataFrame:
     """(i, v): element-wise sums of the arrays of each ``i``; ``df`` has (i, part, v).
 
-    At most ``FAN_IN`` arrays meet in a task; more parts are added in levels.
+    At most ``FAN_IN`` arrays meet in a task, and are added by the order of
+    ``part``; more parts are added in levels.  ``kind``: double or float.
     """
+    numbers = pa.float64() if kind == "double" else pa.float32()
 
     def add(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
         total = None
         for v in group.column("v"):
-            v = v.values.to_numpy()
+            v = v.values.to_numpy().astype(np.float64)
             total = v if total is None else total + v
-        return pa.table({"i": group.column("i")[:1], "part": group.column("part")[:1], "v": pa.array([total], pa.list_(pa.float64()))})
+        return pa.table({"i": group.column("i")[:1], "part": group.column("part")[:1], "v": pa.array([total], pa.list_(pa.float64())).cast(pa.list_(numbers))})
 
     while True:
         n_parts = -(-n_parts // FAN_IN)
-        df = df.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("i", "part").applyInArrow(add, "i long, part long, v array<double>")
+        df = df.withColumn("at", F.col("part")).withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("i", "part").applyInArrow(add, f"i long, part long, v array<{kind}>")
         if n_parts <= 1:
             return df.select("i", "v")
 

@@ -1,24 +1,33 @@
 """Language-model scoring with a log-bilinear model.
 
 Tokens are lower-cased words, then one end of text.  Counts of all training
-tokens are gathered over the whole corpus.  The ``OUTPUTS`` most frequent tokens
-are outputs of the model; all others share the output *tail*, within which a
-token has its smoothed share of the tail's count, so that probabilities over all
-known tokens and one unknown token sum to 1.
-
-The model predicts a token from each of the ``CONTEXT`` tokens before it:
-``log p_j(w | c) = R_j[c] . Q[w] + b[w] - log Z_j(c)``; the positions are mixed
-with fixed weights.  It is trained in numpy with noise-contrastive estimation:
-every partition trains on its own documents from the same start, the weighted
-mean is the next round's start, and each document is used in one round.  For
-scoring, batched matrix products give the normalised table of each position.
+tokens are gathered over the whole corpus.  The model has ``side * side`` outputs,
+a number that grows with the vocabulary up to ``SIDE``: the most frequent tokens
+have half of the outputs to themselves, and every other token belongs to one of
+the rest by its hash, within which it has its smoothed share of the counts.
+Probabilities over all known tokens, and one unknown token for each shared output,
+sum to 1.
+
+The vectors of the ``CONTEXT`` tokens before a token are summed, r = C1[c1] +
+C2[c2], and the output o = (class a, member m) is predicted in two steps:
+``p(o | c) = softmax(U r + d)[a] * softmax(Q_a r + b_a)[m]``.  The model is trained
+in numpy with noise-contrastive estimation of both steps.  Training texts are
+dealt into shards by hashes; every shard is trained on in a fixed order from the
+same start, and the mean of the shards, weighted for each row by its use, is the
+next round's start.  Neither the shards nor their order depend on partitions.
+Each text is used in one round.  For scoring, batched matrix products give the
+normalised log-probabilities of both steps.
 
 Counts of the ``TABLE`` most frequent tokens are broadcast (a fixed bound, chosen
 by a count threshold); rarer tokens meet their counts in a shuffled join.
 
 Nulls and empty texts consist of their end.  A null id counts as not held out.
-Repeated rows are separate texts, each with its own score.  Without training
-tokens all probabilities come from the smoothing.
+Texts of any length are scored whole; training cuts them into pieces that keep
+their contexts.  Repeated rows are separate texts, each with its own score; those
+equal in id and text are trained on in one shard, piece by piece.  Tokens of equal
+count are ordered by hash.  Without training tokens all probabilities come from
+the smoothing; an empty table gives no rows.  Other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,17 +36,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm import _spark, _text
 
-OUTPUTS, WIDTH, CONTEXT, MIX = 2048, 24, 2, (0.65, 0.35)
-TABLE, ROUNDS, NOISE, BATCH, REPEAT = 1 << 19, 2, 64, 4096, 8
+WIDTH, CONTEXT, SIDE, PER_OUTPUT = 24, 2, 128, 64
+TABLE, ROUNDS, BATCH, NOISE, NOISE_MEMBERS, RATE = 1 << 19, 2, 1 << 14, 32, 16, 0.08
+#: training tokens of a shard (more of them beyond ``MOST_SHARDS``), of one pass, and of a piece of a text
+SHARD, MOST_SHARDS, PASS, PIECE = 2_000_000, 4096, 2_000_000, 1 << 16
 END = np.uint64(0x45_4E_44)
-TAIL, START = 0, OUTPUTS
 SMOOTH = 0.1
+#: rows of a parameter that are added up together
+BLOCK_ROWS = 1024
 
 
 def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,192 +95,357 @@ def count_tokens(train: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The broadcast part of the counts, most frequent first."""
+    """The broadcast part of the counts, most frequent first, and the outputs.
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    ``shared``: (total, distinct) of all tokens by ``bucket_of``, those with an
+    output of their own included.
+    """
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, total: int, distinct: int, side: int, shared: tuple[np.ndarray, np.ndarray]):
         order = np.lexsort((tokens, -counts))
         self.tokens, self.counts = tokens[order], counts[order]
-        self.total, self.distinct = total, distinct
-        self.n_outputs = min(OUTPUTS - 1, len(tokens))
-        own = self.counts[: self.n_outputs]
-        self.tail_total, self.tail_distinct = total - int(own.sum()), distinct - self.n_outputs
-        self.unigram = np.full(OUTPUTS, 1e-12)
-        self.unigram[TAIL] = max(self.tail_total, 1)
-        self.unigram[1 : 1 + self.n_outputs] = own
-        self.unigram /= self.unigram.sum()
+        self.total, self.distinct, self.side = total, distinct, side
+        self.half = side * side // 2
+        self.n_own = min(self.half, len(tokens))
+        bucket = self.bucket_of(self.tokens[: self.n_own])
+        mass = shared[0] - np.bincount(bucket, self.counts[: self.n_own], self.half)
+        kinds = shared[1] - np.bincount(bucket, minlength=self.half)
+        #: log10 of what the smoothed counts of a shared output add up to, its unknown token included
+        weight = mass + SMOOTH * (kinds + 1)
+        self.share = np.log10(weight)
+        unigram = np.zeros(side * side)
+        unigram[: self.n_own] = self.counts[: self.n_own]
+        unigram[self.half :] = weight
+        self.unigram = unigram / unigram.sum()
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_table"}
 
+    def bucket_of(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens >> np.uint64(20)).astype(np.int64) & (self.half - 1)
+
     def index(self, tokens: np.ndarray) -> np.ndarray:
         if not hasattr(self, "_table"):
             self._table = _text.HashTable(self.tokens, np.arange(len(self.tokens)))
         return self._table.get(tokens)
 
-    def outputs(self, index: np.ndarray) -> np.ndarray:
-        return np.where((index >= 0) & (index < self.n_outputs), index + 1, TAIL)
+    def outputs(self, tokens: np.ndarray, index: np.ndarray) -> np.ndarray:
+        own = (index >= 0) & (index < self.n_own)
+        return np.where(own, index, self.half + self.bucket_of(tokens)).astype(np.int32)
 
+    def levels(self) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of the classes, and of the members in each class, by counts."""
+        members = self.unigram.reshape(self.side, self.side)
+        classes = members.sum(1)
+        return classes, members / np.maximum(classes, 1e-300)[:, None]
 
-def contexts(ids: np.ndarray, first: np.ndarray, back: int) -> np.ndarray:
-    """The output ``back`` places before each token, START before the text."""
-    out = np.full(len(ids), START, ids.dtype)
-    out[back:] = ids[: len(ids) - back]
-    for k in range(back):
-        at = first[:-1] + k
-        out[at[at < first[1:]]] = START
-    return out
 
+def side_of(total: int, distinct: int) -> int:
+    """Classes, and members of each: a power of two, up to ``SIDE``.
 
-def start_model(vocabulary: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    model = {f"R{j}": rng.normal(0, 0.1, (OUTPUTS + 1, WIDTH)) for j in range(CONTEXT)}
-    return model | {"Q": rng.normal(0, 0.1, (OUTPUTS, WIDTH)), "b": np.log(vocabulary.unigram)}
+    Two outputs for each token suffice, and each output has ``PER_OUTPUT`` training tokens or more.
+    """
+    side = 4
+    while side < SIDE and side * side < 2 * distinct and 4 * side * side * PER_OUTPUT <= total:
+        side *= 2
+    return side
 
 
-def nce_pass(model: dict[str, np.ndarray], vocabulary: Vocabulary, pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int, rate: float = 0.03) -> None:
-    """One pass over (context, token, weight) of each position, in place."""
-    rng = np.random.default_rng(seed)
-    shift = np.log(NOISE * vocabulary.unigram)
-    cumulative = np.cumsum(vocabulary.unigram)
-    Q, b = model["Q"], model["b"]
-    squares = {k: np.full(v.shape[0], 1e-2) for k, v in model.items()}
+def padded(tokens: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """``CONTEXT`` times ``start`` before each text; new offsets."""
+    n = len(first) - 1
+    out = np.full(len(tokens) + CONTEXT * n, start, tokens.dtype)
+    out[np.arange(len(tokens)) + CONTEXT * (1 + np.repeat(np.arange(n), np.diff(first)))] = tokens
+    return out, first + CONTEXT * np.arange(n + 1)
 
-    def step(name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
-        # rows that occur several times in a batch are added up first
+
+def samples(ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Tokens and their contexts, nearest first, of texts that begin with ``CONTEXT`` ids of context."""
+    inner = np.ones(len(ids), bool)
+    for k in range(CONTEXT):
+        inner[first[:-1] + k] = False
+    at = np.flatnonzero(inner)
+    return [ids[at - k] for k in range(CONTEXT + 1)]
+
+
+def start_model(vocabulary: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    size, side = len(vocabulary.unigram), vocabulary.side
+    classes, members = vocabulary.levels()
+    model = {f"C{j}": rng.normal(0, 0.1, (size + 1, WIDTH)) for j in range(1, CONTEXT + 1)}
+    model |= {"U": rng.normal(0, 0.1, (side, WIDTH)), "Q": rng.normal(0, 0.1, (size, WIDTH))}
+    model["Q"][vocabulary.unigram == 0] = 0
+    model["U"][classes == 0] = 0
+    # an output that no token has gets no probability
+    model |= {"d": np.log(np.maximum(classes, 1e-26)), "b": np.log(np.maximum(members, 1e-26)).reshape(-1)}
+    return {k: v.astype(np.float32) for k, v in model.items()}
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Trainer:
+    """One shard's copy of the model; ``used`` counts the use of each row."""
+
+    def __init__(self, model: dict[str, np.ndarray], vocabulary: Vocabulary):
+        self.model = {k: v.copy() for k, v in model.items()}
+        self.squares = {k: np.full(len(v), 1e-2, np.float32) for k, v in model.items()}
+        self.used = {k: np.zeros(len(v)) for k, v in model.items()}
+        self.side = vocabulary.side
+        classes, members = vocabulary.levels()
+        self.classes, self.members = np.cumsum(classes), np.cumsum(members, 1)
+        self.shift_d = np.log(np.maximum(classes, 1e-26) * NOISE).astype(np.float32)
+        self.shift_b = np.log(np.maximum(members, 1e-26) * NOISE_MEMBERS).reshape(-1).astype(np.float32)
+
+    def step(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """AdaGrad; rows that occur several times are added up first."""
         order = np.argsort(rows, kind="stable")
         at = np.flatnonzero(np.append(True, rows[order][1:] != rows[order][:-1]))
         own, g = rows[order][at], np.add.reduceat(gradient[order], at, axis=0)
-        squares[name][own] += (g * g).mean(axis=1) if g.ndim > 1 else g * g
-        size = rate / np.sqrt(squares[name][own])
-        model[name][own] += g * (size[:, None] if g.ndim > 1 else size)
-
-    work = [(j, a) for j, (c, _, _) in enumerate(pairs) for a in range(0, len(c), BATCH)]
-    for k in rng.permutation(len(work)):
-        j, a = work[k]
-        c, w, weight = (x[a : a + BATCH] for x in pairs[j])
-        scale = weight[:, None] / max(1.0, float(weight.sum())) * 64
-        r = model[f"R{j}"][c]
-        q = Q[w]
-        noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), OUTPUTS - 1)
-        good = 1 / (1 + np.exp(np.clip((r * q).sum(1) + b[w] - shift[w], -30, 30)))[:, None] * scale
-        bad = -1 / (1 + np.exp(-np.clip(r @ Q[noise].T + b[noise] - shift[noise], -30, 30))) * scale
-        dr = good * q + bad @ Q[noise]
-        step("Q", np.concatenate([w, noise]), np.concatenate([good * r, bad.T @ r]))
-        step("b", np.concatenate([w, noise]), np.concatenate([good[:, 0], bad.sum(0)]))
-        step(f"R{j}", c, dr)
-
-
-def _pairs(context: np.ndarray, token: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs with weights of at most ``REPEAT``, heavier ones repeated, shuffled."""
-    key, n = np.unique(context * OUTPUTS + token, return_counts=True)
-    times = -(-n // REPEAT)
-    key, weight = np.repeat(key, times), np.repeat(n / times, times)
-    order = np.random.default_rng(seed).permutation(len(key))
-    return key[order] // OUTPUTS, key[order] % OUTPUTS, weight[order]
+        self.used[name][own] += np.diff(np.append(at, len(rows)))
+        self.squares[name][own] += (g * g).mean(axis=1) if g.ndim > 1 else g * g
+        size = RATE / np.sqrt(self.squares[name][own])
+        self.model[name][own] += g * (size[:, None] if g.ndim > 1 else size)
+
+    def batch(self, rng: np.random.Generator, o: np.ndarray, *contexts: np.ndarray) -> None:
+        """Noise-contrastive steps of both levels on (output, contexts)."""
+        m, side = self.model, self.side
+        order = np.argsort(o, kind="stable")
+        o, contexts = o[order], [c[order] for c in contexts]
+        a, scale = o // side, np.float32(64 / len(o))
+        r = sum(m[f"C{j}"][c] for j, c in enumerate(contexts, 1))
+        # classes
+        noise = np.minimum(np.searchsorted(self.classes, rng.random(NOISE) * self.classes[-1]), side - 1)
+        good = _sigmoid(-((r * m["U"][a]).sum(1) + m["d"][a] - self.shift_d[a])) * scale
+        bad = -_sigmoid(r @ m["U"][noise].T + m["d"][noise] - self.shift_d[noise]) * scale
+        dr = good[:, None] * m["U"][a] + bad @ m["U"][noise]
+        du = np.concatenate([good[:, None] * r, bad.T @ r]), np.concatenate([good, bad.sum(0)])
+        # members of each class
+        good = _sigmoid(-((r * m["Q"][o]).sum(1) + m["b"][o] - self.shift_b[o])) * scale
+        dr += good[:, None] * m["Q"][o]
+        rows, dq, db = [o], [good[:, None] * r], [good]
+        edges = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        draws = rng.random((len(edges), NOISE_MEMBERS))
+        for k, (lo, hi) in enumerate(zip(edges, np.append(edges[1:], len(a)), strict=True)):
+            own = self.members[a[lo]]
+            q = int(a[lo]) * side + np.minimum(np.searchsorted(own, draws[k] * own[-1]), side - 1)
+            near = r[lo:hi]
+            bad = -_sigmoid(near @ m["Q"][q].T + m["b"][q] - self.shift_b[q]) * scale
+            dr[lo:hi] += bad @ m["Q"][q]
+            rows.append(q)
+            dq.append(bad.T @ near)
+            db.append(bad.sum(0))
+        rows = np.concatenate(rows)
+        self.step("U", np.concatenate([a, noise]), du[0])
+        self.step("d", np.concatenate([a, noise]), du[1])
+        self.step("Q", rows, np.concatenate(dq))
+        self.step("b", rows, np.concatenate(db))
+        for j, c in enumerate(contexts, 1):
+            self.step(f"C{j}", c, dr)
+
+    def learn(self, seed: int, o: np.ndarray, *contexts: np.ndarray) -> None:
+        rng = np.random.default_rng(seed)
+        order = rng.permutation(len(o))
+        for at in range(0, len(o), BATCH):
+            k = order[at : at + BATCH]
+            self.batch(rng, o[k], *(c[k] for c in contexts))
+
+
+def _pieces(texts: DataFrame, vocabulary, turn: int, n_shards: int) -> DataFrame:
+    """``shard``, ``rank`` and ``ids`` of the pieces of the texts of one round."""
+    chosen = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(ROUNDS)) == turn)
+    chosen = chosen.select(F.xxhash64("doc_id").alias("name"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary.value
+        start = len(vocab.unigram)
+        for batch in batches:
+            for part in _text.slices(batch, "text"):
+                tokens, first = token_hashes(part.column(1))
+                ids, first = padded(vocab.outputs(tokens, vocab.index(tokens)), first, start)
+                size = np.diff(first) - CONTEXT
+                n = -(-size // PIECE)
+                text = np.repeat(np.arange(len(size)), n)
+                k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+                lo = first[:-1][text] + k * PIECE
+                hi = np.minimum(lo + PIECE + CONTEXT, first[1:][text])
+                held = np.concatenate([np.zeros(0, np.int64), *(np.arange(x, y) for x, y in zip(lo, hi, strict=True))])
+                offsets = np.concatenate([[0], np.cumsum(hi - lo)])
+                content = np.add.reduceat(_text.mix(ids[held].astype(np.uint64) + np.arange(len(held), dtype=np.uint64) - np.repeat(offsets[:-1], hi - lo).astype(np.uint64)), offsets[:-1])
+                rank = _text.mix(part.column(0).to_numpy().view(np.uint64)[text] + k.astype(np.uint64) + content)
+                shard = (rank >> np.uint64(11)).astype(np.int64) % n_shards
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(rank.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids[held]))], ["shard", "rank", "ids"])
+
+    return chosen.mapInArrow(run, "shard long, rank long, ids array<int>")
 
 
 def train_model(train: DataFrame, vocabulary) -> dict[str, np.ndarray]:
-    """Rounds of training in the partitions; ``train`` has doc_id and text."""
+    """Rounds of training; ``train`` has doc_id and text, ``vocabulary`` is broadcast."""
     spark = train.sparkSession
     model = start_model(vocabulary.value)
-    names = sorted(model)
+    blocks = [(k, at) for k in sorted(model) for at in range(0, len(model[k]), BLOCK_ROWS)]
+    n_shards = min(MOST_SHARDS, max(1, -(-vocabulary.value.total // (ROUNDS * SHARD))))
     for turn in range(ROUNDS):
         given = spark.sparkContext.broadcast(model)  # a fixed size
 
-        def run(batches: Iterator[pa.RecordBatch], given=given, turn=turn) -> Iterator[pa.RecordBatch]:
-            vocab, own = vocabulary.value, {k: v.copy() for k, v in given.value.items()}
-            held: list[list[np.ndarray]] = [[] for _ in range(CONTEXT + 1)]
-            seen = size = 0
-
-            def flush() -> None:
-                nonlocal size, held
-                ids = np.concatenate(held[-1])
-                nce_pass(own, vocab, [_pairs(np.concatenate(held[j]), ids, seen) for j in range(CONTEXT)], seen)
-                held, size = [[] for _ in range(CONTEXT + 1)], 0
+        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            start = given.value
+            shard, trainer, held, size = -1, None, [], 0
+
+            def learn() -> None:
+                nonlocal held, size
+                if size:
+                    trainer.learn(shard, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
+
+            def result() -> pa.RecordBatch:
+                learn()
+                rows = []
+                for name, at in blocks:
+                    used = trainer.used[name][at : at + BLOCK_ROWS]
+                    moved = trainer.model[name][at : at + BLOCK_ROWS] - start[name][at : at + BLOCK_ROWS]
+                    rows.append(np.concatenate([used, (moved.reshape(len(used), -1) * used[:, None]).reshape(-1)]).astype(np.float32))
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), shard)), pa.array(rows, pa.list_(pa.float32()))], ["i", "part", "v"])
 
             for batch in batches:
-                for part in _text.slices(batch, "text"):
-                    tokens, first = token_hashes(part.column(0))
-                    ids = vocab.outputs(vocab.index(tokens))
-                    for j in range(CONTEXT):
-                        held[j].append(contexts(ids, first, j + 1))
-                    held[-1].append(ids)
-                    seen += len(ids)
-                    size += len(ids)
-                    if size > 4_000_000:
-                        flush()
-            if size:
-                flush()
-            if seen:
-                rows = [np.append(own[k].reshape(-1) * seen, seen) for k in names]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), TaskContext.get().partitionId())), pa.array(rows, pa.list_(pa.float64()))], ["i", "part", "v"])
-
-        chosen = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(ROUNDS)) == turn).select("text")
-        parts = chosen.mapInArrow(run, "i long, part long, v array<double>")
-        sums = _spark.add_up(parts, chosen.rdd.getNumPartitions()).collect()  # one model
+                shards = batch.column(0).to_numpy()
+                edges = np.append(np.flatnonzero(np.append(True, shards[1:] != shards[:-1])), len(shards)) if len(shards) else [0]
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    if shards[lo] != shard:
+                        if trainer is not None:
+                            yield result()
+                        shard, trainer = int(shards[lo]), Trainer(start, vocabulary.value)
+                    ids = batch.column(2).slice(lo, hi - lo)
+                    first = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
+                    found = samples(ids.flatten().to_numpy(), first)
+                    for at in range(0, len(found[0]), PASS):
+                        held.append([x[at : at + PASS] for x in found])
+                        size += len(held[-1][0])
+                        if size >= PASS:
+                            learn()
+            if trainer is not None:
+                yield result()
+            _text.give_back()
+
+        pieces = _pieces(train, vocabulary, turn, n_shards)
+        parts = pieces.repartition(min(2 * n_shards, MOST_SHARDS), "shard").sortWithinPartitions("shard", "rank")
+        sums = _spark.add_up(parts.mapInArrow(run, "i long, part long, v array<float>"), n_shards, "float").collect()  # one model
+        model = {k: v.copy() for k, v in model.items()}
         for r in sums:
+            name, at = blocks[r["i"]]
+            own = model[name][at : at + BLOCK_ROWS]
             v = np.array(r["v"])
-            model[names[r["i"]]] = (v[:-1] / v[-1]).reshape(model[names[r["i"]]].shape)
+            used, moved = v[: len(own)], v[len(own) :].reshape(own.shape)
+            own += moved / np.maximum(used, 1).reshape(-1, *[1] * (own.ndim - 1))
     return model
 
 
-def probabilities(model: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """Normalised probabilities (context, token) of each position."""
-    out = []
-    for j in range(CONTEXT):
-        s = (model[f"R{j}"] @ model["Q"].T + model["b"]).astype(np.float32)
-        s -= s.max(axis=1, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=1, keepdims=True)
-        out.append(s)
+def log_probabilities(model: dict[str, np.ndarray], side: int, o: np.ndarray, *contexts: np.ndarray) -> np.ndarray:
+    """Normalised natural log-probability of each output after its contexts."""
+    out = np.empty(len(o), np.float32)
+    members, b = model["Q"].reshape(side, side, -1), model["b"].reshape(side, side)
+    for lo in range(0, len(o), 1 << 16):
+        at = np.argsort(o[lo : lo + (1 << 16)], kind="stable") + lo
+        a, k = np.divmod(o[at], side)
+        r = sum(model[f"C{j}"][c[at]] for j, c in enumerate(contexts, 1))
+        s = r @ model["U"].T + model["d"]
+        found = s[np.arange(len(a)), a] - _log_sum(s)
+        edges = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        for i, j in zip(edges, np.append(edges[1:], len(a)), strict=True):
+            s = r[i:j] @ members[a[i]].T + b[a[i]]
+            found[i:j] += s[np.arange(j - i), k[i:j]] - _log_sum(s)
+        out[at] = found
     return out
 
 
-_tables: dict[str, list[np.ndarray]] = {}
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", divide="ignore"):
+        out = np.log(np.exp(s).sum(1))
+    odd = np.flatnonzero(~np.isfinite(out))
+    if len(odd):
+        top = s[odd].max(1)
+        out[odd] = np.log(np.exp(s[odd] - top[:, None]).sum(1)) + top
+    return out
 
 
-def _table_of(key: str, model: dict[str, np.ndarray]) -> list[np.ndarray]:
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = probabilities(model)
-    return _tables[key]
+def threshold(counts: DataFrame, most: int) -> int:
+    """The lowest n such that at most ``most`` rows of ``counts`` have it or more.
+
+    Each step divides the range that holds it into 4096 parts: few rows come back
+    however large the counts are.
+    """
+    lo, hi, above = 1, (counts.agg(F.max("n")).first()[0] or 0) + 1, 0  # rows of n >= hi: above
+    while lo < hi:
+        width = -(-(hi - lo) // 4096)
+        inner = counts.filter((F.col("n") >= lo) & (F.col("n") < hi))
+        part = F.floor((F.col("n") - lo) / width).cast("int")
+        found = {r["part"]: r["count"] for r in inner.groupBy(part.alias("part")).count().collect()}
+        for k in range(-(-(hi - lo) // width) - 1, -1, -1):
+            n = found.get(k, 0)
+            if above + n > most:
+                lo, hi = lo + k * width, min(hi, lo + (k + 1) * width)
+                if width == 1:
+                    return hi
+                break
+            above += n
+        else:
+            return lo
+    return lo
+
+
+class Fitted:
+    """Counts, broadcast vocabulary and model of a corpus."""
+
+    def __init__(self, counts: DataFrame, limit: int, vocabulary, model: dict[str, np.ndarray]):
+        self.counts, self.limit, self.vocabulary, self.model = counts, limit, vocabulary, model
+
+
+def fit(train: DataFrame) -> Fitted:
+    """The model of all rows of ``train`` (doc_id, text)."""
+    spark = train.sparkSession
+    counts = _spark.materialise(count_tokens(train))
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    limit = threshold(counts, TABLE)
+    side = side_of(total, distinct)
+    half = side * side // 2
+    bucket = F.shiftrightunsigned("token", 20).bitwiseAND(F.lit(half - 1).cast("long"))
+    shared = np.zeros((2, half))
+    for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():  # half of the outputs
+        shared[:, r["bucket"]] = r["n"], r["k"]
+    top = counts.filter(F.col("n") >= limit).limit(TABLE).toArrow()  # TABLE rows or fewer, by the threshold
+    tokens = top.column("token").to_numpy().view(np.uint64)
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(tokens, top.column("n").to_numpy(), total, distinct, side, (shared[0], shared[1])))
+    return Fitted(counts, limit, vocabulary, train_model(train, vocabulary))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("held_out", _spark.held_out(F.col("doc_id"), 10, 0))
-    train = docs.filter("not held_out")
-    counts = _spark.materialise(count_tokens(train))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # the lowest count of the broadcast part: at most TABLE tokens have it or more
-    limit, held = 1, 0
-    for r in sorted(counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect(), key=lambda r: -r["n"]):
-        held += r["count"]
-        if held > TABLE:
-            limit = r["n"] + 1
-            break
-    top = counts.filter(F.col("n") >= limit).toArrow()
-    tokens = top.column("token").to_numpy().view(np.uint64)
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(tokens, top.column("n").to_numpy(), total, distinct))
-    model = train_model(train, vocabulary)
-    given = spark.sparkContext.broadcast(model)
-    key = f"{spark.sparkContext.applicationId}:{given._path if hasattr(given, '_path') else id(given)}"
+    return score(docs, fit(docs.filter("not held_out").select("doc_id", "text")))
+
+
+def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
+    """Scores of ``docs`` (doc_id, text, held_out)."""
+    vocabulary = fitted.vocabulary
+    given = docs.sparkSession.sparkContext.broadcast(fitted.model)  # a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, tables = vocabulary.value, _table_of(key, given.value)
+        vocab, model = vocabulary.value, given.value
         whole = np.log10(vocab.total + SMOOTH * (vocab.distinct + 1))
-        tail = np.log10(vocab.tail_total + SMOOTH * (vocab.tail_distinct + 1))
         logs = np.log10(vocab.counts + SMOOTH)
+        start = len(vocab.unigram)
         for batch in batches:
             for part in _text.slices(batch, "text"):
                 tokens, first = token_hashes(part.column(1))
                 index = vocab.index(tokens)
-                ids = vocab.outputs(index)
-                p = sum(m * t[contexts(ids, first, j + 1), ids] for j, (m, t) in enumerate(zip(MIX, tables, strict=True)))
+                ids = vocab.outputs(tokens, index)
+                lm = log_probabilities(model, vocab.side, *samples(*padded(ids, first, start))) / np.log(10)
                 own = np.where(index >= 0, logs[np.maximum(index, 0)], 0.0) if len(logs) else np.zeros(len(index))
-                lm = np.log10(np.maximum(p, 1e-30)) + np.where(ids == TAIL, own - tail, 0.0)
+                shared = ids >= vocab.half
+                lm = lm.astype(np.float64)
+                lm[shared] += own[shared] - vocab.share[ids[shared] - vocab.half]
                 at = first[:-1]
                 rare = np.flatnonzero(index < 0)
                 sizes = np.bincount(np.searchsorted(first, rare, "right") - 1, minlength=part.num_rows)
@@ -280,12 +456,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
     scored = docs.select("doc_id", "text", "held_out").mapInArrow(run, schema)
     scored = _spark.materialise(scored.withColumn("row", F.monotonically_increasing_id()))
-    if limit > 1 or held == 0:
-        known = counts.filter(F.col("n") < limit)
-    else:
-        known = counts.limit(0)
+    known = fitted.counts.filter(F.col("n") < fitted.limit)
     rare = scored.select("row", F.explode("rare").alias("token")).join(known, "token", "left")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))).alias("more"), F.count("n").alias("found"))
     out = scored.drop("rare").join(rare, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(vocabulary.value.total).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))

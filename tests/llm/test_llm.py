@@ -180,21 +180,89 @@ def test_scores_of_edge_cases(edge):
     assert lm.score_documents(edge.limit(0)).count() == 0
 
 
+def small_vocabulary(n=300, side=8):
+    rng = np.random.default_rng(2)
+    tokens = rng.integers(1, 2**63, n, dtype=np.uint64)
+    counts = np.sort(rng.integers(1, 500, n))[::-1]
+    half = side * side // 2
+    bucket = (tokens >> np.uint64(20)).astype(np.int64) % half
+    return tokens, counts, lm.Vocabulary(tokens, counts, int(counts.sum()), n, side, (np.bincount(bucket, counts, half), np.bincount(bucket, minlength=half)))
+
+
 def test_model_probabilities_sum_to_one():
-    vocab = lm.Vocabulary(np.arange(1, 50, dtype=np.uint64), np.arange(1, 50), 1225, 49)
-    for table in lm.probabilities(lm.start_model(vocab)):
-        assert np.allclose(table.sum(1), 1, atol=1e-4)
+    tokens, counts, vocab = small_vocabulary()
+    rng = np.random.default_rng(7)
+    model = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in lm.start_model(vocab).items()}
+    ids = vocab.outputs(tokens, vocab.index(tokens))
+    for context in ((64, 64), (3, 64), (40, 7)):
+        lp = lm.log_probabilities(model, vocab.side, np.arange(64), *(np.full(64, c) for c in context))
+        assert abs(np.exp(lp).sum() - 1) < 1e-4
+        # all known tokens, and one unknown token for each shared output
+        own = ids < vocab.half
+        share = np.where(own, 1, (counts + lm.SMOOTH) / 10 ** vocab.share[np.where(own, 0, ids - vocab.half)])
+        assert abs((np.exp(lp)[ids] * share).sum() + (np.exp(lp[vocab.half :]) * lm.SMOOTH / 10**vocab.share).sum() - 1) < 1e-4
 
 
 def test_contrastive_training_learns_a_pattern():
-    vocab = lm.Vocabulary(np.arange(1, 4, dtype=np.uint64), np.array([100, 100, 100]), 300, 3)
-    ids = np.tile([1, 2, 3], 4000)
-    first = np.array([0, len(ids)])
-    model = lm.start_model(vocab)
-    pairs = [lm._pairs(lm.contexts(ids, first, j + 1), ids, 0) for j in range(lm.CONTEXT)]
+    vocab = lm.Vocabulary(np.arange(1, 4, dtype=np.uint64), np.array([100, 100, 100]), 300, 3, 4, (np.r_[300, np.zeros(7)], np.r_[3, np.zeros(7)]))
+    ids = vocab.outputs(tokens := np.tile(np.arange(1, 4, dtype=np.uint64), 4000), vocab.index(tokens))
+    given = lm.samples(*lm.padded(ids, np.array([0, len(ids)]), 16))
+    assert all(len(x) == 12000 for x in given) and given[1][:2].tolist() == [16, ids[0]] and given[2][:3].tolist() == [16, 16, ids[0]]
+    trainer = lm.Trainer(lm.start_model(vocab), vocab)
     for k in range(60):
-        lm.nce_pass(model, vocab, pairs, k)
-    assert lm.probabilities(model)[0][1].argmax() == 2
+        trainer.learn(k, *given)
+    one = np.array([ids[1]])
+    assert lm.log_probabilities(trainer.model, 4, one, np.array([ids[0]]), np.array([ids[2]]))[0] > np.log(0.8)
+
+
+@pytest.mark.parametrize("table", [1 << 19, 40])
+def test_scores_equal_a_plain_recomputation(spark, docs, rows, monkeypatch, table):
+    monkeypatch.setattr(lm, "TABLE", table)
+    held = docs.withColumn("held_out", _spark.held_out(F.col("doc_id"), 10, 0)).select("doc_id", "text", "held_out")
+    fitted = lm.fit(held.filter("not held_out").select("doc_id", "text"))
+    m, vocab = {k: v.astype(float) for k, v in fitted.model.items()}, fitted.vocabulary.value
+    count = {np.uint64(r["token"] % 2**64): r["n"] for r in fitted.counts.collect()}
+    side, half = vocab.side, vocab.half
+    top = sorted(count, key=lambda k: (-count[k], k))
+    own = {k: i for i, k in enumerate(x for x in top[:half] if count[x] >= fitted.limit)}
+    place = {k: own.get(k, half + (int(k) >> 20) % half) for k in count}
+    mass = np.zeros(half)
+    for k, n in count.items():
+        if k not in own:
+            mass[place[k] - half] += n + lm.SMOOTH
+    mass += lm.SMOOTH
+    for r in lm.score(held, fitted).collect()[:60]:
+        text = next(t for i, t in rows if i == r["doc_id"])
+        tokens = [np.uint64(_text.word_hash(w.encode())) for w in words(text)] + [lm.END]
+        ids = [side * side] * 2 + [place.get(k, half + (int(k) >> 20) % half) for k in tokens]
+        total = 0.0
+        for at, k in enumerate(tokens, 2):
+            v = m["C1"][ids[at - 1]] + m["C2"][ids[at - 2]]
+            o, s = ids[at], m["U"] @ v + m["d"]
+            a = o // side
+            q = m["Q"][a * side : a * side + side] @ v + m["b"][a * side : a * side + side]
+            total += (s[a] - np.log(np.exp(s).sum()) + q[o % side] - np.log(np.exp(q).sum())) / np.log(10)
+            if o >= half:
+                total += math.log10(count.get(k, 0) + lm.SMOOTH) - math.log10(mass[o - half])
+        assert abs(total - r["score"]) < 1e-4 * abs(total) + 1e-3
+
+
+def test_the_model_does_not_depend_on_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 10_000)
+    train = docs.select("doc_id", "text").limit(120)
+    train = _spark.materialise(train)
+    one, two = (lm.fit(x).model for x in (train.coalesce(1), train.repartition(7, F.rand(3))))
+    assert all(np.allclose(one[k], two[k], atol=1e-5) for k in one) and not np.allclose(one["Q"], lm.start_model(small_vocabulary(side=int(len(one["Q"]) ** 0.5))[2])["Q"])
+
+
+def test_the_threshold_of_the_table_is_exact(spark):
+    rng = random.Random(3)
+    for given in ([5] * 30, [3_000_000_000 + rng.randrange(4) for _ in range(40)], [int(1.5**k) for k in range(60)], [rng.randrange(1, 40) for _ in range(300)], []):
+        counts = spark.createDataFrame([(k, n) for k, n in enumerate(given)], "token long, n long")
+        for most in (1, 10, 40, 1000):
+            limit = lm.threshold(counts, most)
+            assert sum(n >= limit for n in given) <= most
+            assert limit == 1 or sum(n >= limit - 1 for n in given) > most
 
 
 def test_model_beats_the_base_on_held_out_text(spark):
