@@ -10,9 +10,13 @@ item's words occur in them that the score could not reach the threshold.
 
 The benchmark is a stated query set: it is broadcast in blocks of at most
 ``block_bytes`` of text, each block against all documents in place.  Documents
-are never shuffled.  Null or empty texts match nothing; items with fewer words
-than a seed are matched by their whole sequence; repeated rows give repeated
-results; an empty benchmark gives no rows.
+are never shuffled.  Null or empty texts match nothing.  An item with fewer words
+than a seed is a seed as a whole, and is found wherever all of its words stand in
+their order.  Texts of any length are aligned whole; of alignments with equal
+scores the first is taken.  Repeated rows give repeated results; rows with a null
+id are searched like any other, and an item with a null id is reported as -1.  An
+empty benchmark or an empty table of documents gives no rows.  Other columns are
+not read by the search and come through the filter unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,30 +53,38 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-class Items:
-    """One block of test items with their seeds."""
+class Seeds:
+    """The windows of ``n`` words of some items: of all with more words, or of those with just as many."""
 
-    def __init__(self, ids: list[int], texts: list[str], n: int):
-        column = pa.array(texts, pa.string())
-        self.ids, self.n = np.array(ids, np.int64), n
-        self.words, self.first = _text.words(*_text.column_bytes(column))
-        seeds, first = _text.grams(self.words, self.first, n)
-        self.seed_item = np.repeat(np.arange(len(ids)), np.diff(first))
-        self.seed_at = np.arange(len(seeds)) - np.repeat(first[:-1], np.diff(first))
-        self.short = np.diff(self.first) < n
-        self.names, self.seed_name = np.unique(seeds, return_inverse=True)
+    def __init__(self, words: np.ndarray, first: np.ndarray, chosen: np.ndarray, n: int):
+        self.n = n
+        seeds, at = _text.grams(words, first, n, whole_if_shorter=False)
+        held = np.repeat(chosen, np.diff(at))
+        self.item = np.repeat(np.arange(len(chosen)), np.diff(at))[held]
+        self.at = (np.arange(len(seeds)) - np.repeat(at[:-1], np.diff(at)))[held]
+        self.names, self.name = np.unique(seeds[held], return_inverse=True)
 
     def prepare(self) -> None:
-        order = np.argsort(self.seed_name, kind="stable")
-        names = self.seed_name[order]
+        self.order = np.argsort(self.name, kind="stable")
+        names = self.name[self.order]
         self.table = _text.HashTable(self.names, np.arange(len(self.names)))
         self.start = np.searchsorted(names, np.arange(len(self.names)))
         self.stop = np.searchsorted(names, np.arange(len(self.names)), "right")
-        self.order = order
 
 
-def _windows(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _text.grams(words, first, n)
+class Items:
+    """One block of test items with their seeds."""
+
+    def __init__(self, ids: list[int], texts: list[str], n: int):
+        self.ids = np.array(ids, np.int64)
+        self.words, self.first = _text.words(*_text.column_bytes(pa.array(texts, pa.string())))
+        size = np.diff(self.first)
+        # shorter items are seeds as a whole, of their own width
+        self.seeds = [Seeds(self.words, self.first, size >= n if k == n else size == k, k) for k in range(1, n + 1) if k == n or (size == k).any()]
+
+    def prepare(self) -> None:
+        for seeds in self.seeds:
+            seeds.prepare()
 
 
 def _stretches(query: np.ndarray, window: np.ndarray, threshold: float) -> Iterator[tuple[float, int, int]]:
@@ -95,31 +107,32 @@ def _stretches(query: np.ndarray, window: np.ndarray, threshold: float) -> Itera
 def _align(items: Items, words: np.ndarray, first: np.ndarray, threshold: float) -> dict[str, list]:
     """All alignments at or above the threshold in a slice of documents."""
     out: dict[str, list] = {"text": [], "item": [], "score": [], "start": [], "end": []}
-    gram, gram_first = _windows(words, first, items.n)
-    name = items.table.get(gram)
-    hit = np.flatnonzero(name >= 0)
-    name = name[hit]
-    held = np.searchsorted(gram_first, hit, "right") - 1
-    total = np.cumsum(items.stop[name] - items.start[name])
-    a = 0
-    while a < len(hit):
-        # whole texts with at most HITS places of seeds, or one text
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, "right")))
-        if b < len(hit):
-            b = int(np.searchsorted(held, held[b]))
-            b = b if b > a else int(np.searchsorted(held, held[a], "right"))
-        _align_hits(items, words, first, gram_first, hit[a:b], name[a:b], held[a:b], threshold, out)
-        a = b
+    for seeds in items.seeds:
+        gram, gram_first = _text.grams(words, first, seeds.n, whole_if_shorter=False)
+        name = seeds.table.get(gram)
+        hit = np.flatnonzero(name >= 0)
+        name = name[hit]
+        held = np.searchsorted(gram_first, hit, "right") - 1
+        total = np.cumsum(seeds.stop[name] - seeds.start[name])
+        a = 0
+        while a < len(hit):
+            # whole texts with at most HITS places of seeds, or one text
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, "right")))
+            if b < len(hit):
+                b = int(np.searchsorted(held, held[b]))
+                b = b if b > a else int(np.searchsorted(held, held[a], "right"))
+            _align_hits(items, seeds, words, first, gram_first, hit[a:b], name[a:b], held[a:b], threshold, out)
+            a = b
     return out
 
 
-def _align_hits(items: Items, words: np.ndarray, first: np.ndarray, gram_first: np.ndarray, hit: np.ndarray, name: np.ndarray, text: np.ndarray, threshold: float, out: dict[str, list]) -> None:
-    times = items.stop[name] - items.start[name]
-    seed = items.order[np.repeat(items.start[name], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+def _align_hits(items: Items, seeds: Seeds, words: np.ndarray, first: np.ndarray, gram_first: np.ndarray, hit: np.ndarray, name: np.ndarray, text: np.ndarray, threshold: float, out: dict[str, list]) -> None:
+    times = seeds.stop[name] - seeds.start[name]
+    seed = seeds.order[np.repeat(seeds.start[name], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
     hit, text = np.repeat(hit, times), np.repeat(text, times)
     place = hit - gram_first[text]
-    item = items.seed_item[seed]
-    begin = place - items.seed_at[seed]
+    item = seeds.item[seed]
+    begin = place - seeds.at[seed]
     order = np.lexsort((begin, item, text))
     text, item, begin = text[order], item[order], begin[order]
     i = 0

@@ -1,16 +1,24 @@
 """Language identification by cross-parsing entropy.
 
 The labelled text of each language gives a suffix automaton.  A text is parsed
-greedily into the longest phrases that occur in a language's text; the language
-that needs the fewest phrases for each symbol wins.  All automata stand in one
-transition table, and a batch is parsed in stretches of ``STRETCH`` symbols side
-by side; a phrase ends where its stretch does.  Every symbol of a text is parsed.
+greedily, from its start to its end, into the longest phrases that occur in a
+language's text.  A phrase costs what it takes to name it, log2 of the length of
+the language's text and of the single symbols; the language with the least cost
+for each symbol wins, the first by name among equals.
+
+All automata stand in one transition table.  A batch is parsed in stretches of
+``STRETCH`` symbols side by side, each as if a phrase began there.  Then every
+stretch is entered once more with the phrase that its predecessor left open, up to
+the first place where both parses begin a phrase: from there on they are the same.
+The result is that of parsing each text in one go.
 
 Learning uses at most ``SAMPLE_DOCS`` documents and ``SAMPLE_BYTES`` bytes of
 each language (a bounded sample in the order of a seeded hash); prediction covers
-every text.  Null texts and texts without a letter get ``und`` with score 0.
-Rows with a null language or id teach nothing or count as not held out; repeated
-rows give repeated results; with no labelled text every language is ``und``.
+every text, of any length.  Null texts and texts without a letter get ``und`` with
+score 0.  Rows with a null language teach nothing, and a null id counts as not held
+out; repeated rows give repeated results; with no labelled text every language is
+``und``; an empty table gives no rows.  Other columns are not read, or come through
+the filter unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -82,12 +90,15 @@ def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
 
 
 class Parser:
+    """All automata; ``cost`` is what a phrase of each language costs, in bits."""
+
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
         texts = []
         for lang in self.languages:
             data = np.frombuffer(samples[lang], np.uint8)
             texts.append(symbols(np.array([0, len(data)]), data)[0])
+        self.cost = np.log2(256 + np.array([len(t) for t in texts], float))
         present = np.unique(np.concatenate([np.zeros(0, np.uint8), *texts]))
         self.index = np.full(256, len(present), np.int64)
         self.index[present] = np.arange(len(present))
@@ -110,28 +121,67 @@ class Parser:
         text = np.repeat(np.arange(n), parts)
         if not len(text):
             return out
-        begin = offsets[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)) * STRETCH
+        part = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = offsets[:-1][text] + part * STRETCH
         stop = np.minimum(begin + STRETCH, offsets[1:][text])
-        order = np.argsort(begin - stop, kind="stable")  # longest first
-        begin, length, text = begin[order], (stop - begin)[order], text[order]
         symbol = self.index[data]
-        alive = np.searchsorted(-length, -np.arange(STRETCH))  # stretches longer than each step
         for k, root in enumerate(self.roots):
-            # state 0 has no way on: the next symbol starts a phrase there
-            state = np.zeros(len(begin), np.int64)
-            count = np.zeros(len(begin), np.int64)
-            restart = self.table[root * self.width : (root + 1) * self.width].astype(np.int64)
-            for step, live in enumerate(alive.tolist()):
-                if not live:
-                    break
-                c = symbol[begin[:live] + step]
-                state_now = self.table[state[:live] * self.width + c].astype(np.int64)
-                dead = state_now == 0
-                count[:live] += dead
-                state[:live] = np.where(dead, restart[c], state_now)
-            np.add.at(out[k], text, count)
+            starts, state = self._stretches(root, begin, stop, symbol)
+            self._join(root, begin, stop, np.flatnonzero(part), symbol, starts, state)
+            total = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(starts, out=total[1:])
+            out[k] = total[offsets[1:]] - total[offsets[:-1]]
         return out
 
+    def _stretches(self, root: int, begin: np.ndarray, stop: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases start if each stretch starts one, and the state at the end of each stretch."""
+        order = np.argsort(begin - stop, kind="stable")  # longest first
+        at, length = begin[order], (stop - begin)[order]
+        alive = np.searchsorted(-length, -np.arange(STRETCH))  # stretches longer than each step
+        starts = np.zeros(len(symbol), bool)
+        # state 0 has no way on: the next symbol starts a phrase there
+        state = np.zeros(len(at), np.int64)
+        restart = self.table[root * self.width : (root + 1) * self.width].astype(np.int64)
+        for step, live in enumerate(alive.tolist()):
+            if not live:
+                break
+            place = at[:live] + step
+            c = symbol[place]
+            on = self.table[state[:live] * self.width + c].astype(np.int64)
+            dead = on == 0
+            starts[place] = dead
+            state[:live] = np.where(dead, restart[c], on)
+        out = np.empty(len(at), np.int64)
+        out[order] = state
+        return starts, out
+
+    def _join(self, root: int, begin: np.ndarray, stop: np.ndarray, todo: np.ndarray, symbol: np.ndarray, starts: np.ndarray, state: np.ndarray) -> None:
+        """Enter stretches with the open phrase of their predecessor, in place, until no end changes."""
+        restart = self.table[root * self.width : (root + 1) * self.width].astype(np.int64)
+        inner = np.zeros(len(begin) + 1, bool)
+        inner[todo] = True
+        while len(todo):
+            lane, place, now = todo, begin[todo], state[todo - 1]
+            changed = []
+            while len(lane):
+                c = symbol[place]
+                on = self.table[now * self.width + c].astype(np.int64)
+                dead = on == 0
+                same = dead & starts[place]  # both parses start a phrase here
+                starts[place] = dead
+                now = np.where(dead, restart[c], on)
+                place = place + 1
+                over = place == stop[lane]
+                ended = over & ~same
+                if ended.any():
+                    other = ended & (state[lane] != now)
+                    state[lane[ended]] = now[ended]
+                    changed.append(lane[other])
+                going = ~(same | over)
+                lane, place, now = lane[going], place[going], now[going]
+            todo = np.sort(np.concatenate([np.zeros(0, np.int64), *changed])) + 1
+            todo = todo[inner[todo]]
+
 
 _parsers: dict[tuple, Parser] = {}
 
@@ -162,10 +212,9 @@ def identify(column: pa.Array, samples: dict[str, bytes]) -> tuple[list[str], np
     if not parser.languages:
         return ["und"] * n, np.zeros(n)
     new_offsets_data = symbols(offsets, data)
-    counts = parser.phrases(new_offsets_data[1], new_offsets_data[0]).astype(float)
-    least = counts.min(0)
-    weight = (np.maximum(least, 1) / np.maximum(counts, 1)) ** SHARPNESS
-    best = counts.argmin(0)
+    bits = np.maximum(parser.phrases(new_offsets_data[1], new_offsets_data[0]), 1) * parser.cost[:, None]
+    weight = (bits.min(0) / bits) ** SHARPNESS
+    best = bits.argmin(0)  # the first of equal ones
     score = weight[best, np.arange(n)] / weight.sum(0)
     return [parser.languages[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)
 

@@ -395,7 +395,10 @@ def test_leaks_in_edited_copies_and_edge_cases(spark, edge):
     given = [(1, "before " + " ".join(edited).upper() + " after"), (2, "nothing of the kind of the sort"), (3, None), (4, " ".join(item)), (4, " ".join(item)), (5, "a tiny thing")]
     df = spark.createDataFrame(given, "doc_id long, text string")
     got = collections.Counter((r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, bench).collect())
-    assert got[1, 1] == 1 and got[4, 1] == 2 and not any(i in (2, 3) for i, _ in got)
+    assert got[1, 1] == 1 and got[4, 1] == 2 and not any(i in (2, 3) for i, _ in got) and got[5, 3] == 1
+    short = spark.createDataFrame([(1, "Two words"), (2, "one"), (None, "of the sort")], "item_id long, text string")
+    many = spark.createDataFrame([(1, "one two words here, two  WORDS"), (2, "words two"), (3, "one"), (4, "two"), (None, "kind of the sort")], "doc_id long, text string")
+    assert collections.Counter((r["doc_id"], r["item_id"]) for r in decontam.find_leaks(many, short).collect()) == {(1, 1): 2, (1, 2): 1, (3, 2): 1, (None, -1): 1}
     assert decontam.find_leaks(edge, bench).count() == 0
     assert decontam.drop_contaminated(edge, bench).columns == edge.columns
     assert decontam.find_leaks(df, bench.limit(0)).count() == 0 and decontam.find_leaks(df.limit(0), bench).count() == 0
@@ -682,28 +685,38 @@ def test_automaton_accepts_exactly_the_substrings():
             assert (state >= 0) == (s in have)
 
 
-def plain_phrases(parser, lang_text, text):
-    total = 0
-    for a in range(0, len(text), langid.STRETCH):
-        part, i = text[a : a + langid.STRETCH], 0
-        while i < len(part):
-            j = i + 1
-            while j < len(part) and part[i : j + 1] in lang_text:
-                j += 1
-            total, i = total + 1, j
+def plain_phrases(lang_text, text):
+    total = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in lang_text:
+            j += 1
+        total, i = total + 1, j
     return total
 
 
-def test_phrases_equal_a_plain_parse():
-    samples = {"aa": b"abab abba babb aab" * 3, "bb": b"xyxy yxx zzy abx" * 3}
+@pytest.mark.parametrize("stretch", [192, 7, 1])
+def test_phrases_equal_a_plain_parse_of_whole_texts(monkeypatch, stretch):
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    samples = {"aa": b"abab abba babb aab" * 3, "bb": b"xyxy yxx zzy abx" * 3, "cc": b"a" * 400 + b"b"}
     parser = langid.Parser(samples)
-    texts = ["abab xyxy qq", "zzyx" * 120, "a", "", "ab ba " * 90]
-    offsets, data = _text.column_bytes(pa.array(texts))
-    low, new = langid.symbols(offsets, data)
+    texts = ["abab xyxy qq", "zzyx" * 120, "a", "", "ab ba " * 90, "a" * 900, "aab" * 250]
+    texts += ["".join(rng.choice(["ab", "xy", " ", "zzy", "q", "aaaaaaa", "babb"]) for _ in range(rng.randrange(1, 300))) for _ in range(40)]
+    low, new = langid.symbols(*_text.column_bytes(pa.array(texts)))
     counts = parser.phrases(new, low)
     for k, lang in enumerate(parser.languages):
-        own = samples[lang].decode()
-        assert counts[k].tolist() == [plain_phrases(parser, own, bytes(low[new[t] : new[t + 1]]).decode()) for t in range(len(texts))]
+        own = bytes(langid.symbols(np.array([0, len(samples[lang])]), np.frombuffer(samples[lang], np.uint8))[0]).decode()
+        assert counts[k].tolist() == [plain_phrases(own, bytes(low[new[t] : new[t + 1]]).decode()) for t in range(len(texts))]
+
+
+def test_languages_are_normalised_and_ties_go_by_name():
+    rng = random.Random(6)
+    vocabulary = {lang: ["".join(rng.choice("abcdefghij" if lang == "xx" else "hijklmnopq") for _ in range(rng.randrange(2, 7))) for _ in range(60)] for lang in ("xx", "yy")}
+    sample = {"xx": " ".join(rng.choice(vocabulary["xx"]) for _ in range(3000)).encode(), "yy": " ".join(rng.choice(vocabulary["yy"]) for _ in range(60)).encode(), "zz": b""}
+    texts = [" ".join(rng.choice(vocabulary[lang]) for _ in range(40)) for lang in ("xx", "yy")]
+    assert langid.identify(pa.array(texts), sample)[0] == ["xx", "yy"]
+    assert langid.identify(pa.array(["word"]), {"bb": b"other text", "aa": b"other text"})[0] == ["aa"]
 
 
 def test_languages_on_held_out_rows(spark):
