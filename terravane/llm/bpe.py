@@ -2,15 +2,22 @@
 
 A rolling hash over 32 bytes cuts each text where the content says so, so equal
 passages in different documents give equal chunks.  A worker encodes each chunk
-once and keeps its ids (bounded store); documents are put together from stored
-chunks.  A cut may split a pre-token, so each join is repaired: the stretch
-between the nearest places where both neighbours must have a token boundary is
-encoded again, until the boundaries agree on both sides; where they never do,
-the whole text is encoded.  The result equals that of encoding the whole text.
+once, as long as its bounded store holds it, and documents are put together from
+stored chunks.  "Once" holds for each worker: ids shared between workers would have
+to be shuffled, and they are larger than the texts.
+
+A cut may split a pre-token, so each join is repaired: the stretch from the last
+place before the cut where the left chunk ends a token to the first place behind it
+where the right one does is encoded again, with a margin on both sides.  If the ids
+in the margins are those of the chunks, the repair is exact; if not, the stretch is
+widened to twice as many places, until they agree or the whole text is encoded.
+The result equals that of encoding the whole text.
 
 Nulls and empty texts give no ids.  Special tokens of the vocabulary file are
-recognised in the text, as the tokenizers library does by default.  Repeated
-rows give repeated results; other columns are left out.
+recognised in the text, as the tokenizers library does by default.  Texts of any
+length are encoded whole.  Repeated rows give repeated results, a null id stays
+null, and an empty table gives no rows; other columns are left out, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -50,6 +57,25 @@ def load_vocabulary(path: str) -> dict:
     return {"tokens": tokens, "special": special}
 
 
+class Chunk:
+    """Ids of a chunk, and the places in it where it can be joined.
+
+    A place lies between a graphic ASCII character and a blank, where a token of
+    the chunk ends; ``index`` tells how many ids lie before each.
+    """
+
+    __slots__ = ("ids", "index", "nbytes", "places")
+
+    def __init__(self, data: bytes, ids: np.ndarray, lengths: np.ndarray):
+        view, ends = np.frombuffer(data, np.uint8), np.cumsum(lengths[ids])
+        places = np.flatnonzero(_GRAPHIC[view[:-1]] & _GAP[view[1:]]) + 1
+        at = np.searchsorted(ends, places)
+        good = ends[np.minimum(at, len(ends) - 1)] == places
+        # the first and the last ones are all that a join needs, unless it is widened
+        self.ids, self.places, self.index = ids, places[good].astype(np.int32), (at[good] + 1).astype(np.int32)
+        self.nbytes = ids.nbytes + self.places.nbytes + self.index.nbytes
+
+
 class Codec:
     """Encoder and decoder of one worker."""
 
@@ -69,11 +95,11 @@ class Codec:
             self.token_bytes[i] = t
         self.lengths = np.array([len(t) for t in self.token_bytes], np.int64)
         self.chunk_shift, self.min_chunk, self.store_bytes = np.uint32(32 - chunk_bits), min_chunk, store_bytes
-        self.young: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        self.old: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.young: dict[bytes, Chunk] = {}
+        self.old: dict[bytes, Chunk] = {}
         self.young_bytes = 0
         self.seams: dict[bytes, np.ndarray] = {}
-        self.encoded = self.reused = 0
+        self.encoded = self.reused = self.widened = 0
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """Places where the rolling hash of the last 32 bytes ends a chunk."""
@@ -89,22 +115,20 @@ class Codec:
     def plain(self, data: bytes) -> np.ndarray:
         return self.encoding.encode_to_numpy(data.decode("utf-8"), disallowed_special=())
 
-    def chunk(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a chunk and the offset at which each ends."""
+    def chunk(self, data: bytes) -> Chunk:
         found = self.young.get(data)
         if found is not None:
             self.reused += 1
             return found
         found = self.old.get(data)
         if found is None:
-            ids = self.plain(data)
-            found = ids, np.cumsum(self.lengths[ids])
+            found = Chunk(data, self.plain(data), self.lengths)
             self.encoded += 1
         else:
             self.reused += 1
         if len(data) <= 1 << 16:
             self.young[data] = found
-            self.young_bytes += len(data) + found[0].nbytes + found[1].nbytes + 400
+            self.young_bytes += len(data) + found.nbytes + 600
             if self.young_bytes > self.store_bytes:
                 self.old, self.young, self.young_bytes = self.young, {}, 0
         return found
@@ -115,7 +139,7 @@ class Codec:
             if len(self.seams) > 100_000:
                 self.seams = {}
             found = self.plain(data)
-            if len(data) <= 64:
+            if len(data) <= 128:
                 self.seams[data] = found
         return found
 
@@ -130,40 +154,59 @@ class Codec:
         if not data:
             return np.zeros(0, np.uint32)
         view = np.frombuffer(data, np.uint8)
-        cuts, last = [], 0
+        edges, last = [0], 0
         for p in self.cuts(view).tolist():
             if p - last >= self.min_chunk:
-                cuts.append(p)
+                edges.append(p)
                 last = p
-        if not cuts:
-            return self.chunk(data)[0]
-        # between a graphic ASCII character and a blank, every pre-tokenisation has a boundary
-        safe = np.flatnonzero(_GRAPHIC[view[:-1]] & _GAP[view[1:]]) + 1
-        safe = np.concatenate([[0], safe, [len(view)]])
-        where = np.searchsorted(safe, cuts, "right") - 1
-        before = safe[where]
-        after = np.where(before == cuts, before, safe[np.minimum(where + 1, len(safe) - 1)])
-        out, begin = [], 0
-        edges = [0, *cuts, len(view)]
-        repaired = -1
-        for k in range(len(edges) - 1):
-            s, e = edges[k], edges[k + 1]
-            stop = int(before[k]) if k < len(cuts) else len(view)
-            if stop > begin:
-                ids, ends = self.chunk(data[s:e])
-                lo = int(np.searchsorted(ends, begin - s, "right"))
-                hi = int(np.searchsorted(ends, stop - s, "right"))
-                if (lo and ends[lo - 1] != begin - s) or (hi and ends[hi - 1] != stop - s):
-                    return self.plain(data)
-                out.append(ids[lo:hi])
-            if k < len(cuts):
-                a, b = int(before[k]), int(after[k])
-                if b > a and b != repaired:
-                    out.append(self.seam(data[a:b]))
-                    repaired = b
-                begin = max(begin, b)
+        edges.append(len(view))
+        out: list[np.ndarray] = []
+        left: tuple[int, Chunk] | None = None  # the last chunk with a place, whose ids are out as far as its last place
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            chunk = self.chunk(data[s:e])
+            if s == 0 and e == len(view):
+                return chunk.ids
+            if s == 0:
+                if len(chunk.places):
+                    out.append(chunk.ids[: chunk.index[-1]])
+                    left = 0, chunk
+                continue
+            if not len(chunk.places) and e < len(view):
+                continue  # the next chunk's place ends the stretch
+            seam = self.join(data, left, s, chunk)
+            if seam is None:
+                return self.plain(data)
+            out.append(seam)
+            if len(chunk.places):
+                out.append(chunk.ids[chunk.index[0] : None if e == len(view) else chunk.index[-1]])
+            left = s, chunk
         return np.concatenate(out)
 
+    def join(self, data: bytes, left: tuple[int, Chunk] | None, s: int, right: Chunk) -> np.ndarray | None:
+        """Ids between the left chunk's last place and the right one's first; none if the ids beside them never agree.
+
+        Without a place, the stretch goes from the text's start, or to its end.
+        """
+        margin = 1
+        while True:
+            # ids of the chunks in the margins
+            before = after = np.zeros(0, np.uint32)
+            a, b = 0, len(data)
+            if left is not None:
+                places, index = left[1].places, left[1].index
+                k = max(0, len(places) - 1 - margin)
+                a, before = left[0] + int(places[k]), left[1].ids[index[k] : index[-1]]
+            if len(right.places):
+                k = min(margin, len(right.places) - 1)
+                b, after = s + int(right.places[k]), right.ids[right.index[0] : right.index[k]]
+            ids = self.seam(data[a:b])
+            if len(ids) >= len(before) + len(after) and (ids[: len(before)] == before).all() and (ids[len(ids) - len(after) :] == after).all():
+                return ids[len(before) : len(ids) - len(after)]
+            self.widened += 1
+            if margin >= max(len(left[1].places) if left else 0, len(right.places)):
+                return None
+            margin *= 2
+
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 

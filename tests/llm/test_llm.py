@@ -107,6 +107,21 @@ def test_chunked_encoding_is_exact():
     assert codec.reused > 0
 
 
+def test_joins_are_widened_until_they_agree(monkeypatch):
+    codec = bpe.Codec(bpe.load_vocabulary(queries.tokenizer_path()), chunk_bits=6, min_chunk=16)
+    texts = [*hard_texts(), "no-blank-at-all" * 500, LONG[:9000], "日本語の文章です。" * 300]
+    want = reference_ids(texts)
+    assert [codec.encode(t.encode()).tolist() for t in texts] == want and codec.widened == 0
+    codec, plain = bpe.Codec(bpe.load_vocabulary(queries.tokenizer_path()), chunk_bits=7, min_chunk=150), codec.plain
+    # a stretch that is not wide enough comes out wrong at first
+    monkeypatch.setattr(codec, "seam", lambda data: plain(data)[::-1] if len(data) < 60 else plain(data))
+    want = reference_ids([LONG[:9000]])[0]
+    assert codec.encode(LONG[:9000].encode()).tolist() == want and codec.widened > 5
+    # stretches that never agree: the whole text is encoded
+    monkeypatch.setattr(codec, "seam", lambda data: plain(data)[::-1])
+    assert codec.encode(LONG[:9000].encode()).tolist() == want
+
+
 def test_store_of_chunks_is_bounded():
     codec = bpe.Codec(bpe.load_vocabulary(queries.tokenizer_path()), store_bytes=50_000)
     for k in range(300):
