@@ -106,6 +106,7 @@ class Vocabulary:
         self.tokens, self.counts = tokens[order], counts[order]
         self.total, self.distinct, self.side = total, distinct, side
         self.half = side * side // 2
+        self.kind = np.int16 if side * side < 1 << 15 else np.int32  # of outputs; short ones are sorted faster
         self.n_own = min(self.half, len(tokens))
         bucket = self.bucket_of(self.tokens[: self.n_own])
         mass = shared[0] - np.bincount(bucket, self.counts[: self.n_own], self.half)
@@ -131,7 +132,7 @@ class Vocabulary:
 
     def outputs(self, tokens: np.ndarray, index: np.ndarray) -> np.ndarray:
         own = (index >= 0) & (index < self.n_own)
-        return np.where(own, index, self.half + self.bucket_of(tokens)).astype(np.int32)
+        return np.where(own, index, self.half + self.bucket_of(tokens)).astype(self.kind)
 
     def levels(self) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of the classes, and of the members in each class, by counts."""
@@ -198,49 +199,73 @@ class Trainer:
         self.shift_d = np.log(np.maximum(classes, 1e-26) * NOISE).astype(np.float32)
         self.shift_b = np.log(np.maximum(members, 1e-26) * NOISE_MEMBERS).reshape(-1).astype(np.float32)
 
-    def step(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
+    def step(self, name: str, rows: np.ndarray, gradient: np.ndarray, uses: np.ndarray | int = 1) -> None:
         """AdaGrad; rows that occur several times are added up first."""
         order = np.argsort(rows, kind="stable")
-        at = np.flatnonzero(np.append(True, rows[order][1:] != rows[order][:-1]))
-        own, g = rows[order][at], np.add.reduceat(gradient[order], at, axis=0)
-        self.used[name][own] += np.diff(np.append(at, len(rows)))
-        self.squares[name][own] += (g * g).mean(axis=1) if g.ndim > 1 else g * g
-        size = RATE / np.sqrt(self.squares[name][own])
-        self.model[name][own] += g * (size[:, None] if g.ndim > 1 else size)
+        rows = rows[order]
+        at = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        own, g = rows[at], np.add.reduceat(gradient[order], at, axis=0)
+        self.used[name][own] += np.diff(np.append(at, len(rows))) if isinstance(uses, int) else np.add.reduceat(uses[order], at)
+        wide = g.ndim > 1
+        squares = self.squares[name][own] + (np.einsum("ij,ij->i", g, g) / g.shape[1] if wide else g * g)
+        self.squares[name][own] = squares
+        size = RATE / np.sqrt(squares)
+        self.model[name][own] += g * (size[:, None] if wide else size)
 
     def batch(self, rng: np.random.Generator, o: np.ndarray, *contexts: np.ndarray) -> None:
         """Noise-contrastive steps of both levels on (output, contexts)."""
         m, side = self.model, self.side
         order = np.argsort(o, kind="stable")
         o, contexts = o[order], [c[order] for c in contexts]
-        a, scale = o // side, np.float32(64 / len(o))
+        scale = np.float32(64 / len(o))
+        at = np.flatnonzero(np.append(True, o[1:] != o[:-1]))  # first row of each output
+        times = np.diff(np.append(at, len(o)))
+        outputs = o[at].astype(np.int64)
+        first = np.flatnonzero(np.append(True, outputs[1:] // side != outputs[:-1] // side))  # first output of each class
+        edges, classes = at[first], outputs[first] // side
+        sizes = np.diff(np.append(edges, len(o)))
         r = sum(m[f"C{j}"][c] for j, c in enumerate(contexts, 1))
         # classes
         noise = np.minimum(np.searchsorted(self.classes, rng.random(NOISE) * self.classes[-1]), side - 1)
-        good = _sigmoid(-((r * m["U"][a]).sum(1) + m["d"][a] - self.shift_d[a])) * scale
-        bad = -_sigmoid(r @ m["U"][noise].T + m["d"][noise] - self.shift_d[noise]) * scale
-        dr = good[:, None] * m["U"][a] + bad @ m["U"][noise]
-        du = np.concatenate([good[:, None] * r, bad.T @ r]), np.concatenate([good, bad.sum(0)])
+        u = np.repeat(m["U"][classes], sizes, axis=0)
+        good = _sigmoid(-(np.einsum("ij,ij->i", r, u) + np.repeat(m["d"][classes] - self.shift_d[classes], sizes))) * scale
+        bad = -_sigmoid(r @ m["U"][noise].T + (m["d"][noise] - self.shift_d[noise])) * scale
+        dr = u
+        dr *= good[:, None]
+        dr += bad @ m["U"][noise]
+        du = np.concatenate([np.add.reduceat(good[:, None] * r, edges), bad.T @ r])
+        dd = np.concatenate([np.add.reduceat(good, edges), bad.sum(0)])
         # members of each class
-        good = _sigmoid(-((r * m["Q"][o]).sum(1) + m["b"][o] - self.shift_b[o])) * scale
-        dr += good[:, None] * m["Q"][o]
-        rows, dq, db = [o], [good[:, None] * r], [good]
-        edges = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        q = np.repeat(m["Q"][outputs], times, axis=0)
+        good = _sigmoid(-(np.einsum("ij,ij->i", r, q) + np.repeat(m["b"][outputs] - self.shift_b[outputs], times))) * scale
+        q *= good[:, None]
+        dr += q
+        np.multiply(r, good[:, None], out=q)
+        rows, dq, db, uses = [outputs], [np.add.reduceat(q, at)], [np.add.reduceat(good, at)], [times]
         draws = rng.random((len(edges), NOISE_MEMBERS))
-        for k, (lo, hi) in enumerate(zip(edges, np.append(edges[1:], len(a)), strict=True)):
-            own = self.members[a[lo]]
-            q = int(a[lo]) * side + np.minimum(np.searchsorted(own, draws[k] * own[-1]), side - 1)
-            near = r[lo:hi]
-            bad = -_sigmoid(near @ m["Q"][q].T + m["b"][q] - self.shift_b[q]) * scale
-            dr[lo:hi] += bad @ m["Q"][q]
-            rows.append(q)
-            dq.append(bad.T @ near)
-            db.append(bad.sum(0))
-        rows = np.concatenate(rows)
-        self.step("U", np.concatenate([a, noise]), du[0])
-        self.step("d", np.concatenate([a, noise]), du[1])
-        self.step("Q", rows, np.concatenate(dq))
-        self.step("b", rows, np.concatenate(db))
+        for k, (lo, n) in enumerate(zip(edges.tolist(), sizes.tolist(), strict=True)):
+            own = self.members[classes[k]]
+            chosen = classes[k] * side + np.minimum(np.searchsorted(own, draws[k] * own[-1]), side - 1)
+            near, far = r[lo : lo + n], m["Q"][chosen]
+            x = near @ far.T
+            x += m["b"][chosen] - self.shift_b[chosen]
+            np.clip(x, -30, 30, out=x)
+            np.negative(x, out=x)
+            np.exp(x, out=x)
+            x += 1
+            np.divide(-scale, x, out=x)
+            dr[lo : lo + n] += x @ far
+            rows.append(chosen)
+            dq.append(x.T @ near)
+            db.append(x.sum(0))
+        uses.append(np.ones(len(edges) * NOISE_MEMBERS, np.int64))
+        rows, uses = np.concatenate(rows), np.concatenate(uses)
+        both = np.concatenate([classes, noise])
+        used = np.concatenate([sizes, np.ones(NOISE, np.int64)])
+        self.step("U", both, du, used)
+        self.step("d", both, dd, used)
+        self.step("Q", rows, np.concatenate(dq), uses)
+        self.step("b", rows, np.concatenate(db), uses)
         for j, c in enumerate(contexts, 1):
             self.step(f"C{j}", c, dr)
 
@@ -275,7 +300,7 @@ def _pieces(texts: DataFrame, vocabulary, turn: int, n_shards: int) -> DataFrame
                 content = np.add.reduceat(_text.mix(ids[held].astype(np.uint64) + np.arange(len(held), dtype=np.uint64) - np.repeat(offsets[:-1], hi - lo).astype(np.uint64)), offsets[:-1])
                 rank = _text.mix(part.column(0).to_numpy().view(np.uint64)[text] + k.astype(np.uint64) + content)
                 shard = (rank >> np.uint64(11)).astype(np.int64) % n_shards
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(rank.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids[held]))], ["shard", "rank", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(rank.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids[held].astype(np.int32)))], ["shard", "rank", "ids"])
 
     return chosen.mapInArrow(run, "shard long, rank long, ids array<int>")
 
@@ -318,7 +343,7 @@ def train_model(train: DataFrame, vocabulary) -> dict[str, np.ndarray]:
                         shard, trainer = int(shards[lo]), Trainer(start, vocabulary.value)
                     ids = batch.column(2).slice(lo, hi - lo)
                     first = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
-                    found = samples(ids.flatten().to_numpy(), first)
+                    found = samples(ids.flatten().to_numpy().astype(vocabulary.value.kind), first)
                     for at in range(0, len(found[0]), PASS):
                         held.append([x[at : at + PASS] for x in found])
                         size += len(held[-1][0])
@@ -344,28 +369,42 @@ def train_model(train: DataFrame, vocabulary) -> dict[str, np.ndarray]:
 def log_probabilities(model: dict[str, np.ndarray], side: int, o: np.ndarray, *contexts: np.ndarray) -> np.ndarray:
     """Normalised natural log-probability of each output after its contexts."""
     out = np.empty(len(o), np.float32)
-    members, b = model["Q"].reshape(side, side, -1), model["b"].reshape(side, side)
-    for lo in range(0, len(o), 1 << 16):
-        at = np.argsort(o[lo : lo + (1 << 16)], kind="stable") + lo
-        a, k = np.divmod(o[at], side)
-        r = sum(model[f"C{j}"][c[at]] for j, c in enumerate(contexts, 1))
-        s = r @ model["U"].T + model["d"]
-        found = s[np.arange(len(a)), a] - _log_sum(s)
-        edges = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-        for i, j in zip(edges, np.append(edges[1:], len(a)), strict=True):
-            s = r[i:j] @ members[a[i]].T + b[a[i]]
-            found[i:j] += s[np.arange(j - i), k[i:j]] - _log_sum(s)
+    # a last coordinate of 1 adds the biases inside of the products
+    members = np.concatenate([model["Q"], model["b"][:, None]], 1).reshape(side, side, -1)
+    classes = np.concatenate([model["U"], model["d"][:, None]], 1)
+    tables = [np.pad(model[f"C{j}"], ((0, 0), (0, 1)), constant_values=1 if j == 1 else 0) for j in range(1, CONTEXT + 1)]
+    for lo in range(0, len(o), ROWS_AT_ONCE):
+        at = np.argsort(o[lo : lo + ROWS_AT_ONCE], kind="stable") + lo
+        a, k = np.divmod(o[at].astype(np.int64), side)
+        r = tables[0][contexts[0][at]]
+        for table, c in zip(tables[1:], contexts[1:], strict=True):
+            r += table[c[at]]
+        found = np.concatenate([_log_share(r[i : i + SCORES_AT_ONCE], classes, a[i : i + SCORES_AT_ONCE]) for i in range(0, len(a), SCORES_AT_ONCE)])
+        edges = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))
+        for i, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = members[a[i]]
+            for i in range(i, end, SCORES_AT_ONCE):
+                j = min(i + SCORES_AT_ONCE, end)
+                found[i:j] += _log_share(r[i:j], own, k[i:j])
         out[at] = found
     return out
 
 
-def _log_sum(s: np.ndarray) -> np.ndarray:
+#: tokens that are sorted together, and rows of scores that are held at once (2 MB)
+ROWS_AT_ONCE, SCORES_AT_ONCE = 1 << 17, 1 << 12
+
+
+def _log_share(r: np.ndarray, vectors: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of ``r @ vectors.T`` at ``chosen``."""
+    s = r @ vectors.T
+    own = s[np.arange(len(s)), chosen]
     with np.errstate(over="ignore", divide="ignore"):
-        out = np.log(np.exp(s).sum(1))
+        out = own - np.log(np.exp(s, out=s).sum(1))
     odd = np.flatnonzero(~np.isfinite(out))
     if len(odd):
-        top = s[odd].max(1)
-        out[odd] = np.log(np.exp(s[odd] - top[:, None]).sum(1)) + top
+        s = r[odd] @ vectors.T
+        top = s.max(1)
+        out[odd] = own[odd] - top - np.log(np.exp(s - top[:, None]).sum(1))
     return out
 
 
