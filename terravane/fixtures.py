@@ -71,7 +71,7 @@ RELATIONS: dict[str, Callable[[Dialect], str]] = {
     "depth_px": lambda d: "SELECT CAST(l_linenumber AS BIGINT) AS view, CAST(l_suppkey % 24 AS INT) AS y, CAST(l_partkey % 32 AS INT) AS x, sum(l_quantity) / count(*) AS depth, count(*) AS n FROM {lineitem} GROUP BY 1, 2, 3",
     "cameras": _cameras,
     "projected": lambda d: "SELECT event_id AS gid, user_id % 8 AS view, ((event_id * 7919) % 640) / CAST(20 AS DOUBLE) AS u, ((event_id * 104729) % 480) / CAST(20 AS DOUBLE) AS v, value AS depth, (event_id % 11) / CAST(4 AS DOUBLE) AS rx, (event_id % 7) / CAST(4 AS DOUBLE) AS ry FROM {events}",
-    "masks": lambda d: f"SELECT p_partkey % 8 AS view, {d.div('p_partkey', '8')} AS mask_id, CAST(0.8 AS DOUBLE) + ((p_partkey * 37) % 25) / CAST(100 AS DOUBLE) AS predicted_iou, CAST((p_partkey * 13) % 20 AS INT) AS x0, CAST((p_partkey * 7) % 14 AS INT) AS y0, CAST(4 + p_size % 9 AS INT) AS mw, CAST(4 + p_size % 7 AS INT) AS mh FROM {{part}} WHERE p_partkey < 80",
+    "masks": lambda d: f"SELECT p_partkey % 8 AS view, {d.div('p_partkey', '8')} AS mask_id, CAST(0.8 AS DOUBLE) + ((p_partkey * 37) % 25) / CAST(100 AS DOUBLE) AS predicted_iou, CAST((p_partkey * 13) % 20 AS INT) AS x0, CAST((p_partkey * 7) % 14 AS INT) AS y0, CAST(4 + p_size % 9 AS INT) AS mw, CAST(4 + p_size % 7 AS INT) AS mh FROM {{part}}",
     "grid": lambda d: f"SELECT CAST({d.div('i', '32')} AS INT) AS y, CAST(i % 32 AS INT) AS x FROM (SELECT {d.series(768)} AS i) g",
     "mask_px": lambda d: "SELECT m.view, m.mask_id, m.predicted_iou, g.y, g.x FROM {masks} m JOIN {grid} g ON g.x >= m.x0 AND g.x < m.x0 + m.mw AND g.y >= m.y0 AND g.y < m.y0 + m.mh",
     "torus_grid": lambda d: f"SELECT {d.div('k', '20')} AS i, k % 20 AS j FROM (SELECT CAST(n AS BIGINT) AS k FROM (SELECT {d.series(400)} AS n) s) g",

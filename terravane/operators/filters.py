@@ -61,6 +61,42 @@ def mask_color(df: DataFrame, colour: Sequence[float], columns: Sequence[str] =
     return df.filter(keep)
 
 
+#: cells along the longest side of the points' box that are tested against each camera
+CELLS = 32
+
+
+def in_view(points: DataFrame, cameras: DataFrame, behind: bool = False) -> DataFrame:
+    """Points with the columns of each camera that may see them.
+
+    The points' box is cut into cells; a pair of cell and camera is left out only
+    if a plane of the camera's frustum (of the mirrored one too, with ``behind``)
+    has the whole cell on its outer side.  Points meet cameras by their cell.
+    """
+    box = points.agg(*[F.min(c).alias(f"lo{c}") for c in "xyz"], *[F.max(c).alias(f"hi{c}") for c in "xyz"]).first()
+    if box["lox"] is None:
+        return points.crossJoin(small(cameras))
+    side = max(max(box[f"hi{c}"] - box[f"lo{c}"] for c in "xyz"), 1e-9) / CELLS
+    cell = [F.floor((F.col(c) - F.lit(box[f"lo{c}"])) / F.lit(side)).alias(f"__c{c}") for c in "xyz"]
+    placed = points.select("*", *cell)
+    cells = placed.select("__cx", "__cy", "__cz").distinct()
+    middle = [F.lit(box[f"lo{c}"]) + (F.col(f"__c{c}") + 0.5) * F.lit(side) for c in "xyz"]
+    reach = side * 3**0.5 / 2 * (1 + 1e-6) + 1e-9
+    pairs = cells.crossJoin(small(cameras))  # CELLS ** 3 cells at most
+    d = [m - F.col(t) for m, t in zip(middle, ("tx", "ty", "tz"), strict=True)]
+    p = [F.col(f"r0{i}") * d[0] + F.col(f"r1{i}") * d[1] + F.col(f"r2{i}") * d[2] for i in range(3)]
+
+    def inner(sign: int) -> Column:
+        """Whether a cell's ball reaches the inner side of all planes; the frame has a margin of one pixel."""
+        out = sign * p[2] > -reach
+        for at, f, c, size in ((p[0], "fx", "cx", "w"), (p[1], "fy", "cy", "h")):
+            for slope, k in ((1, F.col(c) + 1), (-1, F.col(size) + 1 - F.col(c))):
+                out = out & (sign * (slope * F.col(f) * at + k * p[2]) >= -reach * (F.abs(F.col(f)) + F.abs(k)))
+        return out
+
+    pairs = pairs.filter(inner(1) | inner(-1) if behind else inner(1))
+    return placed.join(pairs, ["__cx", "__cy", "__cz"]).drop("__cx", "__cy", "__cz")
+
+
 def mask_reject(points: DataFrame, cameras: DataFrame, mask: DataFrame, key: str = "id") -> DataFrame:
     """Points that no camera sees on a pixel outside of its mask.
 
@@ -68,7 +104,7 @@ def mask_reject(points: DataFrame, cameras: DataFrame, mask: DataFrame, key: str
     0, off the frame or at depth 0 is not rejected; points behind count.
     """
     u, v, _ = g.project(g.vector("x", "y", "z"))
-    seen = points.crossJoin(small(cameras)).select(key, F.col("cam").alias("view"), F.floor(u - 0.5).alias("x"), F.floor(v - 0.5).alias("y"), "w", "h")
+    seen = in_view(points, cameras, behind=True).select(key, F.col("cam").alias("view"), F.floor(u - 0.5).alias("x"), F.floor(v - 0.5).alias("y"), "w", "h")
     seen = seen.filter((F.col("x") > 0) & (F.col("x") < F.col("w")) & (F.col("y") > 0) & (F.col("y") < F.col("h")))
     rejected = seen.join(mask.select("view", "y", "x"), ["view", "y", "x"], "left_anti").select(key).distinct()
     return points.join(rejected, key, "left_anti")

@@ -1,9 +1,10 @@
-"""Volumes, planes and the meshing strategies up to surface extraction."""
+"""Volumes, planes and the meshing strategies."""
 
 from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import geometry as g
-from terravane.operators import filters, images, pointcloud, ranks, spatial
+from terravane.operators import filters, graph, images, pointcloud, ranks, spatial, surface
+from terravane.storage import materialise
 
 
 def voxel_grid(spark: SparkSession, resolution: int, first: float, last: float) -> DataFrame:
@@ -23,39 +25,31 @@ def voxel_grid(spark: SparkSession, resolution: int, first: float, last: float)
     return grid.select(*[v.cast("int").alias(k) for k, v in index.items()], *[v.alias(k) for k, v in places.items()])
 
 
-def tsdf_integrate(voxels: DataFrame, cameras: DataFrame, depth_px: DataFrame, trunc: float, far: float = 20.0, min_weight: int = 1) -> DataFrame:
+def tsdf_integrate(voxels: DataFrame, cameras: DataFrame, depth_px: DataFrame, trunc: float, far: float = 20.0, min_weight: int = 1, colours: tuple[str, ...] = ()) -> DataFrame:
     """(ix, iy, iz, tsdf, weight): mean truncated distance over the views that see a voxel.
 
     A voxel projects to the pixel that holds it; its distance is the pixel's depth
     minus its own; what lies more than ``trunc`` behind the surface doesn't count.
+    ``colours`` of the pixels are averaged over the same views.
     """
     u, v, z = g.project(g.vector("x", "y", "z"))
-    seen = voxels.crossJoin(filters.small(cameras)).select("ix", "iy", "iz", F.col("cam").alias("view"), F.floor(u).cast("int").alias("px"), F.floor(v).cast("int").alias("py"), z.alias("z"), "w", "h")
+    seen = filters.in_view(voxels, cameras).select("ix", "iy", "iz", F.col("cam").alias("view"), F.floor(u).cast("int").alias("px"), F.floor(v).cast("int").alias("py"), z.alias("z"), "w", "h")
     seen = seen.filter((F.col("z") > 0) & (F.col("px") >= 0) & (F.col("px") < F.col("w")) & (F.col("py") >= 0) & (F.col("py") < F.col("h")))
-    depth = filters.depth_trunc(depth_px, far).select("view", F.col("y").alias("py"), F.col("x").alias("px"), "depth")
+    depth = filters.depth_trunc(depth_px, far).select("view", F.col("y").alias("py"), F.col("x").alias("px"), "depth", *colours)
     sdf = seen.join(depth, ["view", "py", "px"]).withColumn("sdf", F.col("depth") - F.col("z")).filter(F.col("sdf") > -F.lit(float(trunc)))
-    mean = sdf.groupBy("ix", "iy", "iz").agg(F.avg(F.least(F.lit(1.0), F.col("sdf") / F.lit(float(trunc)))).alias("tsdf"), F.count(F.lit(1)).alias("weight"))
+    mean = sdf.groupBy("ix", "iy", "iz").agg(F.avg(F.least(F.lit(1.0), F.col("sdf") / F.lit(float(trunc)))).alias("tsdf"), F.count(F.lit(1)).alias("weight"), *[F.avg(c).alias(c) for c in colours])
     return mean.filter(F.col("weight") >= min_weight)
 
 
 def density_grid(voxels: DataFrame, splats: DataFrame, radius2: float) -> DataFrame:
-    """(id, density): sum of opacity * exp(-d2 / 2 sigma2) over the primitives within the radius."""
-    points = voxels.select(((F.col("ix").cast("long") * 4096 + F.col("iy")) * 4096 + F.col("iz")).alias("id"), "x", "y", "z")
+    """(ix, iy, iz, density): sum of opacity * exp(-d2 / 2 sigma2) over the primitives within the radius."""
+    span = surface.SPAN
+    points = voxels.select(((F.col("ix").cast("long") * span + F.col("iy")) * span + F.col("iz")).alias("id"), "x", "y", "z")
     near = spatial.radius_join(points, splats, radius2, "id", "gid")
     weight = splats.select(F.col("gid").alias("bid"), g.sigmoid(F.col("opacity")).alias("alpha"))
     value = F.col("alpha") * F.exp(-F.col("d2") * F.lit(2.0 / radius2))
-    return near.join(weight, "bid").groupBy(F.col("aid").alias("id")).agg(F.sum(value).alias("density"))
-
-
-def surface_cells(density: DataFrame, iso: float = 0.5) -> DataFrame:
-    """(id, below, above): cells of eight samples that the iso surface cuts, by their lowest corner.
-
-    A sample without density counts as 0.
-    """
-    corners = [(i * 4096 + j) * 4096 + k for i in (0, 1) for j in (0, 1) for k in (0, 1)]
-    high = density.filter(F.col("density") > F.lit(float(iso))).select(F.explode(F.array(*[F.col("id") - F.lit(c) for c in corners])).alias("id"))
-    counts = high.groupBy("id").agg(F.count(F.lit(1)).alias("above"))
-    return counts.filter("above < 8").select("id", (8 - F.col("above")).alias("below"), "above")
+    sums = near.join(weight, "bid").groupBy("aid").agg(F.sum(value).alias("density"))
+    return sums.select(F.floor(F.col("aid") / (span * span)).cast("int").alias("ix"), (F.floor(F.col("aid") / span) % span).cast("int").alias("iy"), (F.col("aid") % span).cast("int").alias("iz"), "density")
 
 
 def plane_hypotheses(points: DataFrame, triples: int, seed: int = 5, key: str = "id") -> DataFrame:
@@ -157,7 +151,7 @@ def depth_normal_points(px: DataFrame, per_frame: int, edge_threshold: float, cr
     ``px``: depth pixels with their camera's columns; ``per_frame`` 0 takes all of them.
     """
     smooth = images.laplacian(px).filter(F.col("laplacian") < F.lit(float(edge_threshold))).drop("laplacian")
-    key = ((F.col("view") * 100_000 + F.col("y")) * 100_000 + F.col("x")).cast("long")
+    key = images.pixel_key(F.col("view"), F.col("y"), F.col("x"))
     keyed = smooth.filter("depth > 0").withColumn("id", key)
     chosen = _per_frame(keyed, per_frame) if per_frame > 0 else keyed
     p = g.backproject(F.col("x") + 0.5, F.col("y") + 0.5, F.col("depth"))
@@ -189,13 +183,90 @@ def level_points(frames: DataFrame, crop: tuple | None = None, neighbours: int =
     return frames.limit(0) if out is None else out
 
 
+@dataclass
+class Mesh:
+    """Vertices (vid, x, y, z and attributes), faces (a, b, c), and the 3x4 transform that was applied."""
+
+    vertices: DataFrame
+    faces: DataFrame
+    features: DataFrame | None = None
+    transform: list[list[float]] | None = None
+
+
+def _used(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    return vertices.join(faces.select(F.explode(F.array("a", "b", "c")).alias("vid")).distinct(), "vid", "left_semi")
+
+
+def nearest_attributes(vertices: DataFrame, points: DataFrame, names: tuple[str, ...], key: str = "id") -> DataFrame:
+    """Vertices with attributes of the nearest point."""
+    near = spatial.knn_join(vertices, points, 1, "vid", key).select(F.col("aid").alias("vid"), "bid")
+    return vertices.join(near, "vid").join(points.select(F.col(key).alias("bid"), *names), "bid").drop("bid")
+
+
+def marching_mesh(splats: DataFrame, resolution: int, first: float, last: float, radius2: float, iso: float = 0.5, crop: tuple | None = None, colours: tuple[str, ...] = ("cr", "cg", "cb")) -> Mesh:
+    """Surface of the primitives' density on a cube of samples, with the nearest primitive's colours."""
+    voxels = voxel_grid(splats.sparkSession, resolution, first, last)
+    if crop is not None:
+        voxels = filters.crop(voxels, *crop)
+    density = materialise(density_grid(voxels, splats, radius2).withColumnRenamed("density", "value"))
+    vertices, faces = surface.marching_cubes(density, iso, (first,) * 3, (last - first) / (resolution - 1), 0.0, resolution)
+    return Mesh(nearest_attributes(materialise(vertices.select("vid", "x", "y", "z")), splats, colours, "gid"), faces)
+
+
+def volume_surface(volume: DataFrame, resolution: int, first: float, last: float) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces where the distance crosses 0, between voxels that are known; fronts look outwards."""
+    samples = volume.select("ix", "iy", "iz", (-F.col("tsdf")).alias("value"))
+    return surface.marching_cubes(samples, 0.0, (first,) * 3, (last - first) / (resolution - 1))
+
+
+def tsdf_mesh(cameras: DataFrame, px: DataFrame, points: DataFrame, resolution: int, first: float, last: float, trunc: float, far: float = 20.0, min_weight: int = 5, colours: tuple[str, ...] = ("red", "green", "blue")) -> Mesh:
+    """Surface of the volume where at least ``min_weight`` views agree, with the nearest point's colours.
+
+    ``px``: depth pixels; ``points``: all of them in the world (id, x, y, z, colours).
+    """
+    voxels = voxel_grid(px.sparkSession, resolution, first, last)
+    volume = materialise(tsdf_integrate(voxels, cameras, px, trunc, far, min_weight))
+    vertices, faces = volume_surface(volume, resolution, first, last)
+    return Mesh(nearest_attributes(materialise(vertices.select("vid", "x", "y", "z")), points, colours), faces)
+
+
+def fused_mesh(cameras: DataFrame, px: DataFrame, splats: DataFrame, resolution: int, first: float, last: float, trunc: float, far: float = 20.0, repair: bool = True, max_hole: float = 3.0, max_splits: int = 1000, use_largest: bool = False, k: int = 5, transfer: float = 0.03, align: bool = True, colours: tuple[str, ...] = ("red", "green", "blue")) -> Mesh:
+    """The default mesher: integrate, extract, clean and repair, transfer colours, normals and features, align.
+
+    ``px``: depth pixels with colours; ``splats``: (gid, x, y, z, n, f) with normals
+    and features as arrays.  Vertices get ``rgb`` and ``n``; features are (vid, f).
+    ``transfer`` is the largest distance over which attributes go to a vertex.
+    """
+    voxels = voxel_grid(px.sparkSession, resolution, first, last)
+    volume = materialise(tsdf_integrate(voxels, cameras, px, trunc, far, 1, colours))
+    vertices, faces = volume_surface(volume, resolution, first, last)
+    vertices, faces = materialise(vertices), materialise(faces)
+    raw = materialise(surface.interpolated(vertices, volume, colours).select("vid", "x", "y", "z", F.array(*colours).alias("rgb")))
+    if repair:
+        faces, places = graph.clean_repair(faces, raw.select("vid", "x", "y", "z"), max_hole, use_largest, max_splits)
+        faces = materialise(faces)
+        places = materialise(_used(places, faces).withColumnRenamed("vid", "id"))
+        rgb = pointcloud.features_to_vertices(raw.withColumnRenamed("vid", "id"), places, k, transfer, len(colours), "rgb")
+    else:
+        places = raw.select(F.col("vid").alias("id"), "x", "y", "z")
+        rgb = raw.select(F.col("vid").alias("id"), "rgb")
+    points = splats.withColumnRenamed("gid", "id")
+    normals = pointcloud.normals_to_vertices(points, places, k, transfer, "n")
+    features = pointcloud.features_to_vertices(points, places, k, transfer, None, "f")
+    out = places.join(rgb, "id").join(normals, "id")
+    transform = None
+    if align:
+        out, transform = align_floor(materialise(out))
+    return Mesh(out.withColumnRenamed("id", "vid"), faces, features.withColumnRenamed("id", "vid"), transform)
+
+
 STRATEGIES: dict[str, Callable] = {
-    "tsdf": tsdf_integrate,
-    "o3dtsdf": tsdf_integrate,
+    "tsdf": tsdf_mesh,
+    "o3dtsdf": fused_mesh,
     "dn": depth_normal_points,
     "sugar-coarse": level_points,
     "gaussians": gaussians_points,
-    "marching": density_grid,
+    "marching": marching_mesh,
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.operators import pointcloud, spatial
@@ -119,26 +119,69 @@ def hole_perimeters(faces: DataFrame, vertices: DataFrame, max_size: float = 3.0
     return sums.withColumn("fill", F.col("perimeter") < F.lit(float(max_size)))
 
 
-def fill_holes(faces: DataFrame, vertices: DataFrame, max_size: float = 3.0) -> tuple[DataFrame, DataFrame]:
-    """Faces and vertices with a fan around a new centre in each small hole.
+def fill_holes(faces: DataFrame, vertices: DataFrame, max_size: float = 3.0, max_edge: float | None = None, max_splits: int = 0, smooth: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Faces and vertices with each small hole filled.
 
-    A new vertex is numbered after all others by the smallest vertex of its loop.
+    The trivial fill is a fan around a new centre.  With ``max_edge`` the spokes of
+    the fan are split into parts no longer than that, as long as a hole gets no more
+    than ``max_splits`` new vertices on its spokes: the fill consists of rings.
+    ``smooth`` times the new vertices move to the mean of their neighbours; others
+    stay.  A centre is numbered after all vertices by the smallest one of its loop,
+    a ring's vertex after those by its ring and the vertex on the rim.
     """
     loops = materialise(boundary_loops(faces))
-    small = edge_lengths(loops, vertices).groupBy("loop").agg(F.sum("length").alias("p")).filter(F.col("p") < F.lit(float(max_size))).select("loop")
-    rim = loops.join(small, "loop", "left_semi")
+    small = edge_lengths(loops, vertices).groupBy("loop").agg(F.sum("length").alias("p"), F.count(F.lit(1)).alias("n")).filter(F.col("p") < F.lit(float(max_size))).select("loop", "n")
+    rim = loops.join(small, "loop")
     top = vertices.agg((F.max("vid") + 1).alias("__top"))
-    corners = rim.select("loop", F.explode(F.array("a", "b")).alias("vid")).distinct().join(vertices.select("vid", "x", "y", "z"), "vid")
-    centres = pointcloud.with_scalar(corners.groupBy("loop").agg(*[F.avg(c).alias(c) for c in "xyz"]), top)
-    centres = centres.select("loop", (F.col("__top") + F.col("loop")).alias("vid"), "x", "y", "z")
-    fans = rim.join(centres.select("loop", "vid"), "loop").select("a", "b", F.col("vid").alias("c"))
-    return faces.select("a", "b", "c").unionByName(fans), vertices.select("vid", "x", "y", "z").unionByName(centres.drop("loop"))
-
-
-def clean_repair(faces: DataFrame, vertices: DataFrame, max_size: float = 3.0, use_largest: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Drop stray components, then fill small holes."""
+    corners = rim.select("loop", "n", F.explode(F.array("a", "b")).alias("vid")).distinct().join(vertices.select("vid", "x", "y", "z"), "vid")
+    centres = pointcloud.with_scalar(corners.groupBy("loop", "n").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"]), top)
+    spokes = corners.join(centres, ["loop", "n"])
+    if max_edge is None:
+        rings = F.lit(1)
+    else:
+        length = F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("mx")) ** 2))
+        longest = spokes.groupBy("loop").agg(F.max(length).alias("longest"))
+        centres = centres.join(longest, "loop")
+        rings = F.greatest(F.lit(1), F.least(F.ceil(F.col("longest") / F.lit(float(max_edge))), F.floor(F.lit(max_splits) / F.col("n")) + 1)).cast("int")
+    centres = materialise(centres.select("loop", "n", rings.alias("rings"), "__top", "mx", "my", "mz"))
+    middle = centres.select((F.col("__top") + F.col("loop")).alias("vid"), *[F.col(f"m{c}").alias(c) for c in "xyz"])
+    # ring 0 is the rim, ring ``rings`` the centre
+    inner = corners.join(centres, ["loop", "n"]).filter("rings > 1").select("*", F.explode(F.sequence(F.lit(1), F.col("rings") - 1)).alias("ring"))
+    inner = inner.select((F.col("__top") * (F.col("ring") + 1) + F.col("vid")).alias("vid"), *[(F.col(c) + (F.col(f"m{c}") - F.col(c)) * F.col("ring") / F.col("rings")).alias(c) for c in "xyz"])
+    steps = rim.join(centres.drop("n"), "loop").select("*", F.explode(F.sequence(F.lit(0), F.col("rings") - 1)).alias("ring"))
+
+    def at(v: str, ring: Column) -> Column:
+        return F.when(ring == 0, F.col(v)).otherwise(F.col("__top") * (ring + 1) + F.col(v))
+
+    ring = F.col("ring")
+    a0, b0, a1, b1, mid = at("a", ring), at("b", ring), at("a", ring + 1), at("b", ring + 1), F.col("__top") + F.col("loop")
+    inmost = ring == F.col("rings") - 1
+    face = F.when(inmost, F.array(F.struct(a0.alias("a"), b0.alias("b"), mid.alias("c")))).otherwise(F.array(F.struct(a0.alias("a"), b0.alias("b"), a1.alias("c")), F.struct(b0.alias("a"), b1.alias("b"), a1.alias("c"))))
+    fans = steps.select(F.explode(face).alias("f")).select("f.*")
+    new = middle.unionByName(inner)
+    out = faces.select("a", "b", "c").unionByName(fans), vertices.select("vid", "x", "y", "z").unionByName(new)
+    if not smooth:
+        return out
+    filled, fixed = materialise(fans), vertices.select("vid", "x", "y", "z")
+    new = materialise(new)
+    edges = mesh_edges(filled).select("a", "b")
+    both = edges.union(edges.selectExpr("b", "a")).join(new.select(F.col("vid").alias("a")), "a", "left_semi")
+    for _ in range(smooth):
+        ends = both.join(fixed.unionByName(new).withColumnRenamed("vid", "b"), "b")
+        new = materialise(ends.groupBy(F.col("a").alias("vid")).agg(*[F.avg(c).alias(c) for c in "xyz"]))
+    return out[0], fixed.unionByName(new)
+
+
+def clean_repair(faces: DataFrame, vertices: DataFrame, max_size: float = 3.0, use_largest: bool = False, max_splits: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Drop stray components, then fill small holes.
+
+    With ``max_splits`` the fill has edges of the mesh's average length and is smoothed.
+    """
     kept = materialise(filter_components(faces, vertices, use_largest).select("a", "b", "c"))
-    return fill_holes(kept, vertices, max_size)
+    if not max_splits:
+        return fill_holes(kept, vertices, max_size)
+    length = average_edge_length(kept, vertices).first()["length"]
+    return fill_holes(kept, vertices, max_size, length or None, max_splits, 3)
 
 
 def laplacian_smooth(faces: DataFrame, vertices: DataFrame, iterations: int = 1, weight: float = 0.5) -> DataFrame:

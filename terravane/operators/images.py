@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import geometry as g
 
 
+#: pixels along a side that a key can tell apart
+SIDE = 100_000
+
+
+def pixel_key(view: Column, y: Column, x: Column) -> Column:
+    """One number for a pixel of a view; larger images are refused."""
+    fits = (y >= 0) & (y < SIDE) & (x >= 0) & (x < SIDE)
+    return F.when(fits, (view * SIDE + y) * SIDE + x).otherwise(F.raise_error(F.lit("a pixel lies outside of what a key can tell apart")).cast("long")).cast("long")
+
+
 def neighbour(value: str, dy: int, dx: int) -> Column:
     """Value one step along a column or row; null where there is no such pixel.
 
@@ -54,32 +67,43 @@ def depth_normals(px: DataFrame) -> DataFrame:
     return pts.select("view", "y", "x", *[F.coalesce(v, F.lit(0.0)).alias(c) for v, c in zip(n, ("nx", "ny", "nz"), strict=True)])
 
 
+def _targets(source: Column, n: int, m: int, taps: Callable[[Column], tuple[Column, ...]]) -> Column:
+    """Target places along one axis, of ``m``, that have ``source``, of ``n``, among their taps."""
+    lo = F.greatest(F.floor((source - 1.5) * m / n) - 1, F.lit(0))
+    hi = F.when(source == n - 1, F.lit(m - 1)).otherwise(F.least(F.ceil((source + 1.5) * m / n), F.lit(m - 1)))
+    return F.filter(F.sequence(lo.cast("int"), hi.cast("int")), lambda o: reduce(Column.__or__, [t == source for t in taps(o)]))
+
+
 def bilinear(px: DataFrame, height: int, width: int, new_height: int, new_width: int, value: str = "value") -> DataFrame:
     """Bilinear samples at pixel centres (corners not aligned), from source to target.
 
-    Each source pixel is sent to the target pixels that it weighs in; the factor of
-    the sizes bounds how many those are.
+    Each source pixel is sent to the target pixels that it weighs in, which follow
+    from its place; the factor of the sizes bounds how many those are.
     """
-    grid = g.pixel_grid(px.sparkSession, new_width, new_height).select("y", "x")
 
-    def axis(c: str, n: int, m: int) -> tuple[Column, Column, Column]:
-        s = F.greatest((F.col(c) + 0.5) * n / m - 0.5, F.lit(0.0))
+    def axis(o: Column, n: int, m: int) -> tuple[Column, Column, Column]:
+        s = F.greatest((o + 0.5) * n / m - 0.5, F.lit(0.0))
         lo = F.floor(s)
         return lo, F.least(lo + 1, F.lit(n - 1)), s - lo
 
-    y0, y1, wy = axis("y", height, new_height)
-    x0, x1, wx = axis("x", width, new_width)
-    taps = F.array(*[F.struct(sy.cast("int").alias("sy"), sx.cast("int").alias("sx"), (ky * kx).alias("k")) for sy, ky in ((y0, 1 - wy), (y1, wy)) for sx, kx in ((x0, 1 - wx), (x1, wx))])
-    taps = grid.select("y", "x", F.explode(taps).alias("t")).select("y", "x", "t.*")
-    source = px.select("view", F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(value).alias("__v"))
-    return source.join(F.broadcast(taps), ["sy", "sx"]).groupBy("view", "y", "x").agg(F.sum(F.col("k") * F.col("__v")).alias(value))  # four rows for each target pixel of one image
+    def weight(o: str, source: str, n: int, m: int) -> Column:
+        lo, hi, share = axis(F.col(o), n, m)
+        return F.when(lo == F.col(source), 1 - share).otherwise(F.lit(0.0)) + F.when(hi == F.col(source), share).otherwise(F.lit(0.0))
+
+    sent = px.select("view", F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(value).alias("__v"))
+    sent = sent.select("*", F.explode(_targets(F.col("sy"), height, new_height, lambda o: axis(o, height, new_height)[:2])).alias("y"))
+    sent = sent.select("*", F.explode(_targets(F.col("sx"), width, new_width, lambda o: axis(o, width, new_width)[:2])).alias("x"))
+    k = weight("y", "sy", height, new_height) * weight("x", "sx", width, new_width)
+    return sent.groupBy("view", "y", "x").agg(F.sum(k * F.col("__v")).alias(value))
 
 
 def nearest(px: DataFrame, height: int, width: int, new_height: int, new_width: int) -> DataFrame:
-    """Nearest samples, as for masks."""
-    grid = g.pixel_grid(px.sparkSession, new_width, new_height)
-    taps = grid.select("y", "x", F.floor(F.col("y") * height / new_height).cast("int").alias("sy"), F.floor(F.col("x") * width / new_width).cast("int").alias("sx"))
-    return px.withColumnsRenamed({"y": "sy", "x": "sx"}).join(F.broadcast(taps), ["sy", "sx"]).drop("sy", "sx")  # one row for each target pixel of one image
+    """Nearest samples, as for masks; each pixel is sent to the targets that it is nearest to."""
+    sent = px.withColumnsRenamed({"y": "__sy", "x": "__sx"})
+    for c, n, m in (("y", height, new_height), ("x", width, new_width)):
+        places = _targets(F.col(f"__s{c}"), n, m, lambda o, n=n, m=m: (F.floor(o * n / m),))
+        sent = sent.withColumn(c, F.explode(places)).drop(f"__s{c}")
+    return sent
 
 
 def composite_front_to_back(samples: DataFrame, value: str = "value", alpha: str = "alpha") -> DataFrame:

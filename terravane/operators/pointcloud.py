@@ -11,33 +11,37 @@ from terravane.operators import spatial
 EXACT_ROWS = 5_000_000
 
 
-def quantile(df: DataFrame, value: str, q: float) -> DataFrame:
+def quantile(df: DataFrame, value: str, q: float, exact_rows: int | None = None) -> DataFrame:
     """One row: the exact linear quantile of ``value``.
 
-    Many values are narrowed to a band by an approximate quantile first; ranks
-    below the band are counted, so the result stays exact.
+    Many distinct values are narrowed to a band around the rank by approximate
+    quantiles, again and again until the band has few; ranks below the band are
+    counted, so the result stays exact.  One task sees ``exact_rows`` distinct
+    values at most.
     """
+    most = exact_rows or EXACT_ROWS
     values = df.select(F.col(value).alias("v")).filter("v is not null")
     n = values.count()
-    if n <= EXACT_ROWS:
+    if n <= most:
         return values.agg(F.percentile("v", F.lit(q)).alias("q"))
     rank = q * (n - 1)
-    lo, hi = values.agg(F.percentile_approx("v", [max(0.0, q - 0.001), min(1.0, q + 0.001)], 10_000)).first()[0]
-    below = values.filter(F.col("v") < F.lit(lo)).count()
-    band = values.filter((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi))).groupBy("v").count()
-    # ranks inside the band: distinct values with running counts, in the order of a few thousand ranges
-    k = int(rank)
-    need = [k - below, min(k + 1, n - 1) - below]
-    rows = band.orderBy("v").limit(max(need) + 1).collect() if max(need) < 2_000_000 else None
-    if rows is None:
-        return values.agg(F.percentile("v", F.lit(q)).alias("q"))
-    seen, found = 0, []
-    for r in rows:
-        seen += r["count"]
-        while len(found) < 2 and seen > need[len(found)]:
-            found.append(r["v"])
-    value_at = found[0] + (found[1] - found[0]) * (rank - k)
-    return df.sparkSession.createDataFrame([(float(value_at),)], "q double")
+    k = min(int(rank), n - 2)
+    band, below, size, margin = values, 0, n, 0.001
+    while band.select("v").distinct().limit(most + 1).count() > most:
+        near = [max(0.0, (k - below) / size - margin), min(1.0, (k + 2 - below) / size + margin)]
+        lo, hi = band.agg(F.percentile_approx("v", near, 10_000)).first()[0]
+        inner = (F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi))
+        less, held = band.agg(F.count_if(F.col("v") < F.lit(lo)), F.count_if(inner)).first()
+        if below + less > k or below + less + held < k + 2 or held == size:
+            margin *= 2  # both ranks must lie in the band; a band of everything is narrowed less carefully next
+            if margin > 0.5:
+                break
+            continue
+        band, below, size, margin = values.filter(inner), below + less, held, 0.001
+    counted = band.groupBy("v").count()
+    # the two values around the rank, from the running counts of the distinct values of the band
+    pair = counted.agg(F.percentile("v", F.array(F.lit((k - below) / (size - 1)), F.lit((k + 1 - below) / (size - 1))), F.col("count")).alias("p"))
+    return pair.select((F.col("p")[0] + (F.col("p")[1] - F.col("p")[0]) * F.lit(rank - k)).alias("q"))
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:

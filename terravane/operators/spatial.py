@@ -1,10 +1,15 @@
 """Spatial joins: points within a radius, and nearest neighbours.
 
-Both use a grid of cells.  A radius join sends each left point to the 27 cells
-around it and meets the right points by equality of cells.  A neighbour join
-starts with a radius taken from the density and doubles it for those points only
-that have not yet ``k`` neighbours within it, which is exact: what lies within the
-radius is known in full.  Small relations (counted) are compared directly.
+Both use grids of cells.  A radius join sends each left point to the 27 cells
+around it and meets the right points by equality of cells.
+
+A neighbour join follows the local density.  Grids of cells that halve in size are
+counted on the right side; a left point takes the finest grid in which its own cell
+holds ``k`` right points, so that its neighbours lie within that cell's diagonal,
+and meets the right points of the cells of that grid.  Points on surfaces and in
+clusters thus have small cells, and pairs stay in proportion to points.  Left points
+in cells with fewer right points search radii that double until they have ``k``
+neighbours.  Both are exact.  Small relations (counted) are compared directly.
 """
 
 from __future__ import annotations
@@ -12,8 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravane.storage import materialise
+
 #: below this many pairs, comparing all with one broadcast side is the cheapest plan
 DIRECT_PAIRS, DIRECT_ROWS = 30_000_000, 50_000
+#: grids of a neighbour join, from coarse to fine; level 0 has the cells of the mean density
+LEVELS = range(-2, 11)
 
 
 def squared(a: str, b: str) -> Column:
@@ -48,6 +57,32 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _leveled(df: DataFrame, prefix: str, size: float, levels: list[int], double: bool = False) -> DataFrame:
+    """Each row once for each level, with its cell; ``double``: cells of twice the size."""
+    out = df.select("*", F.explode(F.array(*[F.lit(v) for v in levels])).alias("level"))
+    side = F.lit(size * (2 if double else 1)) / F.pow(F.lit(2.0), F.col("level"))
+    return out.select("*", *[F.floor(F.col(f"{prefix}{c}") / side).alias(f"c{c}") for c in "xyz"])
+
+
+def _doubling(left: DataFrame, right: DataFrame, k: int, radius: float, widest: float) -> DataFrame:
+    """Neighbours by radii that double; what lies within a radius is known in full."""
+    b = right.select(F.col("bid").alias("id"), *[F.col(f"b{c}").alias(c) for c in "xyz"])
+    out = None
+    while True:
+        last = radius >= widest
+        a = left.select(F.col("aid").alias("id"), *[F.col(f"a{c}").alias(c) for c in "xyz"])
+        near = _nearest(radius_join(a, b, radius * radius), k)
+        if not last:
+            near = near.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("aid"))).filter(F.col("n") >= k).drop("n")
+        done = materialise(near)
+        out = done if out is None else out.union(done)
+        if not last:
+            left = materialise(left.join(done.select("aid").distinct(), "aid", "left_anti"))
+        if last or left.limit(1).count() == 0:
+            return out
+        radius *= 2
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, left_key: str = "id", right_key: str = "id", direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
     """(aid, bid, d2, rank): the ``k`` nearest right points of each left point; ties by id.
 
@@ -62,21 +97,26 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_key: str = "id", ri
     reach = a.agg(*[F.min(f"a{c}").alias(f"lo{c}") for c in "xyz"], *[F.max(f"a{c}").alias(f"hi{c}") for c in "xyz"]).first()
     sides = [max(box[f"hi{c}"] - box[f"lo{c}"], 1e-9) for c in "xyz"]
     widest = sum((max(box[f"hi{c}"], reach[f"hi{c}"]) - min(box[f"lo{c}"], reach[f"lo{c}"])) ** 2 for c in "xyz") ** 0.5
-    radius = max((2.0 * k * sides[0] * sides[1] * sides[2] / n_b) ** (1 / 3), max(sides) * 1e-3)
-    left_over, out = a, None
-    while True:
-        last = radius >= widest
-        near = radius_join(left_over.select(F.col("aid").alias("id"), *[F.col(f"a{c}").alias(c) for c in "xyz"]), b.select(F.col("bid").alias("id"), *[F.col(f"b{c}").alias(c) for c in "xyz"]), radius * radius)
-        near = _nearest(near, k)
-        done = near if last else near.join(near.groupBy("aid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("aid"), "aid", "left_semi")
-        done = done.persist()
-        out = done if out is None else out.union(done)
-        if last:
-            return out
-        left_over = left_over.join(done.select("aid").distinct(), "aid", "left_anti").persist()
-        if left_over.limit(1).count() == 0:
-            return out
-        radius *= 2
+    size = max((2.0 * k * sides[0] * sides[1] * sides[2] / n_b) ** (1 / 3), max(sides) * 1e-3)
+    cell, levels = ["level", "cx", "cy", "cz"], list(LEVELS)
+    full = _leveled(b, "b", size, levels).groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(*cell)
+    own = _leveled(a, "a", size, levels).join(full, cell, "left_semi").groupBy("aid").agg(F.max("level").alias("level"))
+    a = materialise(a.join(own, "aid", "left"))
+    used = sorted(r["level"] for r in a.select("level").distinct().collect() if r["level"] is not None)  # a few numbers
+    out = None
+    if used:
+        # a cell's diagonal is shorter than two sides: 27 cells of twice the size hold the ball
+        found = a.filter("level is not null")
+        side = F.lit(size) / F.pow(F.lit(2.0), F.col("level"))
+        shifts = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(m).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)])
+        around = found.select("*", F.explode(shifts).alias("s")).select(*found.columns, *[(F.floor(F.col(f"a{c}") / (2 * side)) + F.col(f"s.{c}")).alias(f"c{c}") for c in "xyz"])
+        pairs = around.join(_leveled(b, "b", size, used, True), cell).select("aid", "bid", squared("a", "b").alias("d2"), (3.001 * side * side).alias("most"))
+        out = _nearest(pairs.filter("d2 <= most").drop("most"), k)
+    rest = a.filter("level is null").drop("level")
+    if rest.limit(1).count():
+        more = _doubling(rest, b, k, size / 2.0 ** levels[0], widest)
+        out = more if out is None else out.unionByName(more)
+    return out if out is not None else _nearest(a.crossJoin(b).select("aid", "bid", squared("a", "b").alias("d2")).limit(0), k)
 
 
 def nn_join(left: DataFrame, right: DataFrame, left_key: str = "id", right_key: str = "id", direct_pairs: int = DIRECT_PAIRS) -> DataFrame:

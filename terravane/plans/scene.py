@@ -214,31 +214,34 @@ def _cc(nodes: str, edges: str) -> str:
 _NEAR = "SELECT a.id AS a, b.id AS b FROM (SELECT * FROM {pts} WHERE label < 5) a JOIN (SELECT * FROM {pts} WHERE label < 5) b ON (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 <= 0.0021::DOUBLE"
 
 
+_ALL = _NEAR.replace("(SELECT * FROM {pts} WHERE label < 5)", "{pts}")
+
+
 @query(f"{_cc('SELECT id AS n FROM {pts} WHERE label < 5', _NEAR)} SELECT root AS component, node AS id FROM roots WHERE root IN (SELECT root FROM roots GROUP BY root HAVING count(*) > 10)")
 def mesh_clustering(r: Relations) -> DataFrame:
     p = r("pts").withColumn("similarity", F.when(F.col("label") < 5, 0.9).otherwise(0.5))
     return graph.mesh_clusters(p, 0.8, 0.0021, 10)
 
 
-@query(f"{_cc('SELECT id AS n FROM {pts} WHERE label < 5', _NEAR)} SELECT node, root FROM roots")
+@query(f"{_cc('SELECT id AS n FROM {pts}', _ALL)} SELECT node, root FROM roots")
 def connected_components(r: Relations) -> DataFrame:
     from terravane.operators import spatial
 
-    p = r("pts").filter("label < 5")
+    p = r("pts")
     return graph.connected_components(spatial.radius_join(p, p, 0.0021).select(F.col("aid").alias("a"), F.col("bid").alias("b")))
 
 
-@query(f"{_cc('SELECT id AS n FROM {pts} WHERE label < 5', _NEAR)} SELECT root AS component, count(*) AS size FROM roots GROUP BY root")
+@query(f"{_cc('SELECT id AS n FROM {pts}', _ALL)} SELECT root AS component, count(*) AS size FROM roots GROUP BY root")
 def component_sizes(r: Relations) -> DataFrame:
     return graph.component_sizes(connected_components(r).withColumnRenamed("root", "component"))
 
 
-@query(f"{_cc('SELECT id AS n FROM {pts} WHERE label < 5', _NEAR)} SELECT root AS component, count(*) AS size FROM roots GROUP BY root ORDER BY size DESC, component LIMIT 1")
+@query(f"{_cc('SELECT id AS n FROM {pts}', _ALL)} SELECT root AS component, count(*) AS size FROM roots GROUP BY root ORDER BY size DESC, component LIMIT 1")
 def cluster_sizes(r: Relations) -> DataFrame:
     return graph.largest(component_sizes(r))
 
 
-@query(f"{_cc('SELECT id AS n FROM {pts} WHERE label < 5', _NEAR)} SELECT node AS id FROM roots WHERE root = (SELECT root FROM roots GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)")
+@query(f"{_cc('SELECT id AS n FROM {pts}', _ALL)} SELECT node AS id FROM roots WHERE root = (SELECT root FROM roots GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)")
 def top_cluster(r: Relations) -> DataFrame:
     members = connected_components(r).select(F.col("node").alias("id"), F.col("root").alias("component"))
     return members.join(graph.largest(graph.component_sizes(members)).select("component"), "component", "left_semi").select("id")

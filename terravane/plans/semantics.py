@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.operators import fusion, images, score, spatial
+from terravane.functions import geometry
+from terravane.operators import fusion, images, score, spatial, surface
 from terravane.plans.geometry import _BACK, depth_with_camera
 from terravane.plans.registry import Relations, query, rounded
 from terravane.plans.scene import _INV, _LAP
+from terravane.storage import materialise
 
 # --- scoring: label means as queries; label 0 positive, 1 to 3 negative
 
@@ -96,9 +98,9 @@ def mlp_decode(r: Relations) -> DataFrame:
 
 @query("""WITH t AS (SELECT oy, ox, greatest((oy + 0.5) * 3 / 24::DOUBLE - 0.5, 0) AS sy, greatest((ox + 0.5) * 4 / 32::DOUBLE - 0.5, 0) AS sx FROM (SELECT unnest(range(0, 24))::INTEGER AS oy), (SELECT unnest(range(0, 32))::INTEGER AS ox)),
 k AS (SELECT oy, ox, least(2, floor(sy)::INTEGER + dy) AS y0, least(3, floor(sx)::INTEGER + dx) AS x0, (CASE WHEN dy = 0 THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END) * (CASE WHEN dx = 0 THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END) AS w FROM t, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(dy, dx))
-SELECT 0::BIGINT AS view, oy AS y, ox AS x, round(sum(w * f[1]), 6) + 0.0::DOUBLE AS value FROM k JOIN {pts} p ON p.id = y0 * 4 + x0 GROUP BY oy, ox""")
+SELECT id // 12 AS view, oy AS y, ox AS x, round(sum(w * f[1]), 6) + 0.0::DOUBLE AS value FROM k JOIN {pts} p ON p.id % 12 = y0 * 4 + x0 GROUP BY ALL""")
 def decode_resize(r: Relations) -> DataFrame:
-    small = r("pts").filter("id < 12").select(F.lit(0).cast("long").alias("view"), F.floor(F.col("id") / 4).cast("int").alias("y"), (F.col("id") % 4).cast("int").alias("x"), F.col("f")[0].alias("value"))
+    small = r("pts").select(F.floor(F.col("id") / 12).alias("view"), F.floor(F.col("id") % 12 / 4).cast("int").alias("y"), (F.col("id") % 4).cast("int").alias("x"), F.col("f")[0].alias("value"))
     out = images.bilinear(small, 3, 4, 24, 32)
     return out.select("view", "y", "x", (F.round("value", 6) + 0.0).alias("value"))
 
@@ -109,12 +111,12 @@ def query_mesh(r: Relations) -> DataFrame:
     return scored.select("vid", F.round("similarity", 6).alias("similarity"), F.round("red", 6).alias("red"), "green", "blue")
 
 
-@query(f"""WITH s AS (SELECT vid // 12 AS view, (vid % 12) // 4 AS y, vid % 4 AS x, s FROM ({_pairwise()}) WHERE vid < 480),
+@query(f"""WITH s AS (SELECT vid // 12 AS view, (vid % 12) // 4 AS y, vid % 4 AS x, s FROM ({_pairwise()}) ),
 t AS (SELECT oy, ox, greatest((oy + 0.5) * 3 / 6::DOUBLE - 0.5, 0) AS sy, greatest((ox + 0.5) * 4 / 8::DOUBLE - 0.5, 0) AS sx FROM (SELECT unnest(range(0, 6))::INTEGER AS oy), (SELECT unnest(range(0, 8))::INTEGER AS ox)),
 k AS (SELECT oy, ox, least(2, floor(sy)::INTEGER + dy) AS y0, least(3, floor(sx)::INTEGER + dx) AS x0, (CASE WHEN dy = 0 THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END) * (CASE WHEN dx = 0 THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END) AS w FROM t, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(dy, dx))
 SELECT view, oy AS y, ox AS x, round(sum(w * s), 6) AS similarity FROM k JOIN s ON s.y = y0 AND s.x = x0 GROUP BY view, oy, ox""")
 def similarity_map(r: Relations) -> DataFrame:
-    scored = score.similarity(r("vfeat").filter("vid < 480").select("vid", "f"), text_queries(r), "pairwise")
+    scored = score.similarity(r("vfeat").select("vid", "f"), text_queries(r), "pairwise")
     px = scored.select(F.floor(F.col("vid") / 12).alias("view"), F.floor(F.col("vid") % 12 / 4).cast("int").alias("y"), (F.col("vid") % 4).cast("int").alias("x"), F.col("similarity").alias("value"))
     return images.bilinear(px, 3, 4, 6, 8).select("view", "y", "x", F.round("value", 6).alias("similarity"))
 
@@ -144,30 +146,114 @@ def tsdf_integrate(r: Relations) -> DataFrame:
     return rounded(_volume(r, 1), "tsdf")
 
 
-@query(f"SELECT ix::INTEGER AS ix, iy::INTEGER AS iy, iz::INTEGER AS iz, round(tsdf, 9) + 0.0::DOUBLE AS tsdf, weight FROM ({_TSDF}) WHERE weight >= 3")
+def _cubes(samples: str, iso: str, first: str, step: str, fill: str | None = None, resolution: int | None = None) -> str:
+    """CTEs ``mv`` (vid, x, y, z) and ``mf`` (a, b, c): marching cubes over samples (ix, iy, iz, value)."""
+    corners = ", ".join(f"({n}, {i}, {j}, {k})" for n, (i, j, k) in enumerate(surface.CORNERS))
+    edges = ", ".join(f"({n}, {p}, {q}, {axis}, {', '.join(map(str, surface.CORNERS[p]))})" for n, (p, q, axis) in enumerate(surface.EDGES))
+    table = ", ".join(f"({c}, {t[0]}, {t[1]}, {t[2]})" for c, ts in surface.cases().items() for t in ts)
+    value = "coalesce(max(value) FILTER (n = {n}), %s)" % fill if fill else "max(value) FILTER (n = {n})"
+    inside = f" AND greatest(ix - i, iy - j, iz - k) <= {resolution - 2}" if resolution else ""
+    known = "" if fill else "HAVING count(*) = 8"
+    case = " + ".join(f"(v[{n + 1}] > {iso})::INT * {1 << n}" for n in range(8))
+    name = "(((cx + e{0}.i) * 1048576 + cy + e{0}.j) * 1048576 + cz + e{0}.k) * 3 + e{0}.axis"
+    place = [f"{first} + {step} * (c{x} + e0.{i} + CASE WHEN e0.axis = {n} THEN ({iso} - v[e0.p + 1]) / (v[e0.q + 1] - v[e0.p + 1]) ELSE 0 END) AS {x}" for n, (x, i) in enumerate(zip("xyz", "ijk", strict=True))]
+    return f"""ms AS ({samples}), mc AS (SELECT ix - i AS cx, iy - j AS cy, iz - k AS cz, [{", ".join(value.format(n=n) for n in range(8))}] AS v FROM ms, (VALUES {corners}) AS o(n, i, j, k) WHERE least(ix - i, iy - j, iz - k) >= 0{inside} GROUP BY ALL {known}),
+mt(kase, ea, eb, ec) AS (VALUES {table}), me(e, p, q, axis, i, j, k) AS (VALUES {edges}), mk AS (SELECT *, {case} AS kase FROM mc),
+mf AS (SELECT {name.format(1)} AS a, {name.format(2)} AS b, {name.format(3)} AS c FROM mk JOIN mt USING (kase) JOIN me e1 ON e1.e = ea JOIN me e2 ON e2.e = eb JOIN me e3 ON e3.e = ec),
+mv AS (SELECT vid, min(x) AS x, min(y) AS y, min(z) AS z FROM (SELECT {name.format(0)} AS vid, {", ".join(place)} FROM mk JOIN (SELECT DISTINCT kase, unnest([ea, eb, ec]) AS e FROM mt) USING (kase) JOIN me e0 USING (e)) GROUP BY vid)"""
+
+
+_RGB = "x / 31::DOUBLE AS red, y / 23::DOUBLE AS green, depth / 60::DOUBLE AS blue"
+_TSDF5 = _TSDF.replace(_VOXELS, "SELECT i // 1024 AS ix, (i // 32) % 32 AS iy, i % 32 AS iz, (i // 1024) / 31::DOUBLE * 60 - 30 AS x, ((i // 32) % 32) / 31::DOUBLE * 60 - 30 AS y, (i % 32) / 31::DOUBLE * 60 - 30 AS z FROM (SELECT unnest(range(0, 32768)) AS i)").replace("/ 5))", "/ 20))").replace("<= 30", "<= 60").replace("> -5 GROUP", "> -20 GROUP")
+_CUBES5 = _cubes(f"SELECT ix, iy, iz, -tsdf AS value FROM ({_TSDF5}) WHERE weight >= 5", "0.0::DOUBLE", "-30.0::DOUBLE", "(60 / 31::DOUBLE)")
+
+
+def coloured_pixels(r: Relations) -> DataFrame:
+    """Depth pixels with colours that follow from their place and depth."""
+    return r("depth_px").withColumns({"red": F.col("x") / 31.0, "green": F.col("y") / 23.0, "blue": F.col("depth") / 60.0})
+
+
+def pixel_points(r: Relations) -> DataFrame:
+    """All depth pixels in the world, with their colours."""
+    px = depth_with_camera(r)
+    p = geometry.backproject(F.col("x") + 0.5, F.col("y") + 0.5, F.col("depth"))
+    rgb = {"red": F.col("x") / 31.0, "green": F.col("y") / 23.0, "blue": F.col("depth") / 60.0}
+    return px.select(images.pixel_key(F.col("view"), F.col("y"), F.col("x")).alias("id"), *[v.alias(f"w{c}") for v, c in zip(p, "xyz", strict=True)], *[v.alias(k) for k, v in rgb.items()]).withColumnsRenamed({f"w{c}": c for c in "xyz"})
+
+
+def _vdb(r: Relations) -> fusion.Mesh:
+    return fusion.tsdf_mesh(r("cameras"), r("depth_px"), pixel_points(r), 32, -30.0, 30.0, 20.0, 60.0, 5)
+
+
+@query(f"""WITH w AS ({_BACK}), p AS (SELECT (w.view * 100000 + w.y) * 100000 + w.x AS id, wx, wy, wz, {_RGB.replace("x /", "w.x /").replace("y /", "w.y /").replace("depth /", "w.depth /")} FROM w), {_CUBES5}
+SELECT vid, round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y, round(z, 6) + 0.0::DOUBLE AS z, round(n.red, 6) AS red, round(n.green, 6) AS green, round(n.blue, 6) AS blue FROM
+(SELECT v.vid, v.x, v.y, v.z, arg_min({{'red': red, 'green': green, 'blue': blue}}, {{'d': (v.x-wx)**2 + (v.y-wy)**2 + (v.z-wz)**2, 'id': id}}) AS n FROM mv v, p GROUP BY ALL)""")
 def tsdf_vdb(r: Relations) -> DataFrame:
-    return rounded(_volume(r, 3), "tsdf")
+    return _vdb(r).vertices.select("vid", *[(F.round(c, 6) + 0.0).alias(c) for c in "xyz"], *[F.round(c, 6).alias(c) for c in ("red", "green", "blue")])
+
+
+@query(f"WITH {_CUBES5} SELECT a, b, c FROM mf")
+def tsdf_vdb_faces(r: Relations) -> DataFrame:
+    return _vdb(r).faces
 
 
-@query(f"SELECT ix::INTEGER AS ix, iy::INTEGER AS iy, iz::INTEGER AS iz, weight FROM ({_TSDF}) WHERE abs(tsdf) < 0.5001::DOUBLE")
+_TSDF_RGB = _TSDF.replace("count(*) AS weight", "count(*) AS weight, avg(red) AS red, avg(green) AS green, avg(blue) AS blue").replace("{depth_px}", f"(SELECT *, {_RGB} FROM {{depth_px}})")
+_CUBES1 = _cubes(f"SELECT ix, iy, iz, -tsdf AS value FROM ({_TSDF_RGB})", "0.0::DOUBLE", "-20.0::DOUBLE", "(40 / 15::DOUBLE)")
+
+
+@query(f"""WITH t AS ({_TSDF_RGB}), {_CUBES1}, p AS (SELECT *, vid % 3 AS axis, (vid // 3) % 1048576 AS gz, (vid // 3 // 1048576) % 1048576 AS gy, vid // 3 // 1048576 // 1048576 AS gx FROM mv),
+s AS (SELECT p.*, CASE axis WHEN 0 THEN (x + 20) / (40 / 15::DOUBLE) - gx WHEN 1 THEN (y + 20) / (40 / 15::DOUBLE) - gy ELSE (z + 20) / (40 / 15::DOUBLE) - gz END AS share FROM p)
+SELECT vid, round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y, round(z, 6) + 0.0::DOUBLE AS z, round(l.red * (1 - share) + h.red * share, 6) AS red, round(l.green * (1 - share) + h.green * share, 6) AS green, round(l.blue * (1 - share) + h.blue * share, 6) AS blue
+FROM s JOIN t l ON l.ix = gx AND l.iy = gy AND l.iz = gz JOIN t h ON h.ix = gx + (axis = 0)::INT AND h.iy = gy + (axis = 1)::INT AND h.iz = gz + (axis = 2)::INT""")
 def tsdf_o3d(r: Relations) -> DataFrame:
-    return _volume(r, 1).filter(F.abs("tsdf") < 0.5001).select("ix", "iy", "iz", "weight")
+    """Vertices of the default mesher's surface, before it is repaired, with fused colours."""
+    rgb = ("red", "green", "blue")
+    volume = fusion.tsdf_integrate(fusion.voxel_grid(r.spark, 16, -20.0, 20.0), r("cameras"), coloured_pixels(r), 5.0, 30.0, 1, rgb)
+    volume = materialise(volume)
+    vertices, _ = fusion.volume_surface(volume, 16, -20.0, 20.0)
+    out = surface.interpolated(vertices, volume, rgb)
+    return out.select("vid", *[(F.round(c, 6) + 0.0).alias(c) for c in "xyz"], *[F.round(c, 6).alias(c) for c in rgb])
+
+
+@query(f"WITH {_CUBES1} SELECT a, b, c FROM mf")
+def tsdf_o3d_faces(r: Relations) -> DataFrame:
+    return fusion.volume_surface(_volume(r, 1), 16, -20.0, 20.0)[1]
+
+
+@query()
+def tsdf_o3d_mesh(r: Relations) -> DataFrame:
+    """The default mesher from depth pixels to aligned vertices with colours, normals and features."""
+    splats = r("splats").select("gid", *[(F.col(c) * 40).alias(c) for c in "xyz"], F.array("qx", "qy", "qz").alias("n"), F.array("cr", "cg", "cb").alias("f"))
+    mesh = fusion.fused_mesh(r("cameras"), coloured_pixels(r), splats, 16, -20.0, 20.0, 5.0, 30.0, max_hole=60.0, transfer=10.0)
+    out = mesh.vertices.join(mesh.features, "vid")
+    return out.select("vid", *[(F.round(c, 6) + 0.0).alias(c) for c in "xyz"], *[F.transform(c, lambda v: F.round(v, 6) + 0.0).alias(c) for c in ("rgb", "n", "f")])
 
 
-_DENS = """SELECT (v.i // 1024 * 4096 + (v.i // 32) % 32) * 4096 + v.i % 32 AS id, sum(1 / (1 + exp(-g.opacity)) * exp(-((v.x-g.x)**2 + (v.y-g.y)**2 + (v.z-g.z)**2) * 2 / 0.0051::DOUBLE)) AS density FROM (
+_DENS = """SELECT v.i // 1024 AS ix, (v.i // 32) % 32 AS iy, v.i % 32 AS iz, sum(1 / (1 + exp(-g.opacity)) * exp(-((v.x-g.x)**2 + (v.y-g.y)**2 + (v.z-g.z)**2) * 2 / 0.0051::DOUBLE)) AS density FROM (
 SELECT i, (i // 1024) / 31::DOUBLE * 0.8::DOUBLE - 0.4::DOUBLE AS x, ((i // 32) % 32) / 31::DOUBLE * 0.8::DOUBLE - 0.4::DOUBLE AS y, (i % 32) / 31::DOUBLE * 0.8::DOUBLE - 0.4::DOUBLE AS z FROM (SELECT unnest(range(0, 32768)) AS i)) v
 JOIN {splats} g ON (v.x-g.x)**2 + (v.y-g.y)**2 + (v.z-g.z)**2 <= 0.0051::DOUBLE GROUP BY v.i"""
+_CUBES = _cubes(f"SELECT ix, iy, iz, density AS value FROM ({_DENS})", "0.5001::DOUBLE", "-0.4::DOUBLE", "(0.8::DOUBLE / 31)", "0", 32)
 
 
-@query(f"SELECT id, round(density, 6) AS density FROM ({_DENS})")
+@query(f"SELECT ix::INTEGER AS ix, iy::INTEGER AS iy, iz::INTEGER AS iz, round(density, 6) AS density FROM ({_DENS})")
 def marching_cubes_density(r: Relations) -> DataFrame:
     d = fusion.density_grid(fusion.voxel_grid(r.spark, 32, -0.4, 0.4), r("splats"), 0.0051)
-    return d.select("id", F.round("density", 6).alias("density"))
+    return d.select("ix", "iy", "iz", F.round("density", 6).alias("density"))
+
+
+def _marching(r: Relations) -> fusion.Mesh:
+    return fusion.marching_mesh(r("splats"), 32, -0.4, 0.4, 0.0051, 0.5001)
 
 
-@query(f"SELECT id - o AS id, 8 - count(*) AS below, count(*) AS above FROM ({_DENS}), (SELECT unnest([0, 1, 4096, 4097, 16777216, 16777217, 16781312, 16781313]) AS o) WHERE density > 0.5001::DOUBLE GROUP BY 1 HAVING count(*) < 8")
+@query(f"""WITH {_CUBES} SELECT vid, round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y, round(z, 6) + 0.0::DOUBLE AS z, n.cr, n.cg, n.cb FROM
+(SELECT v.vid, v.x, v.y, v.z, arg_min({{'cr': cr, 'cg': cg, 'cb': cb}}, {{'d': (v.x-g.x)**2 + (v.y-g.y)**2 + (v.z-g.z)**2, 'gid': gid}}) AS n FROM mv v, {{splats}} g GROUP BY ALL)""")
 def marching_cubes(r: Relations) -> DataFrame:
-    return fusion.surface_cells(fusion.density_grid(fusion.voxel_grid(r.spark, 32, -0.4, 0.4), r("splats"), 0.0051), 0.5001)
+    return _marching(r).vertices.select("vid", *[(F.round(c, 6) + 0.0).alias(c) for c in "xyz"], "cr", "cg", "cb")
+
+
+@query(f"WITH {_CUBES} SELECT a, b, c FROM mf")
+def marching_cubes_faces(r: Relations) -> DataFrame:
+    return _marching(r).faces
 
 
 def _fixed_planes(r: Relations) -> DataFrame:
@@ -188,7 +274,7 @@ def align_floor(r: Relations) -> DataFrame:
 
 # --- strategies
 
-_OUTLIER = "SELECT aid AS id, avg(sqrt(d2)) AS mean FROM (SELECT a.id AS aid, (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 AS d2, row_number() OVER (PARTITION BY a.id ORDER BY (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2, b.id) AS k FROM c a, c b) WHERE k <= 20 GROUP BY aid"
+_OUTLIER = "SELECT a.id, list_avg(min(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2), 20)) AS mean FROM c a, c b GROUP BY a.id"
 
 
 @query(f"""WITH s AS (SELECT gid AS id, x, y, z FROM {{splats}} WHERE opacity > -0.1::DOUBLE AND abs(x) <= 0.2 AND abs(y) <= 0.2 AND abs(z) <= 0.2), l AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz FROM s),
@@ -198,13 +284,13 @@ def gaussians_poisson(r: Relations) -> DataFrame:
     return fusion.gaussians_points(r("splats"), -0.1, crop=((0.0, 0.0, 0.0), None, (0.4, 0.4, 0.4)), voxel=0.04).select("id")
 
 
-_DN = f"""{_INV}, l AS ({_LAP}), w AS ({_BACK}), c AS (SELECT (w.view * 100000 + w.y) * 100000 + w.x AS id, wx AS x, wy AS y, wz AS z FROM w JOIN l USING (view, y, x) WHERE lap < 0.0201::DOUBLE AND depth > 0 AND w.view <= 2), o AS ({_OUTLIER})
+_DN = f"""{_INV}, l AS ({_LAP}), w AS ({_BACK}), c AS (SELECT (w.view * 100000 + w.y) * 100000 + w.x AS id, wx AS x, wy AS y, wz AS z FROM w JOIN l USING (view, y, x) WHERE lap < 0.0201::DOUBLE AND depth > 0), o AS ({_OUTLIER})
 SELECT id FROM o, (SELECT avg(mean) + 2 * stddev_samp(mean) AS lim FROM o) WHERE mean > 0 AND mean < lim"""
 
 
 @query(_DN)
 def depth_normal_poisson(r: Relations) -> DataFrame:
-    px = depth_with_camera(r).filter("view <= 2").drop("u", "v", "n")
+    px = depth_with_camera(r).drop("u", "v", "n")
     return fusion.depth_normal_points(px, 0, 0.0201).select("id")
 
 
