@@ -8,18 +8,26 @@ shingle sets; confirmed links are closed to components.
 
 Copies (equal shingle sets) are one class from the start.  Members of a bucket
 are compared with two leaders of the bucket, so a bucket costs rows in proportion
-to its members.  Pairs of a bucket that are then still in different components
-are compared too, so no candidate link between components is left
-out.  A pair goes to confirmation unless the sizes of the sets rule the
-similarity out, or more than ``MOST_BITS`` of 240 signature bits differ (at the
-similarity 0.8 that is 5 standard deviations from the mean).  The pairs that are
-left after the leaders are moreover compared by the smallest places of their
-sets: all of them, if the sets are small.
+to its members.  Buckets whose members are then still in different components go on
+in rounds: ``LEADERS`` members lead, all others are compared with those that are in
+another component, the leaders retire, and the next round has four times as many.
+A bucket ends when its members are in one component or have all led; no candidate
+link between components is left out.
+
+A pair goes to confirmation unless the sizes of the sets rule the similarity out,
+or more than ``MOST_BITS`` of 240 signature bits differ (at the similarity 0.8 that
+is 5 standard deviations from the mean).  The pairs of the rounds are moreover
+compared by the smallest places of their sets: all of them, if the sets are small;
+else ``LOWEST`` of them, with a limit that is 5 deviations below 0.8 also where one
+set contains the other.
 
 Documents without words, or with a null text, have an empty set and are linked
 with nothing.  A null id is linked with nothing either; its component is null
 and it is kept.  Repeated rows give repeated results; rows that share an id but not
-a text are one node, whose links are confirmed with one of the texts.
+a text are one node, whose links are confirmed with the smallest of its texts.
+Texts of any length have all their shingles; an empty table gives no rows; the
+smallest id is kept, so there are no ties.  Other columns are not read, or come
+through the filter unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +40,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.llm import _spark, _text
+from terravane.operators.graph import connected_components as linked
 
 BANDS, ROWS = 40, 6
 #: signature bits kept for comparison, in four words of 60
 WORDS, MOST_BITS = 4, 48
-#: smallest places of a set that are compared where many pairs of a bucket remain
+#: smallest places of a set that are compared in the rounds
 LOWEST = 256
+#: members of a bucket that lead its first round
+LEADERS = 64
 _BLOCK = 1 << 15
 
 
@@ -132,12 +143,12 @@ def _close(percent: int) -> Column:
     """Whether the ``low`` of two members allow a link.
 
     Small sets are compared in full.  Of larger ones, ``LOWEST`` places of the
-    larger set stand for all; the limit is then that of a similarity lower by 16.
+    larger set stand for all; the limit is then that of a similarity lower by 20.
     """
-    large = F.greatest("a.size", "b.size")
-    limit = F.when(large > LOWEST, F.lit(percent - 16)).otherwise(F.lit(percent))
-    common = F.size(F.array_intersect("a.low", "b.low"))
-    return common * (100 + limit) * large >= limit * (F.col("a.size") + F.col("b.size")) * F.least(large, F.lit(LOWEST))
+    large = F.greatest("size_a", "size_b")
+    limit = F.when(large > LOWEST, F.lit(percent - 20)).otherwise(F.lit(percent))
+    common = F.size(F.array_intersect("low_a", "low_b"))
+    return common * (100 + limit) * large >= limit * (F.col("size_a") + F.col("size_b")) * F.least(large, F.lit(LOWEST))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -166,26 +177,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (smallest node reachable) from edges (a, b).
-
-    Alternates large-star and small-star steps until nothing changes; each
-    round's edges are written to the shared folder.
-    """
-    now = _spark.materialise(edges.selectExpr("greatest(a, b) as u", "least(a, b) as v").filter("u <> v").distinct())
-    mark = None
-    while True:
-        # large star: larger neighbours of u go to the smallest of u and its neighbours
-        both = now.union(now.selectExpr("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
-        large = both.filter("v > u").join(low, "u").selectExpr("v as u", "m as v")
-        # small star: smaller neighbours of u, and u itself, go to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").selectExpr("v as u", "m as v").union(low.selectExpr("u", "m as v"))
-        now = _spark.materialise(small.distinct())
-        fresh = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(fresh) == mark:
-            return now.selectExpr("u as node", "v as root")
-        mark = tuple(fresh)
+    """``node`` and ``root`` (smallest node reachable) from edges (a, b)."""
+    return linked(edges)
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -218,7 +211,10 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = _spark.materialise(keyed.join(buckets, "key").join(reps.select("rep", *columns), "rep"))
     wanted = _spark.materialise(members.select(F.col("rep").alias("doc_id")).distinct())
-    texts = _spark.materialise(docs.join(_spark.if_few(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = docs.join(_spark.if_few(wanted), "doc_id", "left_semi")
+    if named.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = _spark.materialise(texts)
 
     def likely(a: str, b: str) -> Column:
         """Whether sizes and signature bits of two members allow a link."""
@@ -234,20 +230,31 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     first = _spark.materialise(found.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct())
     labels = connected_components(confirmed(first, texts, width, percent))
 
-    # every pair of a bucket that is in different components, each in one bucket only
-    placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", *columns, F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    placed = _spark.materialise(placed.join(mixed, "key"))
-    few = texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    placed = _spark.materialise(placed.join(reps.select("rep", "bands").join(lowest(few, width), "rep"), "rep"))
-    # of the buckets that a pair shares, a hash of the pair chooses one
-    mask = F.xxhash64("a.rep", "b.rep")
-    here = F.array_min(F.transform(F.array_intersect("a.bands", "b.bands"), lambda k: k.bitwiseXOR(mask))) == F.col("a.key").bitwiseXOR(mask)
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & likely("a", "b") & here & _close(percent)
-    found = placed.alias("a").join(placed.alias("b"), apart).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    fresh = _spark.materialise(confirmed(found.join(first, ["a", "b"], "left_anti"), texts, width, percent))
-    if fresh.limit(1).count():
-        labels = _spark.materialise(_merged(labels, fresh))
+    # rounds of more leaders for buckets with members in different components
+    leading, active, lows = LEADERS, members, None
+    while True:
+        active = active.join(labels, active["rep"] == labels["node"], "left").select("key", "rep", *columns, F.coalesce("root", "rep").alias("root"))
+        mixed = active.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        active = _spark.materialise(active.join(mixed, "key"))
+        if not active.limit(1).count():
+            break
+        if lows is None:
+            few = texts.join(_spark.if_few(active.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+            lows = _spark.materialise(lowest(few, width).join(reps.select("rep", "size"), "rep"))
+        order = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(leading)), "rep")
+        placed = _spark.materialise(active.withColumn("place", F.row_number().over(order)))
+        a, b = placed.alias("a"), placed.filter(F.col("place") <= leading).alias("b")
+        # two leaders meet once
+        apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.place") > F.col("b.place")) & likely("a", "b")
+        found = a.join(b, apart).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
+        found = found.join(first, ["a", "b"], "left_anti")
+        for side in "ab":
+            found = found.join(lows.select(F.col("rep").alias(side), F.col("size").alias(f"size_{side}"), F.col("low").alias(f"low_{side}")), side)
+        fresh = _spark.materialise(confirmed(found.filter(_close(percent)).select("a", "b"), texts, width, percent))
+        if fresh.limit(1).count():
+            labels = _spark.materialise(_merged(labels, fresh))
+        active = placed.filter(F.col("place") > leading).drop("place", "root")
+        leading *= 4
     rooted = reps.select("fp1", "fp2", "n_shingles", "rep").join(labels, reps["rep"] == labels["node"], "left").select("fp1", "fp2", "n_shingles", F.coalesce("root", "rep").alias("root"))
     placed = sketches.select("doc_id", "n_shingles", "fp1", "fp2").join(rooted, ["fp1", "fp2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

@@ -354,6 +354,61 @@ def test_near_duplicate_edge_cases(edge):
         minhash.near_duplicates(edge, 2, percent=70)
 
 
+def large_pairs(seed, n=14, size=600):
+    """Pairs of large sets whose similarity is close to 0.8: equal in size, or one inside of the other."""
+    rng, rows = random.Random(seed), []
+    for g in range(n):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        keep = 0.8 + rng.choice([-0.012, -0.004, 0.004, 0.012])
+        if g % 2:
+            other = text[: round(size * keep)]
+        else:
+            shared = round(size * 2 * keep / (1 + keep))
+            other = text[:shared] + [f"x{rng.randrange(10**6)}" for _ in range(size - shared)]
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(other))]
+    return rows
+
+
+@pytest.mark.parametrize("leaders", [64, 1])
+def test_large_sets_close_to_the_limit_equal_brute_force(spark, monkeypatch, leaders):
+    monkeypatch.setattr(minhash, "LEADERS", leaders)
+    given = large_pairs(leaders)
+    # members that share a passage with all of a bucket, but are far from each other, end up in its rounds
+    given += [(i + 100, t) for i, t in large_pairs(leaders + 1, 4, 300)]
+    want = components(sets_of(given, 2))
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    _spark.ship(spark)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 2).collect()} == want
+
+
+def test_crowded_buckets_equal_brute_force(spark, monkeypatch):
+    """Bands of one row make large buckets of documents that are far from each other."""
+    monkeypatch.setattr(minhash, "LEADERS", 2)
+    given = near_copies(5, groups=8, size=8, n=40)
+    sets = sets_of(given, 2)
+    sketch = minhash.sketch
+    monkeypatch.setattr(minhash, "sketch", lambda df, width: sketch(df, width, 240, 1))
+    passage = " ".join(f"common{k}" for k in range(25))
+    given = [(i, f"{passage} {t}") for i, t in given]
+    sets = sets_of(given, 2)
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    _spark.ship(spark)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 2).collect()} == components(sets)
+
+
+def test_rows_that_share_an_id(spark):
+    text = [f"w{k}" for k in range(60)]
+    given = [(1, " ".join(text)), (1, "another text of the same id"), (2, " ".join(text[:-1])), (3, "alone with some words")]
+    _spark.ship(spark)
+    runs = []
+    for rows in (given, given[::-1]):
+        out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+        runs.append(sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out))
+    assert runs[0] == runs[1] and len(runs[0]) == 4
+    left = minhash.drop_near_duplicates(spark.createDataFrame(given, "doc_id long, text string"), 2)
+    assert [r["text"] for r in left.filter("doc_id = 1").collect()] == ["another text of the same id"]
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 1000, dtype=np.uint64)
