@@ -7,10 +7,14 @@ by row, and the driver solves a ridge regression of fixed size.  Labelled rows
 that the regression has not seen give an isotonic map from raw scores to
 probabilities, fitted on a histogram of fixed size.
 
-All labelled rows of the training folds are used.  A null text counts as empty;
-empty texts are scored like any other.  Labels that are null are left out; a row
-with a null id gets a score but can't carry a label.  Repeated rows give
-repeated results.  Without any label all scores are 0.5.
+The model is fitted on all labelled rows of the training folds, or on a seeded
+sample of some ``FIT_ROWS`` of them (the documented bound); every text is scored
+whole, of any length.  A null text counts as empty; empty texts are scored like any
+other.  Labels that are null are left out; a row with a null id gets a score but
+can't carry a label; of several labels of an id each counts.  Repeated rows give
+repeated results, and equal raw scores equal results.  Without any label all scores
+are 0.5; an empty table gives no rows.  Other columns are not read, or come through
+the filter unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from terravane.llm import _spark, _text
 
 WIDTH, BINS, RIDGE, GAMMA = 256, 2048, 1e-3, 0.06
+#: labelled rows that the model is fitted on; of more of them a sample by a hash of the id
+FIT_ROWS = 1 << 20
 
 #: bytes counted together; each class's share of a text is one statistic
 BYTE_CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#", b"*", b"$%&", b"|", b"<>[]{}=\\/_~^", b"!", b"?", b".", b",", b";:", b"\"'()", b"@+-", b" ", b"\n", b"\t\r\x0b\x0c"]
@@ -187,17 +193,24 @@ def statistics_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, stats array<float>")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[dict, DataFrame]:
-    """The model, and the statistics of all documents."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    stats = _spark.materialise(statistics_table(texts))
+def known_labels(labels: DataFrame, label_col: str = "quality") -> DataFrame:
+    """``doc_id`` and ``label`` of the training folds, written to shared storage."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("label")).filter("label is not null and doc_id is not null")
-    return fit(stats, known.filter(~_spark.held_out(F.col("doc_id"), 3, 1))), stats
+    known = known.filter(~_spark.held_out(F.col("doc_id"), 3, 1))
+    n = known.count()
+    if n > FIT_ROWS:
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(n)) < FIT_ROWS)
+    return _spark.materialise(known)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row."""
-    model, stats = train(docs, labels, **columns)
+    stats = _spark.materialise(statistics_table(_texts(docs, id_col, text_col)))
+    model = fit(stats, known_labels(labels, label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,9 +221,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, **columns: str) -> DataF
     return out.select("doc_id", _spark.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", **columns: str) -> DataFrame:
-    """``docs``, all columns, without the rows that are predicted 0."""
-    model, _ = train(docs, labels, text_col=text_col, **columns)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """``docs``, all columns, without the rows that are predicted 0.
+
+    Only labelled texts are described for fitting; their ids are few, so texts stay in place.
+    """
+    known = known_labels(labels, label_col)
+    texts = _texts(docs, id_col, text_col).join(_spark.if_few(known.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = fit(statistics_table(texts), known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

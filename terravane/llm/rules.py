@@ -5,8 +5,10 @@ verdict are built-in Spark expressions only: no user functions, no shuffle.
 Words are maximal runs of characters other than ``\\x20`` and ``\\x09-\\x0D``.
 
 Null texts count as having no words: every measure is 0, and the base verdict
-(fewer than 50 words) fails.  Repeated rows give repeated results; other columns
-are left out.
+(fewer than 50 words) fails.  A null id stays null.  Texts of any length are
+measured whole; windows and lines that occur equally often have no order, so there
+are no ties.  Repeated rows give repeated results and an empty table gives none;
+other columns are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,9 +7,13 @@ into a place in one global random order, which is cut into shards whose counts
 differ by at most one, so a bucket touches few shards and few files.
 
 Buckets are sorted before they are shuffled, so a bucket that is computed again
-after a lost executor gives the same order.  Null texts have no bytes; null ids
-and repeated rows are placed like any other row (rows that are equal in every
-column share a bucket); an empty table gives empty shards.
+after a lost executor gives the same order.  Rows that are equal in identifier and
+text can't be told apart: more than ``MOST_COPIES`` of them are counted, and each
+copy goes to a bucket of its own number, so that no bucket grows with them.
+
+Null texts have no bytes; null ids and repeated rows are placed like any other row;
+texts of any length stand in one row; an empty table gives empty shards.  Ties do
+not occur: places are unique.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.llm import _spark
@@ -32,23 +36,38 @@ def fisher_yates(n: int, *seed: int) -> np.ndarray:
     return order
 
 
+#: equal rows that may meet in a bucket, and buckets that a task shuffles one after the other
+MOST_COPIES, BUCKETS_PER_TASK, MOST_TASKS = 1000, 4, 50_000
+
+
 def scatter(df: DataFrame, bucket_bytes: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Records with their bucket and the bucket's first place in the global order."""
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 8
-    total = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
+    """Records with their bucket and the bucket's first place in the global order; the number of records."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    total, n = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.count(F.lit(1))).first()
     n_buckets = max(64, -(-total // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(n_buckets)).cast("int")
-    keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), bucket.alias("bucket"))
-    # one small row for every bucket_bytes of input
-    counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
-    first, at = [], 0
-    for b, n in sorted((r["bucket"], r["n"]) for r in counts):
-        first.append((b, at))
-        at += n
-    places = df.sparkSession.createDataFrame(first, "bucket int, first long")
-    if len(first) <= 100_000:  # 16 bytes a bucket; beyond that the join is left to the planner
+    name = F.xxhash64(F.lit(seed), "doc_id", "text")
+    keyed = rows.withColumn("bucket", F.pmod(name, F.lit(n_buckets)).cast("int"))
+    counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    if most > MOST_COPIES + 2 * n // n_buckets:
+        # some bucket stands out: are there rows with very many copies?
+        hot = _spark.materialise(rows.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_COPIES).select("name"))  # fewer than n / MOST_COPIES
+        few = _spark.if_few(hot)
+        copies = rows.withColumn("name", name).join(few, "name", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+        step = 10_000
+        each = copies.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step))).alias("hi"))
+        each = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(step).cast("long"), F.col("n") - F.col("hi") * step) - 1)).alias("lo"))
+        each = each.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text", F.col("hi") * step + F.col("lo")), F.lit(n_buckets)).cast("int").alias("bucket"))
+        keyed = keyed.withColumn("name", name).join(few, "name", "left_anti").drop("name").unionByName(each)
+        counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    # one small row for every bucket_bytes of input, summed up in one task
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    if n_buckets <= 100_000:  # 16 bytes a bucket; beyond that the join is left to the planner
         places = F.broadcast(places)
-    return keyed.join(places, "bucket"), at
+    tasks = min(MOST_TASKS, -(-n_buckets // BUCKETS_PER_TASK))
+    return keyed.join(places, "bucket").repartition(tasks, "bucket"), n
 
 
 def shard_documents(df: DataFrame, n_shards: int = 24, seed: int = 20240, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

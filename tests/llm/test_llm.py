@@ -162,6 +162,22 @@ def test_shards_repeat_and_depend_on_the_seed(docs):
     assert sharding.shard_documents(docs.limit(0), 4).count() == 0
 
 
+def test_very_many_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_COPIES", 20)
+    given = [(7, "the same row")] * 900 + [(None, None)] * 300 + [(i, f"text {i}") for i in range(400)]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    _spark.ship(spark)
+    records, n = sharding.scatter(df, 1000, 5, "doc_id", "text")
+    sizes = collections.Counter(r["bucket"] for r in records.collect())
+    assert n == 1600 and sum(sizes.values()) == n and max(sizes.values()) < 60
+    out = sharding.shard_documents(df, 7, bucket_bytes=1000).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out) == collections.Counter(given)
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_fisher_yates_is_uniform():
     counts = collections.Counter(tuple(sharding.fisher_yates(3, 5, k)) for k in range(6000))
     assert len(counts) == 6 and min(counts.values()) > 850
@@ -619,6 +635,72 @@ def test_classifier_on_held_out_rows(spark):
     assert n > 1000 and right > 0.97
 
 
+def plain_statistics(text):
+    data = (text or "").encode()
+    n = max(1, len(data))
+    out = [math.sqrt(sum(c in k for c in data) / n) for k in quality.BYTE_CLASSES]
+    out.append(math.sqrt(sum(not any(c in k for k in quality.BYTE_CLASSES) for c in data) / n))
+    w = [x.encode() for x in WORD.findall(text or "")]
+    low = [x.lower() for x in w]  # bytes: A-Z only
+    m, row = len(w), [0.0] * 11
+    row[0] = math.log1p(m) / 10
+    if m:
+        size = [len(x) for x in w]
+        row[1], row[2] = np.mean(size) / 10, np.std(size) / 10
+        row[3], row[7] = np.mean([x <= 3 for x in size]), min(max(size), 200) / 50
+        row[4], row[5] = len(set(low)) / m**0.9, max(collections.Counter(low).values()) / m
+        row[6] = np.mean([65 <= x[0] <= 90 for x in w])
+        pairs = list(itertools.pairwise(low)) or low
+        row[8] = len(set(pairs)) / len(pairs)
+        lines = data.split(b"\n")
+        row[9], row[10] = len(set(lines)) / len(lines), math.log1p(m / len(lines)) / 5
+    return out + row
+
+
+def test_scores_equal_a_plain_regression(spark, docs, rows):
+    labels = {r["doc_id"]: r["quality"] for r in _spark.table(spark, SF, "labels").collect()}
+    x = {i: np.array(plain_statistics(t), np.float32).astype(float) for i, t in rows}
+    width = len(next(iter(x.values())))
+    assert width == quality.N_STATS
+    for (i, t), got in zip(rows, quality.statistics(pa.array([t for _, t in rows])), strict=True):
+        assert np.allclose(got, x[i], atol=1e-6)
+    train = [i for i in x if labels.get(i) is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    apart = {r["doc_id"] for r in docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(4)) == 0).collect()}
+    a = np.array([x[i] for i in train])
+    centre, scale = a.mean(0), a.std(0) + 1e-3
+    rng = np.random.default_rng(11)
+    directions, phase = rng.normal(0, math.sqrt(2 * quality.GAMMA), (width, quality.WIDTH)), rng.uniform(0, 2 * math.pi, quality.WIDTH)
+
+    def features(v):
+        return np.append(math.sqrt(2 / quality.WIDTH) * np.cos(np.clip((v - centre) / scale, -8, 8) @ directions + phase), 1)
+
+    fitted = [i for i in train if i not in apart]
+    z, y = np.array([features(x[i]) for i in fitted]), np.array([float(labels[i]) for i in fitted])
+    # ridge as least squares with rows for the penalty
+    penalty = math.sqrt(quality.RIDGE * len(fitted) / quality.WIDTH)
+    beta = np.linalg.lstsq(np.vstack([z, penalty * np.eye(z.shape[1])]), np.append(y, np.zeros(z.shape[1])), rcond=None)[0]
+    raw = {i: float(features(v) @ beta) for i, v in x.items()}
+    bins = {i: int(np.clip((r + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1)) for i, r in raw.items()}
+    seen = collections.defaultdict(list)
+    for i in train:
+        if i in apart:
+            seen[bins[i]].append(labels[i])
+    at = sorted(seen)
+    # isotonic fit by its minimax formula
+    w, s = [len(seen[k]) for k in at], [sum(seen[k]) for k in at]
+    level = [max(min(sum(s[i : j + 1]) / sum(w[i : j + 1]) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, _spark.table(spark, SF, "labels")).collect()}
+    close = sum(abs(got[i] - np.interp(bins[i], at, level)) < 1e-6 for i in x)
+    assert set(got) == set(x) and close >= 0.99 * len(x)  # a raw score on the edge of a bin may fall to either side
+
+
+def test_fitting_is_bounded(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "FIT_ROWS", 30)
+    labels = _spark.table(spark, SF, "labels")
+    assert 5 < quality.known_labels(labels).count() < 60
+    assert quality.score_documents(docs, labels).count() == docs.count()
+
+
 def test_classifier_edge_cases(spark, edge):
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, None), (None, 1), (8, 1)], "doc_id long, quality int")
     got = quality.score_documents(edge, labels).collect()
@@ -838,6 +920,33 @@ def test_pipeline_equals_its_stages_done_plainly(spark, docs, rows):
     assert {(r["doc_id"], r["decoded_sha256"]) for r in got} == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in before.items() if i in after}
 
 
+def test_stages_on_edge_cases(spark, edge, tmp_path):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    for name, schema, given in (("labels", "doc_id long, quality int, toxic int", [(5, 1, 0), (6, 1, 0), (9, 0, 0), (10, 1, 0), (None, 1, 0)]), ("benchmark", "item_id long, text string", [(1, "twice over. É ñ"), (2, None)])):
+        spark.createDataFrame(given, schema).write.parquet(f"{folder}/{name}.parquet")
+    given = edge.select("*", F.lit("x").alias("DOCID"), F.lit(1).alias("lang_pred"))
+    for docs in (given, given.limit(0)):
+        left = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = _spark.materialise(stage(spark, left, folder))
+            assert kept.columns == given.columns and kept.count() <= left.count()
+            own = collections.Counter(map(tuple, left.collect()))
+            assert all(own[r] >= n for r, n in collections.Counter(map(tuple, kept.collect())).items())
+            if name == "language_id" and docs is given:
+                assert not any(r["doc_id"] in (1, 2, 3) for r in kept.collect())
+            left = kept
+        out = corpus_pipeline.STAGES[-1][1](spark, left, folder)
+        assert out.count() == left.count()
+        # each stage also runs on the whole of the rows
+        for _, stage in corpus_pipeline.STAGES:
+            assert stage(spark, docs, folder).count() <= docs.count()
+    docs = given.select("doc_id", "text", "lang", "source")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
 def test_registered_queries_cover_all_operators():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
     assert json.dumps(sorted(oracles.ORACLE_SQL))
