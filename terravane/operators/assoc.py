@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.operators import ranks
-from terravane.storage import materialise
+from terravane.storage import fresh_path, materialise
 
 
 def shared_counts(seen: DataFrame, bank: DataFrame) -> DataFrame:
@@ -49,18 +49,26 @@ def merged_bank(bank: DataFrame | None, seen: DataFrame, labels: DataFrame) -> D
     return (new if bank is None else bank.unionByName(new)).distinct()
 
 
-def associate(seen: DataFrame, threshold: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """Labels (view, mask_id, label) of all views in order, and the final bank."""
-    seen = materialise(seen)  # each view reads it
+def associate_views(seen: DataFrame, bank: DataFrame | None, next_label: int, threshold: float = 0.1) -> tuple[DataFrame, DataFrame | None, int]:
+    """Labels (view, mask_id, label) of the views of ``seen`` in order, the bank after them, and the next label.
+
+    The labels of all views stand in one table that each view appends to.
+    """
+    spark, path = seen.sparkSession, fresh_path(seen.sparkSession, "labels")
+    schema = "view long, mask_id long, label long"
+    spark.createDataFrame([], schema).write.parquet(path)
     views = [r["view"] for r in seen.select("view").distinct().orderBy("view").collect()]  # one number for each view
-    bank, out, next_label = None, None, 0
     for view in views:
         own = seen.filter(F.col("view") == F.lit(view)).select("mask_id", "gid").withColumn("view", F.lit(view))
         labels = materialise(assign(own, bank, next_label, threshold))
+        labels.select(F.lit(view).cast("long").alias("view"), "mask_id", "label").write.mode("append").parquet(path)
         bank = materialise(merged_bank(bank, own, labels))
         top = labels.agg(F.max("label")).first()[0]
         next_label = max(next_label, (top if top is not None else -1) + 1)
-        rows = labels.select(F.lit(view).alias("view"), "mask_id", "label")
-        out = rows if out is None else out.unionByName(rows)
-    empty = seen.sparkSession.createDataFrame([], "view long, mask_id long, label long")
-    return out if out is not None else empty, bank if bank is not None else seen.sparkSession.createDataFrame([], "label long, gid long")
+    return spark.read.schema(schema).parquet(path), bank, next_label
+
+
+def associate(seen: DataFrame, threshold: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """Labels (view, mask_id, label) of all views in order, and the final bank."""
+    labels, bank, _ = associate_views(materialise(seen), None, 0, threshold)  # each view reads it
+    return labels, bank if bank is not None else seen.sparkSession.createDataFrame([], "label long, gid long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -52,28 +52,28 @@ def density_grid(voxels: DataFrame, splats: DataFrame, radius2: float) -> DataFr
     return sums.select(F.floor(F.col("aid") / (span * span)).cast("int").alias("ix"), (F.floor(F.col("aid") / span) % span).cast("int").alias("iy"), (F.col("aid") % span).cast("int").alias("iz"), "density")
 
 
-def plane_hypotheses(points: DataFrame, triples: int, seed: int = 5, key: str = "id") -> DataFrame:
-    """(hid, a, b, c, d): unit planes through three points each, chosen by a hash; c >= 0.
+def plane_hypotheses(points: DataFrame, triples: int, seed: int = 7, key: str = "id") -> DataFrame:
+    """(hid, a, b, c, d): unit planes through three points each; c >= 0.
 
-    Where the points are fewer than three a hypothesis, they are drawn again in
-    another order.  Degenerate triples are left out.
+    Points are drawn in a seeded order, three for each hypothesis; where they are
+    fewer, the points of the first draw are drawn again with the next seed, round
+    by round.  Degenerate triples are left out.
     """
-    n = points.count()
-    picked = ranks.sample(points, min(n, 3 * triples), key, seed)
-    rows = [(r["x"], r["y"], r["z"]) for r in picked.select("x", "y", "z", F.xxhash64(F.lit(seed), F.col(key)).alias("h"), key).orderBy("h", key).collect()]  # three points a hypothesis
-    out, once, rng = [], len(rows) // 3, random.Random(seed)
-    for hid in range(triples if once else 0):
-        if hid and hid % once == 0:
-            rng.shuffle(rows)
-        p, q, s = rows[3 * (hid % once) : 3 * (hid % once) + 3]
-        u, v = [b - a for a, b in zip(p, q, strict=True)], [b - a for a, b in zip(p, s, strict=True)]
-        normal = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
-        length = sum(x * x for x in normal) ** 0.5
-        if length < 1e-12:
-            continue
-        sign = -1.0 if normal[2] < 0 else 1.0
-        normal = [sign * x / length for x in normal]
-        out.append((hid, *normal, -sum(a * b for a, b in zip(normal, p, strict=True))))
+    picked = ranks.sample(points, 3 * triples, key, seed).select(F.col(key).cast("string").alias("k"), "x", "y", "z")
+    rows = [tuple(r) for r in picked.collect()]  # three points a hypothesis
+    out, once = [], len(rows) // 3
+    for turn in range(-(-triples // once) if once else 0):
+        order = sorted(rows, key=lambda r: (hashlib.md5(f"{seed + turn}:{r[0]}".encode()).hexdigest(), r[0]))
+        for j in range(min(once, triples - turn * once)):
+            p, q, s = (r[1:] for r in order[3 * j : 3 * j + 3])
+            u, v = [b - a for a, b in zip(p, q, strict=True)], [b - a for a, b in zip(p, s, strict=True)]
+            normal = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+            length = (normal[0] * normal[0] + normal[1] * normal[1] + normal[2] * normal[2]) ** 0.5
+            if length < 1e-12:
+                continue
+            sign = -1.0 if normal[2] < 0 else 1.0
+            a, b, c = (sign * x / length for x in normal)
+            out.append((turn * once + j, a, b, c, -(a * p[0] + b * p[1] + c * p[2])))
     return points.sparkSession.createDataFrame(out, "hid int, a double, b double, c double, d double")
 
 
@@ -164,7 +164,7 @@ def depth_normal_points(px: DataFrame, per_frame: int, edge_threshold: float, cr
 
 
 def _per_frame(df: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("view").orderBy(F.xxhash64("id"), "id"))
+    rank = F.row_number().over(Window.partitionBy("view").orderBy(ranks.drawn("id"), "id"))
     return df.withColumn("__r", rank).filter(F.col("__r") <= k).drop("__r")
 
 

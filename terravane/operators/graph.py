@@ -15,8 +15,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Rounds of large-star and small-star steps; the number of rounds grows with the
     logarithm of the graph, and each round's edges are written to shared storage.
     """
-    start = edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v")
-    now = materialise(start.filter("u <> v").distinct())
+    edges = materialise(edges.select("a", "b"))
+    now = materialise(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").filter("u <> v").distinct())
     mark = None
     while True:
         both = now.union(now.selectExpr("v", "u"))
@@ -27,8 +27,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = materialise(small.distinct())
         fresh = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if fresh == mark:
-            loops = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            return loops.join(now.selectExpr("u AS node", "v AS root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+            found = now.selectExpr("u AS node", "v AS root")
+            roots = found.select(F.col("root").alias("node")).distinct()
+            alone = edges.filter("a = b").select(F.col("a").alias("node")).distinct().join(found, "node", "left_anti").join(roots, "node", "left_anti")
+            return found.unionByName(roots.unionByName(alone).withColumn("root", F.col("node")))
         mark = fresh
 
 

@@ -68,7 +68,7 @@ def batch_iter(r: Relations) -> DataFrame:
     return ranks.batches(r("cloud").select("id"), 64, "id")
 
 
-@query()
+@query("SELECT id FROM {pts} ORDER BY md5('7:' || id), id LIMIT 100")
 def sample_random(r: Relations) -> DataFrame:
     return ranks.sample(r("pts").select("id"), 100)
 
@@ -324,7 +324,25 @@ def update_bank(r: Relations) -> DataFrame:
     return assoc.merged_bank(bank, seen, labels).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _unrolled(views: range) -> str:
+    """The association view by view: each view's labels and bank follow from those before it."""
+    front = f"SELECT DISTINCT view, mask_id, gid FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY depth, gid) AS k FROM ({_FRONT}) WINDOW w AS (PARTITION BY view, mask_id, py, px)) WHERE k <= greatest(floor(n * 0.5::DOUBLE), 1)"
+    parts, bank, top = [f"seen AS MATERIALIZED ({front})"], "SELECT 0::BIGINT AS label, 0::BIGINT AS gid WHERE false", "SELECT 0::BIGINT AS top"
+    for v in views:
+        parts.append(f"""b{v} AS MATERIALIZED ({bank}), t{v} AS MATERIALIZED ({top}), s{v} AS MATERIALIZED (SELECT mask_id, gid FROM seen WHERE view = {v}), n{v} AS (SELECT mask_id, count(*) AS n FROM s{v} GROUP BY mask_id),
+r{v} AS (SELECT mask_id, label, count(*) / (n + count(*) + 1e-8::DOUBLE) AS share FROM s{v} JOIN b{v} USING (gid) JOIN n{v} USING (mask_id) GROUP BY mask_id, label, n),
+k{v} AS (SELECT mask_id, label FROM (SELECT *, row_number() OVER (PARTITION BY mask_id ORDER BY share DESC, label) AS i FROM r{v}) WHERE i = 1 AND share >= 0.1::DOUBLE),
+l{v} AS MATERIALIZED (SELECT mask_id, label FROM k{v} UNION ALL SELECT mask_id, top + row_number() OVER (ORDER BY mask_id) - 1 FROM n{v}, t{v} WHERE mask_id NOT IN (SELECT mask_id FROM k{v}))""")
+        bank = f"SELECT label, gid FROM b{v} UNION SELECT label, gid FROM s{v} JOIN l{v} USING (mask_id)"
+        top = f"SELECT greatest(top, coalesce((SELECT max(label) + 1 FROM l{v}), 0)) AS top FROM t{v}"
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {v}::BIGINT AS view, mask_id, label FROM l{v}" for v in views)
+
+
+#: events and masks have the views 0 to 7
+ASSOCIATED = _unrolled(range(8))
+
+
+@query(ASSOCIATED)
 def associate(r: Relations) -> DataFrame:
     seen = masks.front_of_patches(seen_in_patches(r), 0.5).select("view", "mask_id", "gid")
     return assoc.associate(seen, 0.1)[0]

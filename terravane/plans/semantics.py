@@ -267,9 +267,18 @@ def floor_plane(r: Relations) -> DataFrame:
     return fusion.floor_plane(r("pts"), _fixed_planes(r), 0.02)
 
 
-@query()
+_PLANES = """SELECT turn * once + j AS hid, sgn * nx / len AS a, sgn * ny / len AS b, sgn * nz / len AS c, p, len FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS len, CASE WHEN nz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sgn FROM (
+SELECT turn, j, once, p, (q.y-p.y) * (s.z-p.z) - (q.z-p.z) * (s.y-p.y) AS nx, (q.z-p.z) * (s.x-p.x) - (q.x-p.x) * (s.z-p.z) AS ny, (q.x-p.x) * (s.y-p.y) - (q.y-p.y) * (s.x-p.x) AS nz FROM (
+SELECT turn, once, i // 3 AS j, max({'x': x, 'y': y, 'z': z}) FILTER (i % 3 = 0) AS p, max({'x': x, 'y': y, 'z': z}) FILTER (i % 3 = 1) AS q, max({'x': x, 'y': y, 'z': z}) FILTER (i % 3 = 2) AS s FROM (
+SELECT turn, n // 3 AS once, x, y, z, row_number() OVER (PARTITION BY turn ORDER BY md5((7 + turn) || ':' || id), id::VARCHAR) - 1 AS i FROM (SELECT *, count(*) OVER () AS n FROM (SELECT id, x, y, z FROM {pts} ORDER BY md5('7:' || id), id LIMIT 3000)), (SELECT unnest(range(0, 1000)) AS turn) WHERE turn * (n // 3) < 1000)
+WHERE i < 3 * once AND turn * once + i // 3 < 1000 GROUP BY ALL))) WHERE len >= 1e-12"""
+_FLOOR = f"SELECT a, b, c, d FROM (SELECT h.hid, a, b, c, d, count(*) AS n FROM (SELECT hid, a, b, c, -(a * p.x + b * p.y + c * p.z) AS d FROM ({_PLANES})) h, {{pts}} t WHERE abs(a * t.x + b * t.y + c * t.z + d) <= 0.02::DOUBLE GROUP BY ALL) ORDER BY n DESC, hid LIMIT 1"
+
+
+@query(f"""SELECT id, round((1 - a * a / (1 + c)) * x - a * b / (1 + c) * y - a * z, 6) + 0.0::DOUBLE AS x, round(-a * b / (1 + c) * x + (1 - b * b / (1 + c)) * y - b * z, 6) + 0.0::DOUBLE AS y, round(a * x + b * y + c * z + d, 6) + 0.0::DOUBLE AS z FROM {{pts}}, ({_FLOOR})""")
 def align_floor(r: Relations) -> DataFrame:
-    return rounded(fusion.align_floor(r("pts").select("id", "x", "y", "z"))[0], "x", "y", "z")
+    out = fusion.align_floor(r("pts").select("id", "x", "y", "z"))[0]
+    return out.select("id", *[(F.round(c, 6) + 0.0).alias(c) for c in "xyz"])
 
 
 # --- strategies

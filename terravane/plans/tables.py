@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane import fixtures
-from terravane.operators import assoc, masks
+from terravane.operators import masks
 from terravane.plans.registry import Relations, query, r9
-from terravane.plans.scene import seen_in_patches
+from terravane.plans.scene import ASSOCIATED, seen_in_patches
 from terravane.sources import config, io
 from terravane.storage import fresh_path
 from terravane.streaming import fold
@@ -197,15 +197,15 @@ def map_merge(r: Relations) -> DataFrame:
 # --- streams
 
 
-@query()
+@query(ASSOCIATED)
 def stateful_fold(r: Relations) -> DataFrame:
     """The association by a stream of files; equal to the loop over views."""
-    path, out = fresh_path(r.spark, "views"), fold.ViewFold(0.1)
+    path, out = fresh_path(r.spark, "views"), fold.ViewFold(r.spark, fresh_path(r.spark, "bank"), 0.1)
     seen = masks.front_of_patches(seen_in_patches(r), 0.5).select("view", "mask_id", "gid")
     seen.coalesce(1).write.parquet(path)
     stream = r.spark.readStream.schema(seen.schema).parquet(path)
     out.start(stream, fresh_path(r.spark, "fold")).awaitTermination()
-    return out.labels if out.labels is not None else assoc.associate(seen)[0]
+    return out.labels
 
 
 @query("""SELECT s AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM {events}) GROUP BY ALL""")

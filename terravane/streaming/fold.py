@@ -2,32 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from terravane.operators import assoc
+from terravane.sources import io
 from terravane.storage import materialise
 
+LABELS, BANK = "view long, mask_id long, label long", "label long, gid long"
+
 
 class ViewFold:
-    """State of the association between micro-batches; views arrive in order."""
+    """The association between micro-batches; views arrive in order.
+
+    The state lies in ``folder`` on shared storage, one part for each batch: its
+    labels, the bank after it, and last a mark with the next label.  A batch starts
+    from the part before it, so a batch that is run again, also by a new driver,
+    gives the same labels again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, threshold: float = 0.1):
+        self.spark, self.folder, self.threshold = spark, folder, threshold
+
+    def _part(self, batch: int, name: str) -> str:
+        return f"{self.folder}/{batch}/{name}"
 
-    def __init__(self, threshold: float = 0.1):
-        self.threshold, self.next_label = threshold, 0
-        self.bank: DataFrame | None = None
-        self.labels: DataFrame | None = None
+    def _before(self, batch: int) -> tuple[DataFrame | None, int]:
+        """Bank and next label after the last batch before this one."""
+        for earlier in range(batch - 1, -1, -1):
+            if io.exists(self.spark, self._part(earlier, "mark")):
+                mark = io.read_json(self.spark, self._part(earlier, "mark"))
+                return self.spark.read.schema(BANK).parquet(self._part(earlier, "bank")), mark["next_label"]
+        return None, 0
 
-    def add(self, seen: DataFrame, _batch: int = 0) -> None:
+    def add(self, seen: DataFrame, batch: int = 0) -> None:
         """Fold the views of one batch (view, mask_id, gid) into the bank."""
-        for view in [r["view"] for r in seen.select("view").distinct().orderBy("view").collect()]:
-            own = seen.filter(F.col("view") == F.lit(view)).select("mask_id", "gid").withColumn("view", F.lit(view))
-            labels = materialise(assoc.assign(own, self.bank, self.next_label, self.threshold))
-            self.bank = materialise(assoc.merged_bank(self.bank, own, labels))
-            top = labels.agg(F.max("label")).first()[0]
-            self.next_label = max(self.next_label, (top if top is not None else -1) + 1)
-            rows = labels.select(F.lit(view).alias("view"), "mask_id", "label")
-            self.labels = rows if self.labels is None else self.labels.unionByName(rows)
+        self.spark = seen.sparkSession
+        bank, next_label = self._before(batch)
+        labels, bank, next_label = assoc.associate_views(materialise(seen), bank, next_label, self.threshold)
+        labels.write.mode("overwrite").parquet(self._part(batch, "labels"))
+        (bank if bank is not None else self.spark.createDataFrame([], BANK)).write.mode("overwrite").parquet(self._part(batch, "bank"))
+        io.write_json(self.spark, self._part(batch, "mark"), {"next_label": next_label})
+
+    @property
+    def labels(self) -> DataFrame:
+        """(view, mask_id, label) of all batches so far."""
+        if not io.exists(self.spark, self.folder):
+            return self.spark.createDataFrame([], LABELS)
+        return self.spark.read.schema(LABELS).parquet(f"{self.folder}/*/labels")
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
