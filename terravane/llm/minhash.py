@@ -48,7 +48,7 @@ WORDS, MOST_BITS = 4, 48
 #: smallest places of a set that are compared in the rounds
 LOWEST = 256
 #: members of a bucket that lead its first round
-LEADERS = 64
+LEADERS = 256
 _BLOCK = 1 << 15
 
 
@@ -145,10 +145,10 @@ def _close(percent: int) -> Column:
     Small sets are compared in full.  Of larger ones, ``LOWEST`` places of the
     larger set stand for all; the limit is then that of a similarity lower by 20.
     """
-    large = F.greatest("size_a", "size_b")
+    large = F.greatest("a.size", "b.size")
     limit = F.when(large > LOWEST, F.lit(percent - 20)).otherwise(F.lit(percent))
-    common = F.size(F.array_intersect("low_a", "low_b"))
-    return common * (100 + limit) * large >= limit * (F.col("size_a") + F.col("size_b")) * F.least(large, F.lit(LOWEST))
+    common = F.size(F.array_intersect("a.low", "b.low"))
+    return common * (100 + limit) * large >= limit * (F.col("a.size") + F.col("b.size")) * F.least(large, F.lit(LOWEST))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -177,8 +177,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (smallest node reachable) from edges (a, b)."""
-    return linked(edges)
+    """``node`` and ``root`` (smallest node reachable) from edges (a, b), for all nodes but the roots."""
+    return linked(edges).filter("node <> root")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -231,29 +231,30 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     labels = connected_components(confirmed(first, texts, width, percent))
 
     # rounds of more leaders for buckets with members in different components
-    leading, active, lows = LEADERS, members, None
+    leading, active, wide = LEADERS, members, None
     while True:
         active = active.join(labels, active["rep"] == labels["node"], "left").select("key", "rep", *columns, F.coalesce("root", "rep").alias("root"))
         mixed = active.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
         active = _spark.materialise(active.join(mixed, "key"))
         if not active.limit(1).count():
             break
-        if lows is None:
+        if wide is None:
             few = texts.join(_spark.if_few(active.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-            lows = _spark.materialise(lowest(few, width).join(reps.select("rep", "size"), "rep"))
+            wide = _spark.materialise(lowest(few, width).join(reps.select("rep", "bands"), "rep"))
         order = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(leading)), "rep")
-        placed = _spark.materialise(active.withColumn("place", F.row_number().over(order)))
+        active = _spark.materialise(active.withColumn("place", F.row_number().over(order)))
+        placed = active.join(wide, "rep")
         a, b = placed.alias("a"), placed.filter(F.col("place") <= leading).alias("b")
-        # two leaders meet once
-        apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.place") > F.col("b.place")) & likely("a", "b")
+        # two leaders meet once, and of the buckets that a pair shares, a hash of the pair chooses one
+        mask = F.xxhash64(F.least("a.rep", "b.rep"), F.greatest("a.rep", "b.rep"))
+        here = F.array_min(F.transform(F.array_intersect("a.bands", "b.bands"), lambda k, mask=mask: k.bitwiseXOR(mask))) == F.col("a.key").bitwiseXOR(mask)
+        apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.place") > F.col("b.place")) & likely("a", "b") & here & _close(percent)
         found = a.join(b, apart).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
         found = found.join(first, ["a", "b"], "left_anti")
-        for side in "ab":
-            found = found.join(lows.select(F.col("rep").alias(side), F.col("size").alias(f"size_{side}"), F.col("low").alias(f"low_{side}")), side)
-        fresh = _spark.materialise(confirmed(found.filter(_close(percent)).select("a", "b"), texts, width, percent))
+        fresh = _spark.materialise(confirmed(found, texts, width, percent))
         if fresh.limit(1).count():
             labels = _spark.materialise(_merged(labels, fresh))
-        active = placed.filter(F.col("place") > leading).drop("place", "root")
+        active = active.filter(F.col("place") > leading).drop("place", "root")
         leading *= 4
     rooted = reps.select("fp1", "fp2", "n_shingles", "rep").join(labels, reps["rep"] == labels["node"], "left").select("fp1", "fp2", "n_shingles", F.coalesce("root", "rep").alias("root"))
     placed = sketches.select("doc_id", "n_shingles", "fp1", "fp2").join(rooted, ["fp1", "fp2", "n_shingles"], "left")

@@ -348,8 +348,8 @@ def test_near_duplicates_equal_brute_force(spark, width):
     want = {i: (len(sets[i]), c, c == i) for i, c in components(sets).items()}
     df = spark.createDataFrame(given, "doc_id long, text string")
     _spark.ship(spark)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, width).collect()}
-    assert got == want
+    rows = minhash.near_duplicates(df, width).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows} == want and len(rows) == len(given)
 
 
 def test_near_duplicate_edge_cases(edge):
@@ -394,7 +394,8 @@ def test_large_sets_close_to_the_limit_equal_brute_force(spark, monkeypatch, lea
     want = components(sets_of(given, 2))
     df = spark.createDataFrame(given, "doc_id long, text string")
     _spark.ship(spark)
-    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 2).collect()} == want
+    got = minhash.near_duplicates(df, 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(got) == len(given)
 
 
 def test_crowded_buckets_equal_brute_force(spark, monkeypatch):
@@ -409,7 +410,8 @@ def test_crowded_buckets_equal_brute_force(spark, monkeypatch):
     sets = sets_of(given, 2)
     df = spark.createDataFrame(given, "doc_id long, text string")
     _spark.ship(spark)
-    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 2).collect()} == components(sets)
+    got = minhash.near_duplicates(df, 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == components(sets) and len(got) == len(given)
 
 
 def test_rows_that_share_an_id(spark):
