@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravane.operators import pointcloud
+
 TEMPERATURE = 0.05
 METHODS = ("standard", "pairwise")
 DEFAULT_NEGATIVES = ("object",)
@@ -125,6 +127,10 @@ def pca_rgb(df: DataFrame, feature: str = "f", keys: Sequence[str] = ("id",)) ->
     axes = np.linalg.eigh(cov)[1][:, ::-1][:, :3]
     axes = axes * np.where(axes[np.abs(axes).argmax(0), range(3)] < 0, -1, 1)
     out = df.select(*keys, *[_raw(F.col(feature), axes[:, k]).alias(f"p{k}") for k in range(3)])
-    ends = out.agg(*[F.percentile(f"p{k}", F.lit(q)).alias(f"q{k}_{t}") for k in range(3) for t, q in (("lo", 0.01), ("hi", 0.99))])
+    marks = [(k, t, q) for k in range(3) for t, q in (("lo", 0.01), ("hi", 0.99))]
+    if n <= pointcloud.EXACT_ROWS:
+        ends = out.agg(*[F.percentile(f"p{k}", F.lit(q)).alias(f"q{k}_{t}") for k, t, q in marks])
+    else:
+        ends = out.sparkSession.createDataFrame([tuple(pointcloud.quantile(out, f"p{k}", q).first()[0] for k, _, q in marks)], ", ".join(f"q{k}_{t} double" for k, t, _ in marks))
     scaled = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(f"p{k}") - F.col(f"q{k}_lo")) / F.nullif(F.col(f"q{k}_hi") - F.col(f"q{k}_lo"), F.lit(0.0)))).alias(c) for k, c in enumerate(("red", "green", "blue"))]
     return out.crossJoin(F.broadcast(ends)).select(*keys, *scaled)  # one row

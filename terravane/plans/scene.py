@@ -98,10 +98,13 @@ def edge_valid(r: Relations) -> DataFrame:
 _CAMSPACE = "WITH c AS (SELECT view, y, x, (x + 0.5 - 16) * depth / 32 AS px, (y + 0.5 - 12) * depth / 32 AS py, depth AS pz FROM {depth_px})"
 
 
-@query(f"""{_CAMSPACE}, n AS (SELECT m.view, m.y, m.x, (ay*bz - az*by_) AS cx, (az*bx - ax*bz) AS cy, (ax*by_ - ay*bx) AS cz FROM c m LEFT JOIN (
+_NORMALS = f"""{_CAMSPACE}, n AS (SELECT m.view, m.y, m.x, (ay*bz - az*by_) AS cx, (az*bx - ax*bz) AS cy, (ax*by_ - ay*bx) AS cz FROM c m LEFT JOIN (
 SELECT p.view, p.y + 1 AS y, p.x, q.px - p.px AS ax, q.py - p.py AS ay, q.pz - p.pz AS az FROM c p JOIN c q ON q.view = p.view AND q.x = p.x AND q.y = p.y + 2) USING (view, y, x) LEFT JOIN (
 SELECT p.view, p.y, p.x + 1 AS x, q.px - p.px AS bx, q.py - p.py AS by_, q.pz - p.pz AS bz FROM c p JOIN c q ON q.view = p.view AND q.y = p.y AND q.x = p.x + 2) USING (view, y, x))
-SELECT view, y, x, round(coalesce(cx / nullif(sqrt(cx*cx+cy*cy+cz*cz), 0), 0), 9) + 0.0::DOUBLE AS nx, round(coalesce(cy / nullif(sqrt(cx*cx+cy*cy+cz*cz), 0), 0), 9) + 0.0::DOUBLE AS ny, round(coalesce(cz / nullif(sqrt(cx*cx+cy*cy+cz*cz), 0), 0), 9) + 0.0::DOUBLE AS nz FROM n""")
+SELECT view, y, x, round(coalesce(cx / nullif(sqrt(cx*cx+cy*cy+cz*cz), 0), 0), 9) + 0.0::DOUBLE AS nx, round(coalesce(cy / nullif(sqrt(cx*cx+cy*cy+cz*cz), 0), 0), 9) + 0.0::DOUBLE AS ny, round(coalesce(cz / nullif(sqrt(cx*cx+cy*cy+cz*cz), 0), 0), 9) + 0.0::DOUBLE AS nz FROM n"""
+
+
+@query(_NORMALS)
 def depth_to_normal(r: Relations) -> DataFrame:
     return rounded(images.depth_normals(depth_with_camera(r)), "nx", "ny", "nz")
 
@@ -290,6 +293,28 @@ def hole_fill(r: Relations) -> DataFrame:
     return graph.fill_holes(r("torus_faces"), r("torus_vertices"), 9.0)[0]
 
 
+_RINGS = f"""{_LOOPS}, cen AS (SELECT root, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM roots JOIN {{torus_vertices}} ON vid = node GROUP BY root),
+spoke AS (SELECT root, node, x, y, z, mx, my, mz FROM roots JOIN {{torus_vertices}} ON vid = node JOIN cen USING (root)), edge AS (SELECT root, a, b, length FROM ({_RIM}) JOIN roots ON node = a), loops AS (SELECT root, count(*) AS n FROM edge GROUP BY root HAVING sum(length) < 9),
+ring AS (SELECT root, greatest(1, least(ceil(max(sqrt((x-mx)**2 + (y-my)**2 + (z-mz)**2)) / 0.3001::DOUBLE), any_value(40 // n) + 1))::INTEGER AS rings FROM spoke JOIN loops USING (root) GROUP BY root)"""
+
+
+def _split(r: Relations) -> tuple[DataFrame, DataFrame]:
+    return graph.fill_holes(r("torus_faces"), r("torus_vertices"), 9.0, 0.3001, 40)
+
+
+@query(f"""{_RINGS} SELECT vid, round(x, 9) + 0.0::DOUBLE AS x, round(y, 9) + 0.0::DOUBLE AS y, round(z, 9) + 0.0::DOUBLE AS z FROM {{torus_vertices}} UNION ALL SELECT 400 + root, round(mx, 9) + 0.0::DOUBLE, round(my, 9) + 0.0::DOUBLE, round(mz, 9) + 0.0::DOUBLE FROM cen JOIN ring USING (root)
+UNION ALL SELECT 400 * (k + 1) + node, round(x + (mx - x) * k / rings, 9) + 0.0::DOUBLE, round(y + (my - y) * k / rings, 9) + 0.0::DOUBLE, round(z + (mz - z) * k / rings, 9) + 0.0::DOUBLE FROM spoke JOIN ring USING (root), (SELECT unnest(range(1, 60)) AS k) WHERE k < rings""")
+def hole_fill_split(r: Relations) -> DataFrame:
+    """Vertices of holes that are filled by rings."""
+    return rounded(_split(r)[1], "x", "y", "z")
+
+
+@query(f"""{_RINGS}, st AS (SELECT edge.root, a, b, k, rings, 400 + edge.root AS mid, CASE WHEN k = 0 THEN a ELSE 400 * (k + 1) + a END AS a0, CASE WHEN k = 0 THEN b ELSE 400 * (k + 1) + b END AS b0, 400 * (k + 2) + a AS a1, 400 * (k + 2) + b AS b1 FROM edge JOIN ring USING (root), (SELECT unnest(range(0, 60)) AS k) WHERE k < rings)
+SELECT a, b, c FROM {{torus_faces}} UNION ALL SELECT a0, b0, mid FROM st WHERE k = rings - 1 UNION ALL SELECT a0, b0, a1 FROM st WHERE k < rings - 1 UNION ALL SELECT b0, b1, a1 FROM st WHERE k < rings - 1""")
+def hole_fill_split_faces(r: Relations) -> DataFrame:
+    return _split(r)[0]
+
+
 @query(f"{_LOOPS} SELECT vid, round(x, 9) + 0.0::DOUBLE AS x, round(y, 9) + 0.0::DOUBLE AS y, round(z, 9) + 0.0::DOUBLE AS z FROM {{torus_vertices}} UNION ALL SELECT 400 + root, round(avg(x), 9) + 0.0::DOUBLE, round(avg(y), 9) + 0.0::DOUBLE, round(avg(z), 9) + 0.0::DOUBLE FROM roots JOIN {{torus_vertices}} ON vid = node GROUP BY root")
 def clean_repair(r: Relations) -> DataFrame:
     faces, vertices = graph.clean_repair(r("torus_faces").select("a", "b", "c"), r("torus_vertices"), 9.0)

@@ -10,7 +10,7 @@ from terravane.functions import geometry
 from terravane.operators import fusion, images, score, spatial, surface
 from terravane.plans.geometry import _BACK, depth_with_camera
 from terravane.plans.registry import Relations, query, rounded
-from terravane.plans.scene import _INV, _LAP
+from terravane.plans.scene import _INV, _LAP, _NORMALS
 from terravane.storage import materialise
 
 # --- scoring: label means as queries; label 0 positive, 1 to 3 negative
@@ -303,7 +303,9 @@ def depth_normal_poisson(r: Relations) -> DataFrame:
     return fusion.depth_normal_points(px, 0, 0.0201).select("id")
 
 
-@query()
+@query(f"""{_INV}, l AS ({_LAP}), w AS ({_BACK}), k AS (SELECT w.view, w.y AS py, w.x AS px, (w.view * 100000 + w.y) * 100000 + w.x AS id, wx AS x, wy AS y, wz AS z FROM w JOIN l USING (view, y, x) WHERE lap < 0.0201::DOUBLE AND depth > 0),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY view ORDER BY md5('7:' || id), id) AS place FROM k) WHERE place <= 201), o AS ({_OUTLIER})
+SELECT c.id, round(c.x, 9) + 0.0::DOUBLE AS x, round(c.y, 9) + 0.0::DOUBLE AS y, round(c.z, 9) + 0.0::DOUBLE AS z, nx, ny, nz FROM o JOIN c USING (id) JOIN ({_NORMALS}) n ON n.view = c.view AND n.y = c.py AND n.x = c.px, (SELECT avg(mean) + 2 * stddev_samp(mean) AS lim FROM o) WHERE mean > 0 AND mean < lim""")
 def depth_normal_samples(r: Relations) -> DataFrame:
     px = depth_with_camera(r).drop("u", "v", "n")
     out = fusion.depth_normal_points(px, fusion.samples_per_frame(1400, 7), 0.0201)

@@ -100,6 +100,21 @@ def test_decoder_equals_numpy(spark):
     assert np.allclose(got, np.maximum(x @ hidden[0] + hidden[1], 0) @ head[0] + head[1])
 
 
+@pytest.mark.parametrize("exact", [5_000_000, 20])
+def test_pca_equals_numpy(spark, monkeypatch, exact):
+    monkeypatch.setattr(pointcloud, "EXACT_ROWS", exact)
+    df = Relations(spark, SF)("pts").select("id", "f")
+    rows = df.orderBy("id").collect()
+    x = np.array([r["f"] for r in rows])
+    axes = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:3].T
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), range(3)] < 0, -1, 1)
+    p = x @ axes
+    lo, hi = np.quantile(p, 0.01, axis=0), np.quantile(p, 0.99, axis=0)
+    want = np.clip((p - lo) / (hi - lo), 0, 1)
+    got = {r["id"]: (r["red"], r["green"], r["blue"]) for r in score.pca_rgb(df).collect()}
+    assert np.allclose([got[r["id"]] for r in rows], want, atol=1e-6)
+
+
 def test_pca_is_in_range(spark):
     out = score.pca_rgb(Relations(spark, SF)("pts").select("id", "f"))
     lo, hi = out.agg(F.min(F.least("red", "green", "blue")), F.max(F.greatest("red", "green", "blue"))).first()
@@ -311,3 +326,17 @@ def test_configuration():
         config.EXTRACTORS.get("none")
     with pytest.raises(ValueError):
         config.select_run([])
+
+
+def test_fold_goes_on_after_a_restart(spark, tmp_path):
+    """Each batch by a new object, one of them twice: the same labels as in one loop."""
+    from terravane.streaming import fold
+
+    seen = masks.front_of_patches(seen_in_patches(Relations(spark, SF)), 0.5).select("view", "mask_id", "gid").filter("view < 4")
+    want = {(r["view"], r["mask_id"]): r["label"] for r in assoc.associate(seen)[0].collect()}
+    folder = f"file://{tmp_path}/bank"
+    assert fold.ViewFold(spark, folder).labels.count() == 0
+    for batch in (0, 1, 1, 2, 3, 2, 3):
+        fold.ViewFold(spark, folder).add(seen.filter(F.col("view") == batch), batch)
+    rows = fold.ViewFold(spark, folder).labels.collect()
+    assert {(r["view"], r["mask_id"]): r["label"] for r in rows} == want and len(rows) == len(want)
