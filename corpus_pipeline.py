@@ -4,8 +4,13 @@ Stages, in order: documents that the quality classifier predicts to be bad go;
 documents without a language go; of each group of near copies (5-word shingles,
 similarity 0.8) the one with the smallest id stays; documents that hold a
 benchmark item go; what is left is encoded.  All stages but the last return the
-columns of ``documents``.  A row whose id or text is null is treated as each
-operator states; rows are never dropped for any other reason.
+columns of ``documents``, further ones included, whatever their names.
+
+A null text is classified like an empty one and has no language; a row with a null
+id is judged by its text, is near to nothing and stays.  Repeated rows share their
+fate, except that one row of each id stays after the near copies.  Texts of any
+length are read whole; equal scores and ties are resolved as each operator states.
+An empty table goes through all stages empty.  Rows are dropped for no other reason.
 """
 
 from __future__ import annotations
