@@ -48,7 +48,7 @@ WORDS, MOST_BITS = 4, 48
 #: smallest places of a set that are compared in the rounds
 LOWEST = 256
 #: members of a bucket that lead its first round
-LEADERS = 256
+LEADERS = 1024
 _BLOCK = 1 << 15
 
 
