@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terravane.operators import pointcloud, spatial
@@ -24,8 +24,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").selectExpr("v AS u", "m AS v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").selectExpr("v AS u", "m AS v").union(low.selectExpr("u", "m AS v"))
-        now = materialise(small.distinct())
-        fresh = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        # what the round wrote is counted while it is written
+        seen = Observation()
+        now = materialise(small.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")))
+        fresh = seen.get
         if fresh == mark:
             found = now.selectExpr("u AS node", "v AS root")
             roots = found.select(F.col("root").alias("node")).distinct()

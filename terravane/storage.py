@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +25,9 @@ def materialise(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` as it is materialised, and its rows, counted while they are written."""
+    seen = Observation()
+    return materialise(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
