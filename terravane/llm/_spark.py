@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.storage import fresh_path, materialise, shared_dir
+from terravane.storage import counted, fresh_path, materialise, shared_dir
 
-__all__ = ["add_up", "fresh_path", "held_out", "if_few", "materialise", "shared_dir", "ship", "table", "unused"]
+__all__ = ["add_up", "counted", "fresh_path", "held_out", "if_few", "materialise", "shared_dir", "ship", "table", "unused"]
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -51,12 +51,12 @@ def ship(spark: SparkSession) -> None:
 BROADCAST_IDS = 1 << 21
 
 
-def if_few(ids: DataFrame) -> DataFrame:
-    """Stored ``ids`` with a broadcast hint if they are counted to be few.
+def if_few(ids: DataFrame, n: int | None = None) -> DataFrame:
+    """Stored ``ids`` with a broadcast hint if they are counted (``n``) to be few.
 
     Texts that are joined with them then stay where they are.
     """
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if (ids.count() if n is None else n) <= BROADCAST_IDS else ids
 
 
 #: vectors added up by one task

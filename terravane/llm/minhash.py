@@ -210,8 +210,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = _spark.materialise(keyed.join(buckets, "key").join(reps.select("rep", *columns), "rep"))
-    wanted = _spark.materialise(members.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.join(_spark.if_few(wanted), "doc_id", "left_semi")
+    wanted = _spark.counted(members.select(F.col("rep").alias("doc_id")).distinct())
+    texts = docs.join(_spark.if_few(*wanted), "doc_id", "left_semi")
     if named.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = _spark.materialise(texts)
@@ -235,11 +235,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     while True:
         active = active.join(labels, active["rep"] == labels["node"], "left").select("key", "rep", *columns, F.coalesce("root", "rep").alias("root"))
         mixed = active.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        active = _spark.materialise(active.join(mixed, "key"))
-        if not active.limit(1).count():
+        active, n = _spark.counted(active.join(mixed, "key"))
+        if not n:
             break
         if wide is None:
-            few = texts.join(_spark.if_few(active.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+            few = texts.join(_spark.if_few(active.select(F.col("rep").alias("doc_id")).distinct(), n), "doc_id", "left_semi")
             wide = _spark.materialise(lowest(few, width).join(reps.select("rep", "bands"), "rep"))
         order = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(leading)), "rep")
         active = _spark.materialise(active.withColumn("place", F.row_number().over(order)))
@@ -251,8 +251,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.place") > F.col("b.place")) & likely("a", "b") & here & _close(percent)
         found = a.join(b, apart).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
         found = found.join(first, ["a", "b"], "left_anti")
-        fresh = _spark.materialise(confirmed(found, texts, width, percent))
-        if fresh.limit(1).count():
+        fresh, n = _spark.counted(confirmed(found, texts, width, percent))
+        if n:
             labels = _spark.materialise(_merged(labels, fresh))
         active = active.filter(F.col("place") > leading).drop("place", "root")
         leading *= 4
@@ -270,8 +270,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
     """
     found = _spark.materialise(near_duplicates(docs, width, percent, id_col, text_col))
     gone, place = _spark.unused(docs, "__gone"), _spark.unused(docs, "__place")
-    dropped = _spark.materialise(found.filter("not kept").select(F.col("doc_id").alias(gone)).distinct())
-    left = docs.join(_spark.if_few(dropped), F.col(id_col).cast("long") == F.col(gone), "left_anti")
+    dropped = _spark.counted(found.filter("not kept").select(F.col("doc_id").alias(gone)).distinct())
+    left = docs.join(_spark.if_few(*dropped), F.col(id_col).cast("long") == F.col(gone), "left_anti")
     repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if repeated:
         keyed = left.filter(F.col(id_col).isNotNull())
