@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravane.functions import geometry as g
-from terravane.operators import assoc, filters, fusion, graph, images, masks, pointcloud, ranks, score, spatial
+from terravane.operators import assoc, filters, fusion, graph, images, masks, pointcloud, ranks, score, spatial, surface
 from terravane.plans.all_queries import QUERIES
 from terravane.plans.registry import Relations
 from terravane.plans.scene import seen_in_patches
@@ -290,8 +290,8 @@ def test_floor_query_searches_with_the_operator_default(spark, monkeypatch):
 
 
 def test_grid_cells_of_a_single_sample(spark):
-    d = spark.createDataFrame([((5 * 4096 + 5) * 4096 + 5, 1.0)], "id long, density double")
-    assert fusion.surface_cells(d, 0.5).count() == 8
+    d = spark.createDataFrame([(5, 5, 5, 1.0)], "ix int, iy int, iz int, value double")
+    assert surface.cut_cells(d, 0.5, 0.0).count() == 8 and surface.cut_cells(d, 0.5, 0.0, 6).count() == 1 and surface.cut_cells(d, 0.5).count() == 0
     with pytest.raises(ValueError):
         fusion.strategy("none")
 
