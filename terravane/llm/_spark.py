@@ -29,8 +29,10 @@ BATCH_BYTES = 4 << 20
 def ship(spark: SparkSession) -> None:
     """Give the package's code to the executors, once for each application.
 
-    Also bounds the session's Arrow batches by bytes: texts have very unequal sizes.
+    Also bounds the session's Arrow batches by bytes: texts have very unequal sizes;
+    and lets the first rows of each group be chosen before they are shuffled.
     """
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", 1 << 20)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:

@@ -241,20 +241,22 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         if wide is None:
             few = texts.join(_spark.if_few(active.select(F.col("rep").alias("doc_id")).distinct(), n), "doc_id", "left_semi")
             wide = _spark.materialise(lowest(few, width).join(reps.select("rep", "bands"), "rep"))
+        # only the leaders of a bucket meet in one task
         order = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(leading)), "rep")
-        active = _spark.materialise(active.withColumn("place", F.row_number().over(order)))
+        lead = _spark.materialise(active.select("key", "rep").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leading))
+        active = active.join(lead, ["key", "rep"], "left")
         placed = active.join(wide, "rep")
-        a, b = placed.alias("a"), placed.filter(F.col("place") <= leading).alias("b")
+        a, b = placed.alias("a"), placed.filter("place is not null").alias("b")
         # two leaders meet once, and of the buckets that a pair shares, a hash of the pair chooses one
         mask = F.xxhash64(F.least("a.rep", "b.rep"), F.greatest("a.rep", "b.rep"))
         here = F.array_min(F.transform(F.array_intersect("a.bands", "b.bands"), lambda k, mask=mask: k.bitwiseXOR(mask))) == F.col("a.key").bitwiseXOR(mask)
-        apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.place") > F.col("b.place")) & likely("a", "b") & here & _close(percent)
+        apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.place").isNull() | (F.col("a.place") > F.col("b.place"))) & likely("a", "b") & here & _close(percent)
         found = a.join(b, apart).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
         found = found.join(first, ["a", "b"], "left_anti")
         fresh, n = _spark.counted(confirmed(found, texts, width, percent))
         if n:
             labels = _spark.materialise(_merged(labels, fresh))
-        active = active.filter(F.col("place") > leading).drop("place", "root")
+        active = active.filter("place is null").drop("place", "root")
         leading *= 4
     rooted = reps.select("fp1", "fp2", "n_shingles", "rep").join(labels, reps["rep"] == labels["node"], "left").select("fp1", "fp2", "n_shingles", F.coalesce("root", "rep").alias("root"))
     placed = sketches.select("doc_id", "n_shingles", "fp1", "fp2").join(rooted, ["fp1", "fp2", "n_shingles"], "left")
