@@ -36,8 +36,8 @@ def fisher_yates(n: int, *seed: int) -> np.ndarray:
     return order
 
 
-#: equal rows that may meet in a bucket, and buckets that a task shuffles one after the other
-MOST_COPIES, BUCKETS_PER_TASK, MOST_TASKS = 1000, 4, 50_000
+#: equal rows that may meet in a bucket, and tasks (beyond which a task shuffles several buckets, one after the other)
+MOST_COPIES, MOST_TASKS = 1000, 50_000
 
 
 def scatter(df: DataFrame, bucket_bytes: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -66,8 +66,8 @@ def scatter(df: DataFrame, bucket_bytes: int, seed: int, id_col: str, text_col:
     places = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     if n_buckets <= 100_000:  # 16 bytes a bucket; beyond that the join is left to the planner
         places = F.broadcast(places)
-    tasks = min(MOST_TASKS, -(-n_buckets // BUCKETS_PER_TASK))
-    return keyed.join(places, "bucket").repartition(tasks, "bucket"), n
+    # the one shuffle of texts; places and groups follow its partitioning
+    return keyed.repartition(min(MOST_TASKS, n_buckets), "bucket").join(places, "bucket"), n
 
 
 def shard_documents(df: DataFrame, n_shards: int = 24, seed: int = 20240, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
