@@ -48,7 +48,7 @@ WORDS, MOST_BITS = 4, 48
 #: smallest places of a set that are compared in the rounds
 LOWEST = 256
 #: members of a bucket that lead its first round
-LEADERS = 1024
+LEADERS = 8192
 _BLOCK = 1 << 15
 
 
@@ -243,7 +243,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
             wide = _spark.materialise(lowest(few, width).join(reps.select("rep", "bands"), "rep"))
         # only the leaders of a bucket meet in one task
         order = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(leading)), "rep")
-        lead = _spark.materialise(active.select("key", "rep").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leading))
+        lead, led = _spark.counted(active.select("key", "rep").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leading))
         active = active.join(lead, ["key", "rep"], "left")
         placed = active.join(wide, "rep")
         a, b = placed.alias("a"), placed.filter("place is not null").alias("b")
@@ -253,9 +253,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.place").isNull() | (F.col("a.place") > F.col("b.place"))) & likely("a", "b") & here & _close(percent)
         found = a.join(b, apart).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
         found = found.join(first, ["a", "b"], "left_anti")
-        fresh, n = _spark.counted(confirmed(found, texts, width, percent))
-        if n:
+        fresh, links = _spark.counted(confirmed(found, texts, width, percent))
+        if links:
             labels = _spark.materialise(_merged(labels, fresh))
+        if led == n:
+            break  # all members have led
         active = active.filter("place is null").drop("place", "root")
         leading *= 4
     rooted = reps.select("fp1", "fp2", "n_shingles", "rep").join(labels, reps["rep"] == labels["node"], "left").select("fp1", "fp2", "n_shingles", F.coalesce("root", "rep").alias("root"))
