@@ -34,6 +34,9 @@ from terravane.llm import _spark, _text
 
 SAMPLE_DOCS, SAMPLE_BYTES, STRETCH, SHARPNESS = 48, 16_000, 192, 8
 
+#: bytes of text that a worker parses at a time; the parse takes some 30 bytes for each
+SLICE = 1 << 20
+
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -128,7 +131,7 @@ class Parser:
         for k, root in enumerate(self.roots):
             starts, state = self._stretches(root, begin, stop, symbol)
             self._join(root, begin, stop, np.flatnonzero(part), symbol, starts, state)
-            total = np.zeros(len(data) + 1, np.int64)
+            total = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
             np.cumsum(starts, out=total[1:])
             out[k] = total[offsets[1:]] - total[offsets[:-1]]
         return out
@@ -256,7 +259,7 @@ def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _text.slices(batch, "text"):
+            for part in _text.slices(batch, "text", SLICE):
                 lang, score = identify(part.column(1), samples)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -270,7 +273,7 @@ def keep_identified(docs: DataFrame, text_col: str = "text", **columns: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _text.slices(batch, text_col):
+            for part in _text.slices(batch, text_col, SLICE):
                 lang, _ = identify(part.column(part.schema.get_field_index(text_col)), samples)
                 yield part.filter(pa.array([x != "und" for x in lang], pa.bool_()))
 
