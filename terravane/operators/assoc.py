@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravane.operators import ranks
+from terravane.operators import ranks, shapes
 from terravane.storage import fresh_path, materialise
 
 
@@ -24,13 +24,23 @@ def shared_counts(seen: DataFrame, bank: DataFrame) -> DataFrame:
 
 def best_labels(seen: DataFrame, bank: DataFrame, threshold: float = 0.1) -> DataFrame:
     """(mask_id, label): the label with the largest share, the smallest of equals; null below the threshold."""
-    counts = shared_counts(seen, bank)
     size = seen.select("mask_id", "gid").distinct().groupBy("mask_id").agg(F.count(F.lit(1)).alias("n"))
+    return rated(shared_counts(seen, bank), size, threshold)
+
+
+def rated(counts: DataFrame, size: DataFrame, threshold: float, by: str = "mask_id") -> DataFrame:
+    """(by, label) of one view from ``counts`` (by, label, shared) and ``size`` (by, n), as :func:`best_labels` says."""
     share = F.col("shared") / (F.col("n") + F.col("shared") + 1e-8)
-    rated = counts.join(size, "mask_id").withColumn("share", share)
-    first = F.row_number().over(Window.partitionBy("mask_id").orderBy(F.desc("share"), "label"))
-    best = rated.withColumn("r", first).filter("r = 1").filter(F.col("share") >= F.lit(float(threshold))).select("mask_id", "label")
-    return size.select("mask_id").join(best, "mask_id", "left")
+    all_shares = counts.select(by, "label", "shared").join(size.select(by, "n"), by).withColumn("share", share)
+    first = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("share"), "label"))
+    best = all_shares.withColumn("r", first).filter("r = 1").filter(F.col("share") >= F.lit(float(threshold))).select(by, "label")
+    return size.select(by).join(best, by, "left")
+
+
+def best_labels_of_shapes(points: DataFrame, members: DataFrame, px: DataFrame, bank: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """:func:`best_labels` of one view: rated once for each shape, then given to its masks."""
+    best = rated(shapes.shared_counts(points, px, bank), shapes.sizes(points, px), threshold, "shape")
+    return members.join(best, "shape").select("mask_id", "label")
 
 
 def assign(seen: DataFrame, bank: DataFrame | None, next_label: int, threshold: float = 0.1) -> DataFrame:
