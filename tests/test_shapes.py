@@ -9,6 +9,7 @@ from terravane.plans.all_queries import ORACLES, QUERIES
 #: query -> most rows that a step may have on 20 copies of the tables
 STEPS = {
     "argmax_label": 40_000,
+    "intersection_card": 40000,
 }
 
 
