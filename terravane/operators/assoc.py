@@ -49,6 +49,11 @@ def assign(seen: DataFrame, bank: DataFrame | None, next_label: int, threshold:
         found = seen.select("mask_id").distinct().withColumn("label", F.lit(None).cast("long"))
     else:
         found = best_labels(seen, bank, threshold)
+    return with_fresh(found, next_label)
+
+
+def with_fresh(found: DataFrame, next_label: int) -> DataFrame:
+    """New labels for the masks of (mask_id, label) that have none."""
     fresh = ranks.numbered(found.filter("label IS NULL").select("mask_id"), "mask_id", "__n")
     fresh = fresh.select("mask_id", (F.col("__n") + F.lit(next_label)).alias("label"))
     return found.filter("label IS NOT NULL").select("mask_id", F.col("label").cast("long").alias("label")).unionByName(fresh)

@@ -10,6 +10,7 @@ from terravane.plans.all_queries import ORACLES, QUERIES
 STEPS = {
     "argmax_label": 40_000,
     "intersection_card": 40000,
+    "assign_labels": 40000,
 }
 
 
