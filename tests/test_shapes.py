@@ -11,6 +11,7 @@ STEPS = {
     "argmax_label": 40_000,
     "intersection_card": 40000,
     "assign_labels": 40000,
+    "bank_match": 200000,
 }
 
 
