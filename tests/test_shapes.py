@@ -12,6 +12,7 @@ STEPS = {
     "intersection_card": 40000,
     "assign_labels": 40000,
     "bank_match": 200000,
+    "mask_feature_mean": 15000,
 }
 
 
