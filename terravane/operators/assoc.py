@@ -64,6 +64,14 @@ def merged_bank(bank: DataFrame | None, seen: DataFrame, labels: DataFrame) -> D
     return (new if bank is None else bank.unionByName(new)).distinct()
 
 
+def merged_by_pixel(bank: DataFrame, points: DataFrame, members: DataFrame, px: DataFrame, labels: DataFrame) -> DataFrame:
+    """:func:`merged_bank` of one view where many masks have a label: its pixels are merged before they meet primitives."""
+    shaped = members.join(labels, "mask_id").select(*shapes.SHAPE, "label").distinct()
+    cells = shaped.join(px, shapes.SHAPE).select(*shapes.PIXEL, "label").distinct()
+    new = points.join(cells, shapes.PIXEL).select("label", "gid")
+    return bank.select("label", "gid").unionByName(new).distinct()
+
+
 def associate_views(seen: DataFrame, bank: DataFrame | None, next_label: int, threshold: float = 0.1) -> tuple[DataFrame, DataFrame | None, int]:
     """Labels (view, mask_id, label) of the views of ``seen`` in order, the bank after them, and the next label.
 

@@ -13,6 +13,7 @@ STEPS = {
     "assign_labels": 40000,
     "bank_match": 200000,
     "mask_feature_mean": 15000,
+    "update_bank": 40000,
 }
 
 
