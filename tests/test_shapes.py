@@ -19,6 +19,7 @@ STEPS = {
 #: query whose rows are the pairs themselves -> most rows of a shuffle on 20 copies of the tables
 SHUFFLED = {
     "radius_join": 20_000,
+    "pixel_lookup": 30_000,
 }
 
 
