@@ -72,6 +72,22 @@ def merged_by_pixel(bank: DataFrame, points: DataFrame, members: DataFrame, px:
     return bank.select("label", "gid").unionByName(new).distinct()
 
 
+def merged_with_masks(bank: DataFrame, points: DataFrame, members: DataFrame, px: DataFrame) -> DataFrame:
+    """:func:`merged_bank` of one view whose masks are their own labels.
+
+    Pairs of distinct primitives and masks are distinct, so they are not shuffled;
+    what the bank has in common with them is left out of the bank.
+    """
+    points = points.select("gid", "view", "y", "x").distinct()
+    own = bank.select("label", "gid").distinct()
+    named = members.join(own.select(F.col("label").alias("mask_id")).distinct(), "mask_id", "left_semi")
+    covered = named.join(px, shapes.SHAPE).select(F.col("mask_id").alias("label"), *shapes.PIXEL)
+    common = own.join(points, "gid").join(covered, ["label", *shapes.PIXEL]).select("label", "gid")
+    rest = own.join(common, ["label", "gid"], "left_anti")
+    masks = shapes.masks_by_pixel(members, px.withColumn("times", F.lit(1).cast("long")))
+    return rest.unionByName(shapes.pairs(points, masks, once=True).select(F.col("mask_id").alias("label"), "gid"))
+
+
 def associate_views(seen: DataFrame, bank: DataFrame | None, next_label: int, threshold: float = 0.1) -> tuple[DataFrame, DataFrame | None, int]:
     """Labels (view, mask_id, label) of the views of ``seen`` in order, the bank after them, and the next label.
 

@@ -20,6 +20,7 @@ STEPS = {
 SHUFFLED = {
     "radius_join": 20_000,
     "pixel_lookup": 30_000,
+    "bank_union": 30_000,
 }
 
 
