@@ -21,6 +21,7 @@ SHUFFLED = {
     "radius_join": 20_000,
     "pixel_lookup": 30_000,
     "bank_union": 30_000,
+    "front_topk": 40_000,
 }
 
 
