@@ -4,7 +4,10 @@ import duckdb
 import pytest
 from conftest import SF, TABLES, table_of
 
+from terravane.operators import assoc, shapes
 from terravane.plans.all_queries import ORACLES, QUERIES
+from terravane.storage import materialise
+from terravane.streaming import fold
 
 #: query -> most rows that a step may have on 20 copies of the tables
 STEPS = {
@@ -84,3 +87,33 @@ def test_odd_keys_give_what_the_sql_says(spark, odd, name):
     cols = sorted(df.columns)
     rel = con.sql(ORACLES[name])
     assert table_of(df.select(cols).collect(), cols) == table_of(rel.select(*[f'"{c}"' for c in cols]).fetchall(), cols)
+
+
+@pytest.fixture(scope="module")
+def recurring(tmp_path_factory):
+    """Each event in two or three views, also at other depths or without one."""
+    events = f"SELECT * FROM '{SF}/events.parquet' UNION ALL SELECT * REPLACE (user_id + 1 + event_id % 5 AS user_id, value * 0.9 AS value) FROM '{SF}/events.parquet' UNION ALL SELECT * REPLACE (user_id + 6 AS user_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS value) FROM '{SF}/events.parquet' WHERE event_id % 3 = 0"
+    return write(tmp_path_factory.mktemp("recurring"), f"SELECT * FROM '{SF}/part.parquet'", events)
+
+
+ASSOCIATIONS = ["associate"]
+
+
+@pytest.mark.parametrize("name", ASSOCIATIONS)
+def test_association_writes_no_row_for_each_pair(spark, copies, name, monkeypatch):
+    counts = []
+
+    def counting(df):
+        counts.append(df.count())
+        return materialise(df)
+
+    for module in (assoc, shapes, fold):
+        monkeypatch.setattr(module, "materialise", counting)
+    rows = QUERIES[name](spark, copies).collect()
+    assert len(rows) == len({r["label"] for r in rows}) == 4000 and max(counts) <= 40_000
+
+
+@pytest.mark.parametrize("name", ASSOCIATIONS)
+@pytest.mark.parametrize("data", ["odd", "recurring"])
+def test_association_of_odd_keys_gives_what_the_sql_says(spark, data, name, request):
+    test_odd_keys_give_what_the_sql_says(spark, request.getfixturevalue(data), name)
