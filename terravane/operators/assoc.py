@@ -8,6 +8,7 @@ as it was before the view.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 from functools import reduce
 
@@ -134,7 +135,7 @@ class Bank:
         """The bank after a view with labels (mask_id, sid, label)."""
         here, first = F.lit(view).cast("long").alias("view"), F.lit(self.next_label)
         own = labels.filter(F.col("label") >= first).select(here, "sid", "label")
-        own = own.withColumn("next", F.lead("label").over(Window.partitionBy("view", "sid").orderBy("label")))
+        own = materialise(own.withColumn("next", F.lead("label").over(Window.partitionBy("view", "sid").orderBy("label"))))
         begun = own.groupBy("view", "sid").agg(F.min("label").alias("label")).select("label", "view", "sid")
         if self.sources is None:
             sources, fresh = begun, own
@@ -143,25 +144,24 @@ class Bank:
             after = self.fresh.join(taken.select("label").distinct(), "label").filter("next IS NOT NULL").select(F.col("next").alias("label"), "view", "sid")
             sources, fresh = self.sources.unionByName(taken).unionByName(after).unionByName(begun).distinct(), self.fresh.unionByName(own)
         top = labels.agg(F.max("label")).first()[0]  # one number
-        return Bank(materialise(sources), materialise(fresh), max(self.next_label, (-1 if top is None else top) + 1))
+        return Bank(materialise(sources), fresh, max(self.next_label, (-1 if top is None else top) + 1))
 
 
-def associate_shapes(points: DataFrame, members: DataFrame, share: float, py: Column, px: Column, threshold: float = 0.1, bank: Bank | None = None, after: int | None = None) -> tuple[DataFrame, Bank]:
+def associate_shapes(points: DataFrame, members: DataFrame, share: float, py: Column, px: Column, threshold: float = 0.1, bank: Bank | None = None, done: Collection[int] = ()) -> tuple[DataFrame, Bank]:
     """:func:`associate` of the front primitives of masks, without a row for each mask and primitive.
 
     ``points``: (view, gid, y, x, depth); ``members``: as of :func:`shapes.numbered`.
     Masks of one shape have the same primitives, so they are rated once, and get the
     same label or labels of their own.  Only primitives in more than one row can be
     in the bank already; those in front of the same shapes of each view are counted
-    together.  ``bank`` is that after the views up to ``after``, whose points and
-    members are given again; labels (view, mask_id, label) are those of the later views.
+    together.  ``bank`` is that after the views ``done``, whose points and members are
+    given again; labels (view, mask_id, label) are those of the other views.
     """
     size, atoms, held = shapes.recurring_fronts(points, members, share, py, px)
     met = F.array_sort(F.collect_list(F.struct("view", "atom")))
     together = materialise(atoms.groupBy("gid").agg(met.alias("met")).filter(F.size("met") > 1).groupBy("met").agg(F.count(F.lit(1)).alias("n")).withColumn("tid", F.monotonically_increasing_id()))
-    rows = size.select("view").distinct() if after is None else size.select("view").distinct().filter(F.col("view") > F.lit(after))
-    views = [r["view"] for r in rows.orderBy("view").collect()]  # one number for each view
-    again = {r["view"] for r in together.select(F.explode(F.expr("slice(met, 2, size(met))")).alias("m")).select("m.view").distinct().collect()}  # views with primitives of earlier ones
+    views = [r["view"] for r in size.select("view").distinct().orderBy("view").collect() if r["view"] not in done]  # one number for each view
+    again = {r["view"] for r in together.select(F.explode("met.view").alias("view")).distinct().collect()}
     bank, parts = bank or Bank(), []
     for view in views:
         n = size.filter(F.col("view") == F.lit(view)).select("sid", "n")
@@ -179,10 +179,10 @@ def associate_shapes(points: DataFrame, members: DataFrame, share: float, py: Co
 
 
 def shared_by_atoms(together: DataFrame, held: DataFrame, sources: DataFrame, view: int) -> DataFrame:
-    """(sid, label, shared): distinct primitives of each shape of ``view`` that a label of the bank has from earlier views."""
+    """(sid, label, shared): distinct primitives of each shape of ``view`` that a label of the bank has from its own views."""
     here = together.withColumn("own", F.expr(f"get(filter(met, m -> m.view = {view}), 0).atom")).filter("own IS NOT NULL")
-    earlier = here.select("tid", "own", "n", F.explode(F.expr(f"filter(met, m -> m.view < {view})")).alias("m")).select("tid", "own", "n", F.col("m.atom").alias("atom"))
+    other = here.select("tid", "own", "n", F.explode(F.expr(f"filter(met, m -> m.view <> {view})")).alias("m")).select("tid", "own", "n", F.col("m.atom").alias("atom"))
     named = sources.join(held, ["view", "sid"]).select("label", "atom").distinct()
-    both = earlier.join(named, "atom").select("tid", "own", "n", "label").distinct()
+    both = other.join(named, "atom").select("tid", "own", "n", "label").distinct()
     cells = both.groupBy(F.col("own").alias("atom"), "label").agg(F.sum("n").alias("n"))
     return held.filter(F.col("view") == F.lit(view)).join(cells, "atom").groupBy("sid", "label").agg(F.sum("n").alias("shared"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane import fixtures
-from terravane.operators import masks
 from terravane.plans.registry import Relations, query, r9
-from terravane.plans.scene import ASSOCIATED, seen_in_patches
+from terravane.plans.scene import ASSOCIATED, patches_of_pixels
+from terravane.plans.spatial import mask_shapes, pixels_of
 from terravane.sources import config, io
 from terravane.storage import fresh_path
 from terravane.streaming import fold
@@ -200,9 +200,9 @@ def map_merge(r: Relations) -> DataFrame:
 @query(ASSOCIATED)
 def stateful_fold(r: Relations) -> DataFrame:
     """The association by a stream of files; equal to the loop over views."""
-    path, out = fresh_path(r.spark, "views"), fold.ViewFold(r.spark, fresh_path(r.spark, "bank"), 0.1)
-    seen = masks.front_of_patches(seen_in_patches(r), 0.5).select("view", "mask_id", "gid")
-    seen.coalesce(1).write.parquet(path)
+    path, out = fresh_path(r.spark, "views"), fold.ShapeFold(r.spark, fresh_path(r.spark, "bank"), 0.5, *patches_of_pixels(), 0.1)
+    seen = fold.frames(pixels_of(r), mask_shapes(r))
+    seen.write.parquet(path)
     stream = r.spark.readStream.schema(seen.schema).parquet(path)
     out.start(stream, fresh_path(r.spark, "fold")).awaitTermination()
     return out.labels

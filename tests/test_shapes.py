@@ -6,6 +6,9 @@ from conftest import SF, TABLES, table_of
 
 from terravane.operators import assoc, shapes
 from terravane.plans.all_queries import ORACLES, QUERIES
+from terravane.plans.registry import Relations
+from terravane.plans.scene import patches_of_pixels
+from terravane.plans.spatial import mask_shapes, pixels_of
 from terravane.storage import materialise
 from terravane.streaming import fold
 
@@ -96,7 +99,7 @@ def recurring(tmp_path_factory):
     return write(tmp_path_factory.mktemp("recurring"), f"SELECT * FROM '{SF}/part.parquet'", events)
 
 
-ASSOCIATIONS = ["associate"]
+ASSOCIATIONS = ["associate", "stateful_fold"]
 
 
 @pytest.mark.parametrize("name", ASSOCIATIONS)
@@ -117,3 +120,21 @@ def test_association_writes_no_row_for_each_pair(spark, copies, name, monkeypatc
 @pytest.mark.parametrize("data", ["odd", "recurring"])
 def test_association_of_odd_keys_gives_what_the_sql_says(spark, data, name, request):
     test_odd_keys_give_what_the_sql_says(spark, request.getfixturevalue(data), name)
+
+
+def test_fold_of_frames_goes_on_after_a_restart(spark, recurring, tmp_path):
+    """Each batch by a new object, one of them twice: the same labels as of all views at once; a view lies in one batch."""
+    r, folder = Relations(spark, recurring), f"file://{tmp_path}/bank"
+    points, members = pixels_of(r).filter("view < 4"), mask_shapes(r).filter("view < 4")
+    want = {tuple(x) for x in assoc.associate_shapes(points, shapes.numbered(members), 0.5, *patches_of_pixels(), 0.1)[0].collect()}
+    seen = fold.frames(points, members)
+
+    def add(views, batch):
+        fold.ShapeFold(spark, folder, 0.5, *patches_of_pixels(), 0.1).add(seen.filter(views), batch)
+
+    for views, batch in (("view < 2", 0), ("view = 2", 1), ("view = 2", 1), ("view = 3", 2)):
+        add(views, batch)
+    rows = [tuple(x) for x in fold.ViewFold(spark, folder).labels.collect()]
+    assert set(rows) == want and len(rows) == len(want) and len({x[2] for x in rows}) < len(rows)
+    with pytest.raises(ValueError, match="two batches"):
+        add("view = 2", 3)
