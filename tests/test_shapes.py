@@ -30,6 +30,9 @@ SHUFFLED = {
     "front_topk": 40_000,
 }
 
+#: queries whose rows are pairs of primitives and masks -> most bytes of a row in files
+WRITTEN = {"bank_union": 0.5}
+
 
 @pytest.fixture(scope="module")
 def copies(tmp_path_factory):
@@ -81,6 +84,23 @@ def test_pairs_are_not_shuffled(spark, copies, name):
     assert most_rows(df, "shuffleRecordsWritten") <= SHUFFLED[name]
 
 
+@pytest.fixture(scope="module")
+def crowded(tmp_path_factory):
+    """20000 masks of 63 shapes and 50 primitives, all on one pixel of view 1."""
+    part = f"SELECT t.* REPLACE (1 + 280 * i AS p_partkey, (i % 63)::INTEGER AS p_size) FROM (SELECT * FROM '{SF}/part.parquet' LIMIT 1) t, (SELECT unnest(range(0, 20000)) AS i) c"
+    place = "SELECT min(e) FROM (SELECT unnest(range(0, 1920)) AS e) r WHERE (e * 7919) % 640 BETWEEN 280 AND 310 AND (e * 104729) % 480 BETWEEN 160 AND 190"
+    events = f"SELECT t.* REPLACE (1920 * i + ({place}) AS event_id, 1::BIGINT AS user_id) FROM (SELECT * FROM '{SF}/events.parquet' LIMIT 1) t, (SELECT unnest(range(0, 50)) AS i) c"
+    return write(tmp_path_factory.mktemp("crowded"), part, events)
+
+
+@pytest.mark.parametrize("name", sorted(WRITTEN))
+def test_rows_of_pairs_are_written_small(spark, crowded, name, tmp_path):
+    """The order of the rows suits columnar files, where a pair takes a small part of its 16 bytes or more."""
+    QUERIES[name](spark, crowded).write.parquet(f"{tmp_path}/rows")
+    rows, files = spark.read.parquet(f"{tmp_path}/rows").count(), tmp_path.glob("rows/*.parquet")
+    assert rows >= 400_000 and sum(f.stat().st_size for f in files) <= WRITTEN[name] * rows
+
+
 @pytest.mark.parametrize("name", sorted({**STEPS, **SHUFFLED}))
 def test_odd_keys_give_what_the_sql_says(spark, odd, name):
     con = duckdb.connect()
