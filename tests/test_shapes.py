@@ -31,7 +31,7 @@ SHUFFLED = {
 }
 
 #: queries whose rows are pairs of primitives and masks -> most bytes of a row in files
-WRITTEN = {"bank_union": 0.5, "front_topk": 0.5}
+WRITTEN = {"bank_union": 0.5, "pixel_lookup": 0.5, "front_topk": 0.5}
 
 
 @pytest.fixture(scope="module")
